@@ -45,9 +45,10 @@ def oligo_records(rows: DataFrame, seq: str = "sequence") -> DataFrame:
     )
 
 
-def output_rows(records: DataFrame) -> DataFrame:
+def output_rows(records: DataFrame, *leading: str) -> DataFrame:
     """Output schema: four columns, fractions and temperatures at four decimals."""
     return records.select(
+        *leading,
         "sequence",
         "reverse_complement",
         F.round("gc_fraction", 4).alias("gc_fraction"),

@@ -31,6 +31,7 @@ class Gate:
 
     lengths: dict[str, int]
     examples: dict[str, tuple[str, float]]
+    interrupted: bool = False
 
 
 def repeat_windows(settings: FunnelSettings) -> list[tuple[int, int]]:
@@ -145,15 +146,23 @@ def gate_lengths(
         gc_count(text).alias("gc"),
         *[F.struct(_cost(t, listed).alias("cost"), text.alias("sequence")).alias(label) for label, t in thresholds.items()],
     )
-    for length in range(listed + 1, settings.length + 1):
+    length, interrupted = listed, False
+    while length < settings.length:
         open_labels = {label: t for label, t in thresholds.items() if label not in found.lengths}
         if not open_labels:
             break
-        frontier = materialize(_extend(frontier, open_labels, context, length, rules), "gate-frontier")
+        length += 1
+        try:
+            frontier = materialize(_extend(frontier, open_labels, context, length, rules), "gate-frontier")
+        except KeyboardInterrupt:
+            interrupted = True
+            break
         heads = [F.struct(F.lit(x).alias("label"), F.col(f"{x}.sequence").alias("sequence")) for x in open_labels]
         best = frontier.select(F.inline(F.array(*heads)))
         best = with_intrinsic_tm(best, "sequence", "tm_c", length, settings.chemistry, fixed=length >= 2)
         best = best.groupBy("label").agg(F.max(F.struct("tm_c", "sequence")).alias("best"))
         for row in best.collect():
             found.offer(row.label, length, row.best.sequence, row.best.tm_c)
-    return Gate({label: found.lengths.get(label, settings.length + 1) for label in thresholds}, found.examples)
+    # An interrupted search vouches for the length it was working on.
+    open_end = length if interrupted else settings.length + 1
+    return Gate({label: found.lengths.get(label, open_end) for label in thresholds}, found.examples, interrupted)
