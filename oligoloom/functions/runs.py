@@ -43,22 +43,20 @@ def with_best_run(
         out = out.withColumn("__size", F.expr(f"if({' or '.join(hits)}, {longer}, __size)"))
         step >>= 1
 
-    placements = []
+    # Rank = offset first, then start; both fit a base of twice the length.
+    base = 2 * length
+    ranks = []
     for last in lasts:
-        found = f"instr({partner}, {_word(a, last, '__size')})"
-        start = f"{last + 1} - __size"
-        placements.append(
-            f"if(__size > 0 and {start} >= 0 and {found} > 0,"
-            f" named_struct('offset', {found} - 1 - ({start}), 'start', {start}), null)"
-        )
-    nothing = "named_struct('offset', int(null), 'start', 0)"
-    best = F.expr(f"coalesce(array_min(array({', '.join(placements)})), {nothing})")
+        start = f"({last + 1} - __size)"
+        found = f"nullif(instr({partner}, {_word(a, last, '__size')}), 0)"
+        ranks.append(f"if({start} >= 0 and __size > 0, ({found} - 1 - {start} + {length}) * {base} + {start}, null)")
+    out = out.withColumn("__best", F.expr(f"array_min(array({', '.join(ranks)}))"))
     return stage(
-        out.withColumn("__best", best),
+        out,
         {
             f"{prefix}_length": F.col("__size"),
-            f"{prefix}_start": F.col("__best.start"),
-            f"{prefix}_offset": F.col("__best.offset"),
+            f"{prefix}_start": F.coalesce(F.col("__best") % base, F.lit(0)),
+            f"{prefix}_offset": F.expr(f"__best div {base} - {length}").cast("int"),
         },
     ).drop("__best", "__size")
 

@@ -7,15 +7,16 @@ best run exceeds a limit.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oligoloom.functions.melting import Chemistry, double_sql, is_at_sql, pair_sum_sql, tm_sql
+from oligoloom.functions.melting import KELVIN, NEIGHBOUR_PARAMETERS, TERMINAL_AT, TERMINAL_GC, Chemistry
 from oligoloom.functions.runs import with_score
 from oligoloom.functions.staging import keep
-from oligoloom.functions.sequence import MAX_PACKED, kmers, pack, reverse_complement, three_prime_starts, words_sql
+from oligoloom.functions.sequence import ALPHABET, MAX_PACKED, kmers, pack, reverse_complement, three_prime_starts, words_sql
 from oligoloom.operators.skew import CELL_MATCHES, grid_join
 
 
@@ -49,6 +50,15 @@ class PairRules:
         )
 
 
+# Hot-text costs are integers, this many per cal/mol, so that sums are exact in any context.
+COST_SCALE = 1000
+
+
+def _cost(values: tuple[float, float], kelvin: float) -> int:
+    """Scaled 1000 dH - T dS, rounded down."""
+    return math.floor(COST_SCALE * (1000 * values[0] - kelvin * values[1]))
+
+
 def with_shortest_hot_suffix(rows: DataFrame, seq: str, lasts: range, rules: PairRules) -> DataFrame:
     """Explode a sequence into one join key per end position.
 
@@ -58,41 +68,60 @@ def with_shortest_hot_suffix(rows: DataFrame, seq: str, lasts: range, rules: Pai
     on both sides, so they share a key at the run's end. One key per position therefore finds
     every conflict, and a pair only meets if it really shares a text that melts too high.
 
+    Entropies being negative, "melts above T" means that 1000 dH - T dS, a sum over the text,
+    is negative. Rounding the summands down to integers can only make a text count as hot that
+    is not quite; the exact temperature is checked on the pairs.
+
     Keys are LONGs: the packed text behind a leading 1 bit. Beyond 31 bases, where packing
     ends, the plain 31-base suffix stands in for a longer hot text.
     """
     kept = rows.columns
     n, reach = rules.length, min(rules.length, MAX_PACKED)
+    kelvin = rules.limit_c + KELVIN
+    selective = kelvin > 0
     lasts = [last for last in lasts if last + 1 >= min(rules.active_run, reach)]
-    if n <= MAX_PACKED:
-        rows = rows.withColumn("__whole", pack(F.col(seq)))
-    rows = rows.withColumn("last", F.explode(F.array(*[F.lit(p) for p in lasts]).cast("array<int>")))
-    if n <= MAX_PACKED:
-        tail = F.expr(f"shiftright(__whole, ({n - 1} - last) * 2)")
-    else:
-        tail = pack(F.expr(f"substring({seq}, greatest(last - {MAX_PACKED - 2}, 1), least(last + 1, {MAX_PACKED}))"))
-    rows = rows.withColumn("__tail", tail)
 
-    # Sums over the last 1, 2, ... bases; generated code shares the common prefixes.
-    terms = ", ".join(pair_sum_sql("__tail", offset) for offset in range(reach - 1))
-    rows = rows.withColumn("__terms", F.expr(f"cast(array({terms}) as array<bigint>)"))
-    sums = ["0L"]
-    for offset in range(reach - 1):
-        sums.append(f"{sums[-1]} + get(__terms, {offset})")
-    rows = rows.withColumn("__sums", F.expr(f"array({', '.join(sums)})"))
+    # Base codes from the 5' end, read off packed blocks.
+    codes = []
+    for begin in range(0, n, MAX_PACKED):
+        size = min(MAX_PACKED, n - begin)
+        rows = rows.withColumn(f"__block{begin}", pack(F.substring(seq, begin + 1, size)))
+        codes += [f"int(shiftright(__block{begin}, {2 * (size - 1 - p)}) & 3)" for p in range(size)]
+    rows = rows.withColumn("__codes", F.expr(f"array({', '.join(codes)})"))
+    if selective:
+        pairs = ", ".join(f"{_cost(NEIGHBOUR_PARAMETERS[a + b], kelvin)}L" for a in ALPHABET for b in ALPHABET)
+        ends = ", ".join(f"{_cost(TERMINAL_AT if b in 'AT' else TERMINAL_GC, kelvin)}L" for b in ALPHABET)
+        steps = [f"get(array({pairs}), get(__codes, {p}) * 4 + get(__codes, {p + 1}))" for p in range(n - 1)]
+        rows = rows.withColumn("__steps", F.expr(f"cast(array({', '.join(steps)}) as array<bigint>)"))
+        sums = F.expr("aggregate(__steps, array(0L), (sums, step) -> concat(sums, array(element_at(sums, -1) + step)))")
+        rows = rows.withColumn("__sums", sums)
+        rows = rows.withColumn("__ends", F.expr(f"transform(__codes, c -> get(array({ends}), c))"))
+        rows = rows.withColumn("__starts", F.expr("zip_with(__sums, __ends, (s, e) -> s - e)"))
+    rows = rows.withColumn("last", F.explode(F.array(*[F.lit(p) for p in lasts]).cast("array<int>")))
+    if selective:
+        rows = rows.withColumn("__at_last", F.expr("get(__sums, last) + get(__ends, last)"))
 
     choices = []
     for length in range(rules.active_run, reach + 1):
-        ends = f"{is_at_sql('__tail', length - 1)} + {is_at_sql('__tail', 0)}"
-        tm = tm_sql(f"get(__sums, {length - 1})", ends, length, rules.chemistry)
-        choices.append(f"when last + 1 >= {length} and {tm} > {double_sql(rules.limit_c)} then {length}")
+        if selective:
+            chemistry = rules.chemistry
+            rest = _cost((0.0, chemistry.salt_entropy * (length - 1) + chemistry.strand_entropy), kelvin)
+            # get() is null before the first base, which counts as no.
+            choices.append(f"when get(__starts, last - {length - 1}) > __at_last + {rest}L then {length}")
+        else:
+            choices.append(f"when last >= {length - 1} then {length}")
     if n > MAX_PACKED:
         choices.append(f"when last + 1 >= {MAX_PACKED} then {MAX_PACKED}")
     size = F.expr(f"case {' '.join(choices)} end" if choices else "int(null)")
-    rows = rows.withColumn("__bits", size * 2)
-    rows = rows.withColumn("__key", F.expr("shiftleft(1L, __bits) | (__tail & (shiftleft(1L, __bits) - 1L))"))
-    columns = {name: F.col(name) for name in rows.columns if not name.startswith("__") or name in kept}
-    return keep(rows, F.col("__bits").isNotNull(), {**columns, "key": F.col("__key")})
+    rows = rows.withColumn("__size", size)
+    if n <= MAX_PACKED:
+        tail = F.expr(f"shiftright(__block0, ({n - 1} - last) * 2)")
+    else:
+        tail = pack(F.expr(f"substring({seq}, last + 2 - __size, __size)"))
+    rows = rows.withColumn("__tail", tail)
+    key = F.expr("shiftleft(1L, 2 * __size) | (__tail & (shiftleft(1L, 2 * __size) - 1L))")
+    columns = {name: F.col(name) for name in [*kept, "last"]}
+    return keep(rows, F.col("__size").isNotNull(), {**columns, "key": key})
 
 
 def _hot_pairs(
