@@ -152,6 +152,11 @@ def _hot_pairs(
         F.col("last").alias("right_last"),
     )
     met = F.col("left_index") < F.col("right_index") if ordered else F.col("left_index") != F.col("right_index")
+    # A best run ends where the texts part, so meetings inside a longer run are no candidates.
+    met = met & F.expr(
+        f"(left_last = {n - 1} or right_last = {n - 1}"
+        " or substring(left_sequence, left_last + 2, 1) != substring(partner, right_last + 2, 1))"
+    )
     pairs = grid_join(left, right, "key", "left_index", "right_index", met, cell_matches, pool.count())
     scored = with_score(
         pairs, "left_sequence", "partner", n, rules.window, rules.min_run, rules.gate, rules.chemistry

@@ -15,16 +15,20 @@ from pyspark.sql import DataFrame, SparkSession
 _DIR_KEY = "spark.checkpoint.dir"
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; only a local session may fall back to its own."""
-    configured = spark.conf.get(_DIR_KEY, None) or spark.sparkContext.getConf().get(_DIR_KEY)
+    configured = spark.conf.get(_DIR_KEY, None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError(f"set {_DIR_KEY} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="oligoloom-")
-    spark.conf.set(_DIR_KEY, folder)
-    return folder
+    if context.applicationId not in _local_dirs:
+        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="oligoloom-")
+    return _local_dirs[context.applicationId]
 
 
 def materialize(rows: DataFrame, label: str) -> DataFrame:
