@@ -17,7 +17,7 @@ from oligoloom.functions.melting import KELVIN, NEIGHBOUR_PARAMETERS, TERMINAL_A
 from oligoloom.functions.runs import with_score
 from oligoloom.functions.staging import keep
 from oligoloom.functions.sequence import ALPHABET, MAX_PACKED, kmers, pack, reverse_complement, three_prime_starts, words_sql
-from oligoloom.operators.skew import CELL_MATCHES, grid_join
+from oligoloom.operators.skew import CELL_MATCHES, grid_join, spread
 
 
 @dataclass(frozen=True)
@@ -134,9 +134,9 @@ def _hot_pairs(
     ordered: bool,
     cell_matches: int,
 ) -> DataFrame:
-    n = rules.length
+    n, count = rules.length, pool.count()
     window = range(max(0, n - max(1, rules.window)), n)
-    base = pool.select(F.col(order).alias("__id"), F.col(seq).alias("__seq"))
+    base = spread(pool.select(F.col(order).alias("__id"), F.col(seq).alias("__seq")), "__id", count)
     left = with_shortest_hot_suffix(base, "__seq", window, rules).select(
         "key",
         F.col("__id").alias("left_index"),
@@ -157,7 +157,7 @@ def _hot_pairs(
         f"(left_last = {n - 1} or right_last = {n - 1}"
         " or substring(left_sequence, left_last + 2, 1) != substring(partner, right_last + 2, 1))"
     )
-    pairs = grid_join(left, right, "key", "left_index", "right_index", met, cell_matches, pool.count())
+    pairs = grid_join(left, right, "key", "left_index", "right_index", met, cell_matches, count)
     scored = with_score(
         pairs, "left_sequence", "partner", n, rules.window, rules.min_run, rules.gate, rules.chemistry
     )
@@ -233,8 +233,8 @@ def candidate_pairs(
     this join, see ``pair_counts``.
     """
     n = rules.length
-    starts = three_prime_starts(n, k, rules.window)
-    base = pool.select(F.col(order).alias("__id"), F.col(seq).alias("__seq"))
+    starts, count = three_prime_starts(n, k, rules.window), pool.count()
+    base = spread(pool.select(F.col(order).alias("__id"), F.col(seq).alias("__seq")), "__id", count)
     words = F.expr(words_sql("__seq", k, starts))
     left = base.select(
         F.col("__id").alias("left_index"),
@@ -250,7 +250,7 @@ def candidate_pairs(
     for nth, start in enumerate(starts[:-1]):
         earlier = F.contains(F.col("partner"), F.substring("left_sequence", start + 1, k))
         condition = condition & ((F.col("nth") <= nth) | ~earlier)
-    pairs = grid_join(left, right, "word", "left_index", "right_index", condition, cell_matches, pool.count())
+    pairs = grid_join(left, right, "word", "left_index", "right_index", condition, cell_matches, count)
     return pairs.select("left_index", "right_index", "left_sequence", "partner")
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from oligoloom.functions.sequence import kmers, reverse_complement, three_prime_starts
 from oligoloom.operators.conflicts import PairRules, candidate_pairs
+from oligoloom.operators.skew import spread
 
 # Oligos per ranking range; a text that every oligo contains is ranked range by range.
 RANGE_BITS = 16
@@ -119,7 +120,7 @@ def candidate_pair_count(
     if width > MAX_PATTERN_WINDOW or width - 1 > k:
         pairs = candidate_pairs(pool, k, rules, seq, order, first_new)
         return pairs.agg(F.count(F.lit(1)).alias("pairs"))
-    pool = pool.select(F.col(order).alias("idx"), F.col(seq).alias("sequence"))
+    pool = spread(pool.select(F.col(order).alias("idx"), F.col(seq).alias("sequence")), "idx", pool.count())
     if not width:
         return pool.agg(F.lit(0).cast("long").alias("pairs"))
     newer = pool if first_new is None else pool.where(F.col("idx") >= first_new)

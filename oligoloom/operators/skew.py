@@ -1,4 +1,4 @@
-"""Equi-join that splits heavy keys over a grid of tasks."""
+"""Even distribution of work: row spreading and an equi-join that splits heavy keys."""
 
 from __future__ import annotations
 
@@ -14,6 +14,19 @@ CELL_MATCHES = 4_000_000
 MAX_HEAVY_KEYS = 1000
 
 
+# Per-oligo work (k-mer sets, suffix keys) is heavy for the few bytes an oligo takes, so file
+# splits are too coarse a unit for it.
+ROWS_PER_TASK = 100_000
+MIN_ROWS_PER_TASK = 500
+
+
+def spread(rows: DataFrame, key: str, count: int) -> DataFrame:
+    """Distribute ``count`` rows over enough tasks for row-wise work, by hash of a unique key."""
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = min(max(usual, math.ceil(count / ROWS_PER_TASK)), count // MIN_ROWS_PER_TASK)
+    return rows.repartition(tasks, key) if tasks > 1 else rows
+
+
 def heavy_keys(left: DataFrame, right: DataFrame, key: str, cell_matches: int) -> list[tuple]:
     """(key, left parts, right parts) of the heaviest keys, from map-side combined counts."""
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
@@ -47,8 +60,9 @@ def grid_join(
     can hold at most on a side; if that is little, nobody has to look for heavy keys."""
     light = rows_per_key is not None and rows_per_key**2 <= cell_matches
     heavy = [] if light else heavy_keys(left, right, key, cell_matches)
+    # Both sides come out of an explode, which size estimates do not see; never broadcast them.
     if not heavy:
-        joined = left.join(right, key)
+        joined = left.join(right.hint("merge"), key)
         return joined if condition is None else joined.where(condition)
     spark = left.sparkSession
     schema = f"{key} {left.schema[key].dataType.simpleString()}, __lp int, __rp int"
@@ -72,5 +86,5 @@ def grid_join(
         .withColumn("__i", copies("__lp"))
         .drop("__lp", "__rp")
     )
-    joined = left_cells.join(right_cells, [key, "__i", "__j"]).drop("__i", "__j")
+    joined = left_cells.join(right_cells.hint("merge"), [key, "__i", "__j"]).drop("__i", "__j")
     return joined if condition is None else joined.where(condition)

@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 from oligoloom.functions.sequence import ALPHABET, gc_bounds
 
+ATTEMPTS_PER_TASK = 5_000_000
+
 
 def attempts(spark: SparkSession, first: int, last: int) -> DataFrame:
     """Attempt numbers ``first`` to ``last``, both included."""
-    return spark.range(first, last + 1).select(F.col("id").alias("attempt_id"))
+    tasks = max(spark.sparkContext.defaultParallelism, (last - first) // ATTEMPTS_PER_TASK + 1)
+    return spark.range(first, last + 1, 1, tasks).select(F.col("id").alias("attempt_id"))
 
 
 def gc_balanced(attempt: Column, seed: int, length: int, gc_low: float, gc_high: float) -> Column:

@@ -1,0 +1,7 @@
+"""Entry point for spark-submit."""
+
+import sys
+
+from oligoloom.cli import main
+
+sys.exit(main())

@@ -3,7 +3,7 @@ import json
 from pathlib import Path
 
 import pytest
-from plain import conflicts, greedy_set, random_pool
+from plain import conflicts, greedy_set, random_pool, rc
 
 
 from oligoloom import cli
@@ -153,8 +153,10 @@ def test_resume_equals_one_run(spark, tmp_path):
 
 def test_force_target_runs_more_cycles(spark, tmp_path):
     texts = random_pool(60, 10, 21)
+    for i in (0, 3, 6, 12, 15):
+        texts[i + 1] = rc(texts[i])
     c = config(
-        tmp_path, 10, 12, 60, thermodynamics={"pair_tm_max_c": -45.0},
+        tmp_path, 10, 12, 60, thermodynamics={"pair_tm_max_c": -20.0},
         generator={"force_target_size": True, "force_target_cycle_oversample_multiplier": 1.0, "force_target_post_target_seconds": 0.0},
     )
     summary = run_generation(c, spark, source=supplied(texts))
@@ -164,7 +166,7 @@ def test_force_target_runs_more_cycles(spark, tmp_path):
         cycles += 1
         fresh = texts[taken : taken + 12 - len(pool)]
         taken, pool = taken + len(fresh), pool + fresh
-        survivors = [pool[i] for i in sorted(greedy_set(pool, conflicts(pool, 3, 4, 0, -45.0)))]
+        survivors = [pool[i] for i in sorted(greedy_set(pool, conflicts(pool, 3, 4, 0, -20.0)))]
         if len(survivors) >= 12 or taken >= 60:
             break
         pool = survivors
