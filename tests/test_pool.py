@@ -21,7 +21,7 @@ from oligoloom.operators.funnel import (
 )
 from oligoloom.operators.gate import admissible, gate_lengths
 from oligoloom.operators.pairing import PairingOptions, pair_oligos
-from oligoloom.operators.prune import greedy_removals, independent_set, round_victims, trim_newest
+from oligoloom.operators.prune import greedy_removals, head_victims, independent_set, round_victims, trim_newest
 from oligoloom.sources.proposals import enumerate_sequences
 
 OPEN = dict(tm_min_c=-1000.0, tm_max_c=1000.0, max_homopolymer=99, max_dinucleotide_repeats=99,
@@ -146,6 +146,20 @@ def test_pruning_matches_the_sequential_rule(spark, seed):
         assert len(removed) == len(set(removed)) and set(removed) == want
 
 
+@pytest.mark.parametrize("head_size", [3, 25, 200])
+def test_dense_conflicts_of_one_shared_text(spark, head_size):
+    """Every older oligo conflicts with all newer ones of the other half: hardly any local maxima."""
+    n = 60
+    texts = random_pool(n, 8, 77)
+    edges = [(i, j) for j in range(1, n, 2) for i in range(0, j, 2)]
+    want = set(range(n)) - greedy_set(texts, edges)
+    frame = edge_frame(spark, texts, edges)
+    removed = [r.idx for r in greedy_removals(frame, 40, head_size).collect()]
+    assert len(removed) == len(set(removed)) and set(removed) == want
+    head = head_victims(frame, head_size)
+    assert head and set(head) <= want and (head_size < n or set(head) == want)
+
+
 def test_equal_degrees_fall_by_sequence(spark):
     assert [r.idx for r in greedy_removals(edge_frame(spark, ["CCC", "AAA"], [(0, 1)])).collect()] == [0]
     assert [r.idx for r in greedy_removals(edge_frame(spark, ["AAA", "CCC"], [(0, 1)]), 0).collect()] == [1]
