@@ -91,7 +91,8 @@ def pair_oligos(pool: DataFrame, rules: PairRules, options: PairingOptions) -> P
     free = materialize(pool.select("sequence"), "free")
     free_count = free.count()
     budget = max(1, free_count * options.attempts_multiplier)
-    empty = materialize(_scored(propose_pairs(free.limit(0), 0, 0, 0), rules).select(*PAIR_COLUMNS), "pairs")
+    schema = "left_sequence string, right_sequence string, " + ", ".join(f"{c} double" for c in PAIR_COLUMNS[2:])
+    empty = pool.sparkSession.createDataFrame([], schema)
     state = Pairing(pairs=empty, free=free, unpaired=free_count)
     fewest, since_best, idle, round_no = free_count, 0, 0, 0
     while (
