@@ -8,6 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oligoloom.llm.automaton import score_texts
+from oligoloom.llm.decontaminate import contamination
+from oligoloom.llm.forest import near_duplicates
 from oligoloom.llm.huffman import read_token_file, write_token_file
 from oligoloom.llm.packing import pack
 from oligoloom.llm.tables import scratch_path
@@ -43,3 +46,62 @@ def op1_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0, capacity=2048)
+
+
+@query
+def op4_window_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words inside ten-word windows of the benchmark."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contamination(docs, table(spark, sf_dir, "benchmark"), length=10)
+    return found.select(
+        "doc_id",
+        "contamination.n_words",
+        "contamination.n_hit",
+        F.size("contamination.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("contamination.items", ","), 256).alias("items_sha256"),
+        (F.col("contamination.n_hit") > 0).alias("contaminated"),
+    )
+
+
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    r" '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+ORACLE_SQL["op4_window_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+item_windows AS (
+    SELECT DISTINCT item_id, n, window_text FROM (
+        SELECT item_id, least(len(w), 10) AS n,
+               unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2),
+                                     lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS window_text
+        FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM item_windows),
+doc_windows AS (
+    SELECT doc_id, n, pos, array_to_string(w[pos:pos + n - 1], ' ') AS window_text
+    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS pos FROM d, sizes WHERE len(w) >= n)),
+hits AS (SELECT doc_id, item_id, n, pos FROM doc_windows JOIN item_windows USING (n, window_text)),
+hit_words AS (
+    SELECT doc_id, count(DISTINCT word) AS n_hit
+    FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS word FROM hits) GROUP BY doc_id),
+hit_items AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+"""
+
+
+@query
+def op9_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of all documents under a model of four fifths of them."""
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and number of links of every document."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
