@@ -1,25 +1,59 @@
-"""A cleaning pipeline over ``documents``: each stage calls one operator of ``oligoloom.llm``."""
+"""A cleaning pipeline over ``documents``: each stage calls one operator of ``oligoloom.llm``.
+
+Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns a DataFrame; all but
+the last return the columns of ``documents``. Stages are written as Parquet and read again by the next one.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from oligoloom.llm import packing
-from oligoloom.llm.queries import table, tokenizer_path
+from oligoloom.llm import cotrain, decontaminate, forest, packing, surrogates
+from oligoloom.llm.queries import SURROGATE_SECRET, table, tokenizer_path
 from oligoloom.llm.tables import stored
 
-# The packing's local search and the fitted classifier have no SQL form.
+# The fitted classifier and the packing's local search have no SQL form.
 ORACLE_SQL = None
 
 
+def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the co-trained classifier rejects."""
+    model = cotrain.fit_model(docs, table(spark, sf_dir, "labels"))
+    return cotrain.score_documents(docs, model, report="__quality").where("__quality.keep").drop("__quality")
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of every near-duplicate group; rows without an id all stay."""
+    return forest.without_duplicates(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a ten-word window of a benchmark item."""
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Put surrogates in the place of personal data; lengths follow the new texts."""
+    replaced = surrogates.replace_entities(docs, SURROGATE_SECRET, counter="__entities")
+    if "n_chars" in docs.columns:
+        length = F.when(F.col("__entities") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        replaced = replaced.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
+    return replaced.drop("__entities")
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all remaining documents, packed into sequences of 2048 tokens."""
     return packing.pack(docs, tokenizer_path(), end_id=0, capacity=2048)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", reject_low_quality),
+    ("near-duplicates", keep_one_of_each_group),
+    ("decontamination", drop_contaminated),
+    ("personal-data", replace_personal_data),
     ("packing", pack_sequences),
 ]
 

@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 from oligoloom.llm.bytesets import ALNUM, Slice, Words, mix, slices, window_hashes, window_rows, word_hashes, words
 from oligoloom.llm.tables import stored
 
-TREES, DEEPEST = 12, 8
+TREES, DEEPEST = 12, 6
 RECALL = 0.9995
 # Documents of one node that a block holds; a cell is one block or a pair of them.
-BLOCK_DOCS = 400
+BLOCK_DOCS = 256
 # Broadcast the list of documents to verify up to this many (8 bytes each); beyond, it is shuffled.
 BROADCAST_DOCS = 4_000_000
 _COLUMNS_AT_ONCE = 4096
@@ -399,3 +399,27 @@ def near_duplicates(
             F.when(alone, F.lit(1)).otherwise(F.col("copies")).cast("long").alias("n_copies"),
         )
     )
+
+
+def without_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents without all but one of each group: the one with the group's smallest id stays. An id that occurs
+    in several rows is taken as one document, and its equal rows stay once. Rows without an id all stay."""
+    found = stored(near_duplicates(docs, doc, text, **options), "near-duplicates")
+    counted = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
+        F.min("class_id").alias("class_id"), F.count(F.lit(1)).alias("rows")
+    )
+    goes = stored(
+        counted.where("rows > 1 or class_id != doc_id").select(
+            F.col("doc_id").alias(doc), (F.col("class_id") == F.col("doc_id")).alias("__leads")
+        ),
+        "duplicates",
+    )
+    listed = goes.select(doc)
+    stays = docs.join(
+        F.broadcast(listed) if goes.count() <= BROADCAST_DOCS else listed.hint("merge"), doc, "left_anti"
+    )
+    if goes.where("__leads").isEmpty():
+        return stays
+    # Ids of several rows that lead their group: equal rows stay once.
+    again = docs.join(goes.where("__leads").select(doc).hint("merge"), doc, "left_semi")
+    return stays.unionByName(again.dropDuplicates([doc, text]))

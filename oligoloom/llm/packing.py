@@ -30,6 +30,8 @@ from oligoloom.llm.tokens import encoder, with_end
 GROUP_PIECES = 16_384
 # The emptiest sequences that the search tries in a row without success before it ends.
 PATIENCE = 32
+# Steps of one group's search at most; it usually ends long before, at the least possible number of sequences.
+MOST_STEPS = 5000
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -103,19 +105,21 @@ class Search:
     def __init__(self, lengths: list[int], bins: list[list[int]], capacity: int):
         self.lengths, self.bins, self.capacity = lengths, bins, capacity
         self.fill = [sum(lengths[p] for p in b) for b in bins]
+        self.steps = 0
 
     def run(self) -> list[list[int]]:
         least = -(-sum(self.fill) // self.capacity)
         alive = sum(1 for f in self.fill if f)
         stuck: set[int] = set()
-        while alive > least and len(stuck) < PATIENCE:
+        while alive > least and len(stuck) < PATIENCE and self.steps < MOST_STEPS:
             open_bins = [b for b, f in enumerate(self.fill) if 0 < f < self.capacity and b not in stuck]
             if len(open_bins) < 2:
                 break
             victim = min(open_bins, key=lambda b: (self.fill[b], b))
-            if self._empty(victim):
-                alive -= 1
-                stuck.clear()
+            before = self.steps
+            alive -= self._empty(victim)
+            if self.steps > before:
+                stuck.clear()  # what was stuck may have room to go to now
             else:
                 stuck.add(victim)
         return [b for b in self.bins if b]
@@ -135,9 +139,12 @@ class Search:
             doubles = [
                 ((p, q), self.lengths[p] + self.lengths[q]) for i, p in enumerate(mine) for q in mine[i + 1 : i + 9]
             ]
-            step = self._move(singles, room) or self._exchange(singles + doubles, size, room[owner_at])
+            # A step raises the sum of squares when the other sequence ends up fuller than this one was.
+            spare = self.capacity - self.fill[victim]
+            step = self._move(singles, room, spare) or self._exchange(singles + doubles, size, room[owner_at], spare)
             if step is None:
                 return False
+            self.steps += 1
             leaving, target, returned = step
             if returned is None:
                 b = others[target]
@@ -157,20 +164,20 @@ class Search:
         return True
 
     @staticmethod
-    def _move(singles, room):
+    def _move(singles, room, spare):
         for leaving, total in singles:
-            fits = np.flatnonzero(room >= total)
+            fits = np.flatnonzero((room >= total) & (room - total < spare))
             if len(fits):
                 return leaving, int(fits[np.argmin(room[fits])]), None
         return None
 
     @staticmethod
-    def _exchange(choices, size, room):
+    def _exchange(choices, size, room, spare):
         """The exchange that puts most tokens into another sequence; the fullest fit among equals."""
         best = None
         for leaving, total in choices:
             gain = total - size
-            usable = np.flatnonzero((gain > 0) & (gain <= room))
+            usable = np.flatnonzero((gain > 0) & (gain <= room) & (room - gain < spare))
             if len(usable):
                 at = usable[np.lexsort((room[usable] - gain[usable], -gain[usable]))[0]]
                 if best is None or gain[at] > best[0]:

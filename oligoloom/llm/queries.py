@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oligoloom.llm.automaton import score_texts
+from oligoloom.llm.cotrain import fit_model, score_documents
 from oligoloom.llm.decontaminate import contamination
 from oligoloom.llm.forest import near_duplicates
 from oligoloom.llm.huffman import read_token_file, write_token_file
 from oligoloom.llm.packing import pack
+from oligoloom.llm.ring import shard_documents
+from oligoloom.llm.surrogates import replace_entities
 from oligoloom.llm.tables import scratch_path
+from oligoloom.llm.topk import top_k
+from oligoloom.llm.urlrules import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -105,3 +110,94 @@ def op9_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class and number of links of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards whose row counts are at most one apart."""
+    return shard_documents(table(spark, sf_dir, "documents"), shards=24).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op3_sorted_list_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest embeddings by inner product for every twentieth one."""
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
+ORACLE_SQL["op3_sorted_list_topk"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+    FROM v q JOIN v c ON len(q.v) = len(c.v) AND q.vec_id <> c.vec_id
+    WHERE q.vec_id % 20 = 0),
+ranked AS (
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+           vec_id, score
+    FROM scores)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+URL_RULES = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
+
+
+@query
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by the longest rule that fits it."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+ORACLE_SQL["op10_url_rules"] = r"""
+WITH rules(rule_host, rule_path, verdict) AS (
+    VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
+           ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+urls AS (
+    SELECT page_id,
+           translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+    FROM pages),
+fitting AS (
+    SELECT page_id, rule_host || rule_path AS rule, verdict,
+           row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host) DESC, length(rule_path) DESC) AS n
+    FROM urls JOIN rules
+      ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM urls LEFT JOIN (SELECT * FROM fitting WHERE n = 1) USING (page_id)
+"""
+
+
+# The key of the surrogates; a deployment passes its own secret.
+SURROGATE_SECRET = "demonstration key"
+
+
+@query
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with personal data replaced by surrogates."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return replace_entities(docs, SURROGATE_SECRET)
+
+
+@query
+def op7_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores and decisions for all documents."""
+    docs = table(spark, sf_dir, "documents")
+    model = fit_model(docs, table(spark, sf_dir, "labels"))
+    return score_documents(docs, model).select("doc_id", "quality.text", "quality.page", "quality.score", "quality.keep")

@@ -1,0 +1,77 @@
+import re
+
+from messy import LONG, TEXTS, docs
+from pyspark.sql import functions as F
+
+from oligoloom.llm import surrogates as su
+
+CARD, MAIL = "4845168114407329", "und.34@mail7.example.com"
+PEOPLE = [
+    (20, f"Write to {MAIL} or {MAIL.upper()}, pay {CARD} or 4845 1681 1440 7329."),
+    (21, f"{MAIL} again; call +1 (017) 555-7713, +1&&& (017)*** 555-7713%%% or 555-0123."),
+    (22, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" from 97.51.17.173 and 8.8.8.8.'),
+    (23, "Frau Anna Muster met Mr. Smith, Mr Smith and г-жа Анна Иванова; MME CURIE not."),
+    (24, "Émile.ü@bücher.example.fr wrote 1.2.3.4.5 and 12345678901234567 and Version 2.0 of 2024."),
+    (25, f"{MAIL} again; call +1 (017) 555-7713, +1&&& (017)*** 555-7713%%% or 555-0123."),
+]
+
+
+def rewritten(spark, texts, secret="k"):
+    return su.replace_entities(docs(spark, texts), secret)
+
+
+def test_kinds_formats_and_coreference(spark):
+    rows = {r.doc_id: r for r in rewritten(spark, PEOPLE).collect()}
+    mails = re.findall(r"[\w.]+@[\w.]+\w", rows[20].text)
+    assert len(mails) == 2 and mails[1] == mails[0].upper() and mails[0] != MAIL
+    assert re.fullmatch(r"[a-z]{3}\.\d\d@[a-z]{4}\d\.[a-z]{7}\.com", mails[0])
+    assert rows[21].text.startswith(mails[0]) and rows[21].text == rows[25].text
+    cards = re.findall(r"\d{16}|\d{4} \d{4} \d{4} \d{4}", rows[20].text)
+    assert cards[0] == cards[1].replace(" ", "") != CARD and cards[0][0] == "4"
+    phones = re.findall(r"\+(\d)\D+(\d{3})\D+(\d{3})-(\d{4})", rows[21].text)
+    assert len(phones) == 2 and phones[0] == phones[1] != ("1", "017", "555", "7713")
+    assert "%%% or " in rows[21].text and "555-0123" not in rows[21].text
+    secret = re.search(r'token = "([0-9a-f]{40})" from (\d\d\.\d\d\.\d\d\.\d{3}) and (\d\.\d\.\d)\.(\d)\.', rows[22].text)
+    assert secret and secret[1] != "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    assert all(int(x) < 256 for x in secret[2].split("."))
+    names = re.fullmatch(
+        r"Frau (\w+) (\w+) met Mr\. (\w+), Mr (\w+) and г-жа ([А-Яа-я]+) ([А-Яа-я]+); MME CURIE not\.", rows[23].text
+    )
+    assert names and names[3] == names[4] != "Smith" and names[1] in su.GIVEN_NAMES["f", "latin"]
+    assert names[5] in su.GIVEN_NAMES["f", "cyrillic"]
+    kept = "wrote 1.2.3.4.5 and 12345678901234567 and Version 2.0 of 2024."
+    assert rows[24].text.endswith(kept) and "bücher" not in rows[24].text and ".fr wrote" in rows[24].text
+    assert [rows[i].n_entities for i in range(20, 25)] == [4, 4, 3, 4, 1]
+
+
+def test_other_rows_stay_as_they_are(spark):
+    found = rewritten(spark, TEXTS)
+    got = sorted(((r.doc_id or 0, r.text or "", r.n_entities) for r in found.collect()))
+    assert got == sorted((i or 0, t or "", 0) for i, t in TEXTS)
+    assert LONG in {r[1] for r in got} and found.columns == [*docs(spark, []).columns, "n_entities"]
+    assert rewritten(spark, []).count() == 0
+
+
+def test_the_key_decides(spark):
+    one, two, other = (
+        [r.text for r in rewritten(spark, PEOPLE, key).orderBy("doc_id").collect()] for key in ("a", "a", "b")
+    )
+    assert one == two and all(x != y for x, y in zip(one, other))
+
+
+def test_collisions_are_resolved(spark):
+    """Single-digit addresses have 9 ** 4 surrogates and octets below 256; 1500 entities must collide."""
+    entities = spark.range(1500).select(
+        F.lit("address").alias("kind"),
+        F.concat_ws(".", *[((F.col("id") / 9**k).cast("int") % 9 + 1).cast("string") for k in range(4)]).alias("norm"),
+    )
+    rows = su.surrogate_table(entities.distinct(), "k").collect()
+    norms, codes = {r.norm for r in rows}, {r.code for r in rows}
+    assert len(rows) == len(norms) == len(codes) == 1500 and not norms & codes
+
+
+def test_used_up_formats_become_tags(spark, monkeypatch):
+    monkeypatch.setattr(su, "ATTEMPTS", 2)
+    rows = [("address", f"{a}.{b}.{c}.{d}") for a in range(1, 10) for b in range(1, 10) for c in range(1, 10) for d in range(1, 10)]
+    found = su.surrogate_table(spark.createDataFrame(rows, "kind string, norm string"), "k").collect()
+    assert len(found) == 9**4 == len({r.code for r in found}) and all(r.code.startswith("<address-") for r in found)
