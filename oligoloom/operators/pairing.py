@@ -3,27 +3,30 @@
 Drawing two free oligos at a time and keeping the pair if its two sense scores stay within the
 limit is a sequential process. Here a round makes many disjoint draws at once: free oligos are
 shuffled by a hash into buckets and neighbours are proposed to each other. Rejected oligos stay
-free for the next round; when many draws fail, some accepted pairs are dissolved again so that
-their members can be matched differently.
+free for the next round. When many draws fail, a share of the accepted pairs is dissolved before the
+next round, so that their members can be matched differently; the state with the most pairs is what
+counts in the end.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from oligoloom.functions.draws import digest_number
 from oligoloom.operators.accept import with_position
 from oligoloom.operators.conflicts import PairRules, sense_pair_scores
 from oligoloom.storage import materialize
 
-# Free oligos per shuffle bucket (one task each) and rounds without gain before giving up.
+# Free oligos per shuffle bucket, which one task sorts.
 BUCKET_ROWS = 50_000
-IDLE_ROUNDS = 6
 _ORDER_BITS = 20
 
 PAIR_COLUMNS = ("left_sequence", "right_sequence", "left_vs_right_sense_tm_c", "right_vs_left_sense_tm_c", "pair_tm_c")
+# Tickets for dissolving a pair.
+_TICKETS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -48,6 +51,8 @@ class Pairing:
     accepted: int = 0
     unpaired: int = 0
     target_reached: bool = False
+    # Pairs held after each round; ``accepted`` is the most of them.
+    held: list[int] = field(default_factory=list)
 
     @property
     def completed(self) -> bool:
@@ -55,100 +60,155 @@ class Pairing:
 
 
 def propose_pairs(free: DataFrame, count: int, seed: int, round_no: int) -> DataFrame:
-    """Disjoint random pairs of the ``count`` free oligos, with a unique ``order``."""
-    buckets = max(1, count // BUCKET_ROWS)
-    rows = free.select("sequence", F.xxhash64(F.lit(seed), F.lit(round_no), "sequence").alias("hash"))
+    """The ``count`` free oligos in disjoint random pairs with a unique ``order``; the last one of a bucket
+    may stay without a partner (null)."""
+    buckets = max(1, -(-count // BUCKET_ROWS))
+    rows = free.select("sequence", digest_number(seed, round_no, F.col("sequence")).alias("hash"))
     rows = rows.withColumn("bucket", F.pmod("hash", F.lit(buckets)))
     shuffled = Window.partitionBy("bucket").orderBy("hash", "sequence")
     rows = rows.withColumn("place", F.row_number().over(shuffled)).withColumn(
         "right_sequence", F.lead("sequence").over(shuffled)
     )
-    paired = rows.where((F.col("place") % 2 == 1) & F.col("right_sequence").isNotNull())
     order = F.shiftleft("bucket", _ORDER_BITS) + F.col("place")
-    return paired.select(order.alias("order"), F.col("sequence").alias("left_sequence"), "right_sequence")
+    return rows.where(F.col("place") % 2 == 1).select(
+        order.alias("order"), F.col("sequence").alias("left_sequence"), "right_sequence"
+    )
 
 
-def _scored(proposals: DataFrame, rules: PairRules) -> DataFrame:
-    scored = sense_pair_scores(proposals, rules)
+def score_proposals(proposals: DataFrame, rules: PairRules) -> DataFrame:
+    """Proposals with both sense scores, and whether they fit; without a partner nothing fits."""
+    alone = F.col("right_sequence").isNull()
+    rows = proposals.withColumn("alone", alone).withColumn(
+        "right_sequence", F.coalesce("right_sequence", "left_sequence")
+    )
+    scored = sense_pair_scores(rows, rules)
+    made = ~F.col("alone")
     return scored.select(
         "order",
         "left_sequence",
-        "right_sequence",
+        F.when(made, F.col("right_sequence")).alias("right_sequence"),
         F.col("fwd_tm_c").alias("left_vs_right_sense_tm_c"),
         F.col("rev_tm_c").alias("right_vs_left_sense_tm_c"),
         "pair_tm_c",
-        (F.col("pair_tm_c") <= rules.limit_c).alias("fits"),
-        (F.col("fwd_shortcircuited").cast("long") + F.col("rev_shortcircuited").cast("long")).alias("shortcircuited"),
+        made.alias("made"),
+        (made & (F.col("pair_tm_c") <= rules.limit_c)).alias("fits"),
+        F.when(made, F.col("fwd_shortcircuited").cast("long") + F.col("rev_shortcircuited").cast("long"))
+        .otherwise(0)
+        .alias("shortcircuited"),
     )
 
 
-def _members(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("left_sequence", "right_sequence")).alias("sequence"))
+# A round's table: pairs that were kept (not made in this round) and this round's proposals. A row holds a pair
+# if it was kept or fits; else its members are free.
+_HOLDS = "not made and right_sequence is not null or fits"
+
+
+def _free_members(state: DataFrame, holds: Column) -> DataFrame:
+    members = state.where(~holds).select(F.explode(F.array("left_sequence", "right_sequence")).alias("sequence"))
+    return members.where("sequence is not null")
+
+
+def _cut(state: DataFrame, which: str, allowed: int) -> DataFrame:
+    """Undo this round's draws after number ``allowed`` of those where ``which`` holds."""
+    numbered = with_position(state.where(which).select("order"), "order", "nth")
+    last = numbered.where(F.col("nth") == allowed - 1).first()["order"] if allowed else -1
+    late = F.col("made") & (F.col("order") > last)
+    return (
+        state.withColumn("late", late)
+        .withColumn("fits", F.col("fits") & ~F.col("late"))
+        .withColumn("undone", F.col("late"))
+        .drop("late")
+    )
 
 
 def pair_oligos(pool: DataFrame, rules: PairRules, options: PairingOptions) -> Pairing:
-    """``rules`` are sense rules (see ``PairRules.anywhere``); ``pool`` needs unique sequences."""
-    free = materialize(pool.select("sequence"), "free")
-    free_count = free.count()
-    budget = max(1, free_count * options.attempts_multiplier)
-    schema = "left_sequence string, right_sequence string, " + ", ".join(f"{c} double" for c in PAIR_COLUMNS[2:])
-    empty = pool.sparkSession.createDataFrame([], schema)
-    state = Pairing(pairs=empty, free=free, unpaired=free_count)
-    fewest, since_best, idle, round_no = free_count, 0, 0, 0
+    """``rules`` are sense rules (see ``PairRules.anywhere``); ``pool`` needs unique sequences.
+
+    Ends at the target, when at most one oligo is free, when the draws are used up, or when drawing stagnates:
+    ``stagnation_attempts`` draws, and two draws for each free oligo, have brought no more pairs than before.
+    """
+    start = materialize(
+        pool.select(
+            F.lit(0).cast("long").alias("order"),
+            F.col("sequence").alias("left_sequence"),
+            F.lit(None).cast("string").alias("right_sequence"),
+            *[F.lit(None).cast("double").alias(c) for c in PAIR_COLUMNS[2:]],
+            F.lit(False).alias("made"),
+            F.lit(False).alias("fits"),
+            F.lit(0).cast("long").alias("shortcircuited"),
+        ),
+        "pairing",
+    )
+    count = start.count()
+    budget = max(1, count * options.attempts_multiplier)
+    result = Pairing(pairs=start, free=start, unpaired=count)
+    state = best = start
+    accepted = most = since_best = round_no = 0
+    recent: list[bool] = []
     while (
-        free_count >= 2
-        and state.attempts < budget
-        and since_best < options.stagnation_attempts
-        and idle < IDLE_ROUNDS
-        and state.accepted < options.target_pairs
+        count - 2 * accepted >= 2
+        and accepted < options.target_pairs
+        and result.attempts < budget
+        and (since_best < options.stagnation_attempts or since_best < 2 * (count - 2 * accepted))
     ):
+        holds = F.expr(_HOLDS)
+        chance = min(1.0, max(0.0, result.recent_rejection_rate * options.requeue_scale))
+        if accepted and chance > 0:
+            # On average as many dissolved pairs as drawing one by one would cause.
+            share = min(1.0, chance * ((count - 2 * accepted) // 2) / accepted)
+            ticket = F.pmod(digest_number(options.seed, -round_no, F.col("left_sequence")), F.lit(_TICKETS))
+            holds = holds & (ticket >= int(share * _TICKETS))
         round_no += 1
-        table = materialize(_scored(propose_pairs(free, free_count, options.seed, round_no), rules), "round")
-        # Stop inside the round where the target or the attempt budget is met.
-        wanted = options.target_pairs - state.accepted
-        fits = table.where("fits")
-        if fits.count() > wanted:
-            last = with_position(fits, "order", range_bits=_ORDER_BITS).where(F.col("idx") == wanted - 1)
-            table = table.where(F.col("order") <= last.first()["order"])
-        if table.count() > budget - state.attempts:
-            numbered = with_position(table, "order", range_bits=_ORDER_BITS)
-            table = numbered.where(F.col("idx") < budget - state.attempts).drop("idx")
-        tally = table.agg(
-            F.count(F.lit(1)).alias("made"), F.count_if("fits").alias("fit"), F.sum("shortcircuited").alias("short")
-        ).first()
-        recent = table.orderBy(F.desc("order")).limit(options.rejection_window)
-        rate = recent.agg(F.avg((~F.col("fits")).cast("double"))).first()[0]
-
-        accepted = table.where("fits").select(*PAIR_COLUMNS)
-        pairs = state.pairs.unionAll(accepted)
-        free = free.join(_members(accepted), "sequence", "left_anti")
-        free_count -= 2 * tally.fit
-        state.attempts += tally.made
-        state.rejected += tally.made - tally.fit
-        state.shortcircuited += tally.short or 0
-        state.accepted += tally.fit
-        state.recent_rejection_rate = rate or 0.0
-        if free_count < fewest:
-            fewest, since_best, idle = free_count, 0, 0
+        free = _free_members(state, holds)
+        kept = state.where(holds).withColumn("made", F.lit(False)).withColumn("fits", F.lit(False))
+        kept = kept.withColumn("shortcircuited", F.lit(0).cast("long")).select(start.columns)
+        drawn = score_proposals(propose_pairs(free, count, options.seed, round_no), rules)
+        state = materialize(kept.unionByName(drawn), "pairing")
+        tally = _tally(state)
+        allowed = options.target_pairs - (tally.held - tally.fit)
+        if tally.fit > allowed:
+            state = _undone(_cut(state, "fits", allowed), start.columns)
+            tally = _tally(state)
+        if tally.made > budget - result.attempts:
+            state = _undone(_cut(state, "made", budget - result.attempts), start.columns)
+            tally = _tally(state)
+        result.recycled += accepted - (tally.held - tally.fit)
+        accepted = tally.held
+        result.held.append(accepted)
+        result.attempts += tally.made
+        result.rejected += tally.made - tally.fit
+        result.shortcircuited += tally.short or 0
+        window = state.where("made").orderBy(F.desc("order")).limit(options.rejection_window).select("fits").collect()
+        recent = (recent + [not r.fits for r in reversed(window)])[-max(1, options.rejection_window) :]
+        result.recent_rejection_rate = sum(recent) / len(recent) if recent else 0.0
+        if accepted > most:
+            most, best, since_best = accepted, state, 0
         else:
-            since_best, idle = since_best + tally.made, idle + 1
-
-        chance = min(1.0, max(0.0, state.recent_rejection_rate * options.requeue_scale))
-        more_to_do = free_count >= 2 and state.accepted < options.target_pairs and state.attempts < budget
-        if more_to_do and chance > 0 and state.accepted and idle < IDLE_ROUNDS:
-            # On average as many dissolved pairs as drawing one by one would cause.
-            share = min(1.0, chance * (free_count // 2) / state.accepted)
-            ticket = F.pmod(F.xxhash64(F.lit(options.seed), F.lit(-round_no), "left_sequence"), F.lit(1_000_000))
-            pairs = materialize(pairs.withColumn("back", ticket < F.lit(int(share * 1_000_000))), "pairs")
-            dissolved = pairs.where("back")
-            returned = dissolved.count()
-            free = free.unionAll(_members(dissolved))
-            pairs = pairs.where("not back").drop("back")
-            free_count += 2 * returned
-            state.recycled += returned
-            state.accepted -= returned
-        free = materialize(free, "free")
-        state.pairs = materialize(pairs, "pairs")
-    state.free, state.unpaired = free, free_count
-    state.target_reached = state.accepted >= options.target_pairs
-    return state
+            since_best += tally.made
+    result.pairs = best.where(_HOLDS).select(*PAIR_COLUMNS)
+    result.free = _free_members(best, F.expr(_HOLDS))
+    result.accepted, result.unpaired = most, count - 2 * most
+    result.target_reached = most >= options.target_pairs
+    return result
+
+
+def _tally(state: DataFrame):
+    return state.agg(
+        F.count_if("made").alias("made"),
+        F.count_if("fits").alias("fit"),
+        F.count_if(F.expr(_HOLDS)).alias("held"),
+        F.sum("shortcircuited").alias("short"),
+    ).first()
+
+
+def _undone(state: DataFrame, columns: list[str]) -> DataFrame:
+    """Undone draws become two single oligos."""
+    pairs = state.where("not undone").select(columns)
+    single = state.where("undone").withColumn("side", F.explode(F.array("left_sequence", "right_sequence")))
+    single = (
+        single.withColumn("left_sequence", F.col("side"))
+        .withColumn("right_sequence", F.lit(None).cast("string"))
+        .withColumn("made", F.lit(False))
+        .withColumn("shortcircuited", F.lit(0).cast("long"))
+    )
+    return materialize(pairs.unionByName(single.select(columns)), "pairing")
