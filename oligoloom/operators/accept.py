@@ -2,34 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from itertools import accumulate
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oligoloom.functions.sequence import gc_fraction, reverse_complement
+from oligoloom.storage import materialize
 
-# Attempts per counting range: one range is ranked by one task.
-RANGE_BITS = 20
+# monotonically_increasing_id keeps the partition above this many bits of row number.
+_ROW_BITS = 33
 
 
-def with_position(rows: DataFrame, order: str, out: str = "idx", range_bits: int = RANGE_BITS) -> DataFrame:
-    """Number the rows 0, 1, 2, ... by a unique LONG column, without a global sort.
+def with_position(rows: DataFrame, order: str, out: str = "idx") -> DataFrame:
+    """Number the rows 0, 1, 2, ... by a unique LONG column.
 
-    Rows are ranked inside ranges of the order column and shifted by the sizes of all earlier
-    ranges. Only one count per range is ever brought together.
+    ``rows`` is evaluated once, into a table. Its rows are dealt into ranges of ``order`` and numbered inside
+    them; the sizes of the ranges, one number per task, give each range its first position.
     """
-    ranged = rows.withColumn("__range", F.shiftright(F.col(order), range_bits))
-    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        ranged.groupBy("__range")
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .select("__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0).cast("long")).alias("__before"))
-    )
-    inside = Window.partitionBy("__range").orderBy(order)
+    spark = rows.sparkSession
+    once = materialize(rows, "to-number")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = once.repartitionByRange(tasks, order).sortWithinPartitions(order)
+    placed = materialize(ranged.withColumn("__place", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__place", _ROW_BITS)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
+    before = accumulate((r.n for r in sizes), initial=0)
+    starts = spark.createDataFrame([(r.part, b) for r, b in zip(sizes, before)], "__part long, __before long")
+    inside = F.col("__place").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     return (
-        ranged.withColumn("__rank", F.row_number().over(inside))
-        .join(offsets, "__range")
-        .withColumn(out, F.col("__before") + F.col("__rank") - 1)
-        .drop("__range", "__rank", "__before")
+        placed.withColumn("__part", part)
+        .join(F.broadcast(starts), "__part")
+        .withColumn(out, F.col("__before") + inside)
+        .drop("__part", "__place", "__before")
     )
 
 

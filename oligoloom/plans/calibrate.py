@@ -15,7 +15,6 @@ from oligoloom.operators.calibrate import (
     conflict_rates,
     gc_space,
     pair_metrics,
-    raw_attempts,
     run_histogram,
     sample_pairs,
     search_size,
@@ -23,7 +22,7 @@ from oligoloom.operators.calibrate import (
 from oligoloom.operators.funnel import FUNNEL_ORDER, funnel_totals
 from oligoloom.plans.gather import Source, next_batch, proposal_source
 from oligoloom.sources.files import new_run_dir, write_csv, write_json, write_yaml
-from oligoloom.storage import materialize
+from oligoloom.storage import materialize, scratch_scope
 
 log = logging.getLogger("oligoloom")
 
@@ -31,8 +30,13 @@ MODEL = "thermo_only_3prime_rc"
 
 
 def run_calibration(config: RunConfig, spark: SparkSession, source: Source | None = None) -> dict[str, Any]:
+    with scratch_scope(spark):
+        return _calibrate(config, spark, source)
+
+
+def _calibrate(config: RunConfig, spark: SparkSession, source: Source | None) -> dict[str, Any]:
     options, generator = config.calibration, config.generator
-    run_dir = new_run_dir(config, suffix="_calibration", remember=False)
+    run_dir = new_run_dir(spark, config, suffix="_calibration", remember=False)
     base_seed = int(generator.random_seed or 0)
     source = source or proposal_source(config, base_seed + options.random_seed_offset)
 
@@ -56,16 +60,12 @@ def run_calibration(config: RunConfig, spark: SparkSession, source: Source | Non
     seconds_per_pair = (time.perf_counter() - started) / rates.pair_count
 
     pass_rate = found / attempts
-    size, kept, degree = search_size(
-        spark,
-        generator.target_size,
-        rates.conflict_probability,
-        options.graph_size_cap,
-        options.graph_trials,
-        base_seed,
-    )
+    size = search_size(generator.target_size, rates.conflict_probability)
+    degree = rates.conflict_probability * (size - 1) if rates.conflict_probability else 0.0
+    kept = generator.target_size / size
     space = gc_space(generator.primer_length, *config.gc_range)
-    expected = raw_attempts(size, pass_rate)
+    # Each accepted oligo takes 1 / pass_rate attempts on average.
+    expected = size / pass_rate
     validation_pairs = size * (size - 1) / 2
     runtime = math.inf
     if math.isfinite(expected):
@@ -74,7 +74,7 @@ def run_calibration(config: RunConfig, spark: SparkSession, source: Source | Non
         "model": MODEL,
         "local_pass_rate": pass_rate,
         "conflict_probability": rates.conflict_probability,
-        "predicted_search_size": size,
+        "predicted_search_size": float(size),
         "predicted_retained_fraction": kept,
         "predicted_mean_conflict_degree": degree,
         "predicted_raw_attempts": float(expected),
@@ -100,18 +100,19 @@ def run_calibration(config: RunConfig, spark: SparkSession, source: Source | Non
         "rejection_counts": {name: totals[name] for name in FUNNEL_ORDER if totals[name]},
     }
     write_json(
-        run_dir / "calibration_summary.json",
+        spark,
+        f"{run_dir}/calibration_summary.json",
         {"recommended": estimate, "calibration_inputs": inputs, "search_estimate": [estimate]},
     )
     row = spark.createDataFrame([tuple(estimate.values())], list(estimate)).withColumn("place", F.lit(0))
-    write_csv(row, run_dir / "thermo_search_estimate.csv", "place", 1)
+    write_csv(row, f"{run_dir}/thermo_search_estimate.csv", "place", 1)
     bins = histogram.withColumn("place", F.col("anchored_run_length"))
-    write_csv(bins, run_dir / "pair_3prime_run_histogram.csv", "place", 1)
-    write_yaml(run_dir / "calibration_resolved_config.yaml", config.merged)
+    write_csv(bins, f"{run_dir}/pair_3prime_run_histogram.csv", "place", 1)
+    write_yaml(spark, f"{run_dir}/calibration_resolved_config.yaml", config.merged)
     log.info("calibration in %s: search size %d, %.0f attempts", run_dir, size, expected)
     return {
         "recommended": estimate,
-        "run_dir": str(run_dir),
+        "run_dir": run_dir,
         "search_estimate": [estimate],
         "pair_3prime_run_histogram": [r.asDict() for r in histogram.orderBy("anchored_run_length").collect()],
     }

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import datetime
-from pathlib import Path
 from typing import Any
 
 import yaml
@@ -14,10 +13,9 @@ from pyspark.sql import functions as F
 
 from oligoloom.config import ConfigError, RunConfig
 from oligoloom.functions.sequence import is_dna
+from oligoloom.sources.shared import exists, make_folder, read_text, write_text
 
 LATEST = "latest_run.txt"
-# Up to this many rows a table is written as one part file, beyond it as many ordered ones.
-SINGLE_FILE_ROWS = 100_000
 
 
 def read_candidates(spark: SparkSession, path: str, length: int, format: str = "parquet", **options) -> DataFrame:
@@ -30,27 +28,32 @@ def read_candidates(spark: SparkSession, path: str, length: int, format: str = "
     return rows.select(F.col("attempt_id").cast("long").alias("attempt_id"), checked.alias("sequence"))
 
 
-def new_run_dir(config: RunConfig, suffix: str = "", remember: bool = True) -> Path:
-    root = (config.base_dir / config.output.root_dir).resolve()
+def output_root(config: RunConfig) -> str:
+    """Where run directories go: a URI as given, or a folder next to the configuration."""
+    root = str(config.output.root_dir)
+    return root.rstrip("/") if ":" in root else str((config.base_dir / root).resolve())
+
+
+def new_run_dir(spark: SparkSession, config: RunConfig, suffix: str = "", remember: bool = True) -> str:
+    root = output_root(config)
     stamp = datetime.now().strftime("%Y%m%d_%H%M%S") + suffix
     for number in range(1, 10_000):
-        run_dir = root / (stamp if number == 1 else f"{stamp}_{number:02d}")
-        try:
-            run_dir.mkdir(parents=True)
-        except FileExistsError:
+        run_dir = f"{root}/{stamp}" if number == 1 else f"{root}/{stamp}_{number:02d}"
+        if exists(spark, run_dir):
             continue
+        make_folder(spark, run_dir)
         if remember:
-            (root / LATEST).write_text(str(run_dir), encoding="utf-8")
+            write_text(spark, f"{root}/{LATEST}", run_dir)
         return run_dir
     raise ConfigError(f"no free run directory under {root}")
 
 
-def latest_run_dir(config: RunConfig) -> Path:
-    pointer = (config.base_dir / config.output.root_dir).resolve() / LATEST
-    if not pointer.exists():
+def latest_run_dir(spark: SparkSession, config: RunConfig) -> str:
+    pointer = f"{output_root(config)}/{LATEST}"
+    if not exists(spark, pointer):
         raise ConfigError(f"no earlier run is recorded in {pointer}")
-    run_dir = Path(pointer.read_text(encoding="utf-8").strip())
-    if not run_dir.exists():
+    run_dir = read_text(spark, pointer).strip()
+    if not exists(spark, run_dir):
         raise ConfigError(f"the recorded run directory is gone: {run_dir}")
     return run_dir
 
@@ -64,66 +67,106 @@ def python_float(value: Column) -> Column:
     )
 
 
-def write_csv(rows: DataFrame, path: Path, order: str, count: int) -> None:
-    """A CSV folder in ``order``; without rows it has no header line either."""
-    rows = rows.orderBy(order) if count > SINGLE_FILE_ROWS else rows.coalesce(1).sortWithinPartitions(order)
+def write_csv(rows: DataFrame, path: str, order: str, count: int) -> None:
+    """A CSV folder of part files in ``order``; without rows it has no header line either."""
+    rows = rows.orderBy(order)
     doubles = [f.name for f in rows.schema.fields if f.dataType.simpleString() == "double"]
     columns = [python_float(F.col(c)).alias(c) if c in doubles else F.col(c) for c in rows.columns if c != order]
-    rows.select(*columns).write.mode("overwrite").csv(str(path), header=count > 0)
+    rows.select(*columns).write.mode("overwrite").csv(path, header=count > 0)
+
 
+def write_json_lines(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").json(path)
 
-def write_json_lines(rows: DataFrame, path: Path) -> None:
-    rows.write.mode("overwrite").json(str(path))
 
+def write_json(spark: SparkSession, path: str, payload: dict[str, Any]) -> None:
+    write_text(spark, path, json.dumps(payload, indent=2, sort_keys=True))
 
-def write_json(path: Path, payload: dict[str, Any]) -> None:
-    path.write_text(json.dumps(payload, indent=2, sort_keys=True), encoding="utf-8")
 
+def write_yaml(spark: SparkSession, path: str, payload: dict[str, Any]) -> None:
+    write_text(spark, path, yaml.safe_dump(payload, sort_keys=False, default_flow_style=False))
 
-def write_yaml(path: Path, payload: dict[str, Any]) -> None:
-    path.write_text(yaml.safe_dump(payload, sort_keys=False, default_flow_style=False), encoding="utf-8")
+
+POOL_SCHEMA = "idx long, attempt_id long, sequence string, intrinsic_tm_c double"
+SEEN_SCHEMA = "sequence string"
 
 
 @dataclass
 class RunState:
-    """What a run needs to go on: the accepted pool, every sequence ever accepted, the attempts."""
+    """What a run needs to go on: the accepted pool, every sequence ever accepted, the attempts.
 
-    pool: DataFrame
-    seen: DataFrame
-    attempts: int
-    seed: int
+    Pool and seen sequences are tables that grow by a folder a batch; the manifest lists the folders. It is
+    written last, so a broken save leaves the old state, and a repeated batch overwrites its own folder.
+    """
 
-
-def save_state(folder: Path, config: RunConfig, state: RunState, version: int) -> None:
-    """Tables first, then the manifest that points at them, so a broken save leaves the old state."""
-    names = {"pool": f"pool-{version}", "seen": f"seen-{version}"}
-    state.pool.write.mode("overwrite").parquet(str(folder / names["pool"]))
-    state.seen.write.mode("overwrite").parquet(str(folder / names["seen"]))
-    manifest = {
-        **names,
-        "version": version,
-        "attempts": state.attempts,
-        "seed": state.seed,
-        "config_digest": config.digest,
-        "config": config.merged,
-    }
-    draft = folder / "manifest.json.new"
-    draft.write_text(json.dumps(manifest, default=str), encoding="utf-8")
-    draft.replace(folder / "manifest.json")
-
-
-def load_state(spark: SparkSession, folder: Path, config: RunConfig) -> tuple[RunState, int]:
-    path = folder / "manifest.json"
-    if not path.exists():
+    spark: SparkSession
+    folder: str
+    config: RunConfig
+    seed: int
+    attempts: int = 0
+    version: int = 0
+    pool_parts: list[str] = field(default_factory=list)
+    seen_parts: list[str] = field(default_factory=list)
+
+    def _table(self, parts: list[str], schema: str) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{part}" for part in parts])
+
+    @property
+    def pool(self) -> DataFrame:
+        return self._table(self.pool_parts, POOL_SCHEMA)
+
+    @property
+    def seen(self) -> DataFrame:
+        return self._table(self.seen_parts, SEEN_SCHEMA)
+
+    def _write(self, rows: DataFrame, name: str) -> str:
+        part = f"{name}-{self.version + 1}"
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{part}")
+        return part
+
+    def append(self, rows: DataFrame, attempts: int) -> None:
+        """Add newly accepted rows and note the attempts they took."""
+        columns = [c.split()[0] for c in POOL_SCHEMA.split(", ")]
+        self.pool_parts = [*self.pool_parts, self._write(rows.select(columns), "pool")]
+        self.seen_parts = [*self.seen_parts, self._write(rows.select("sequence"), "seen")]
+        self.attempts = attempts
+        self._save()
+
+    def replace_pool(self, rows: DataFrame) -> None:
+        self.pool_parts = [self._write(rows, "pool")]
+        self._save()
+
+    def _save(self) -> None:
+        self.version += 1
+        manifest = {
+            "pool": self.pool_parts,
+            "seen": self.seen_parts,
+            "version": self.version,
+            "attempts": self.attempts,
+            "seed": self.seed,
+            "config_digest": self.config.digest,
+            "config": self.config.merged,
+        }
+        write_text(self.spark, f"{self.folder}/manifest.json", json.dumps(manifest, default=str))
+
+
+def load_state(spark: SparkSession, folder: str, config: RunConfig) -> RunState:
+    path = f"{folder}/manifest.json"
+    if not exists(spark, path):
         raise ConfigError(f"no checkpoint at {path}")
-    manifest = json.loads(path.read_text(encoding="utf-8"))
+    manifest = json.loads(read_text(spark, path))
     same = json.loads(json.dumps(config.merged, default=str)) == manifest["config"]
     if manifest["config_digest"] != config.digest and not same:
         raise ConfigError("the checkpoint was written under a different configuration")
-    state = RunState(
-        pool=spark.read.parquet(str(folder / manifest["pool"])),
-        seen=spark.read.parquet(str(folder / manifest["seen"])),
-        attempts=manifest["attempts"],
+    return RunState(
+        spark,
+        folder,
+        config,
         seed=manifest["seed"],
+        attempts=manifest["attempts"],
+        version=manifest["version"],
+        pool_parts=manifest["pool"],
+        seen_parts=manifest["seen"],
     )
-    return state, manifest["version"]

@@ -21,30 +21,42 @@ def attempts(spark: SparkSession, first: int, last: int) -> DataFrame:
     return spark.range(first, last + 1, 1, tasks).select(F.col("id").alias("attempt_id"))
 
 
-def gc_balanced(attempt: Column, seed: int, length: int, gc_low: float, gc_high: float) -> Column:
-    """A random sequence whose GC count is uniform within the bounds.
+# Slots that one SHA-256 digest feeds, with six hexadecimal digits each; four more are left over.
+_SLOTS, _DIGITS = 10, 6
 
-    Each slot gets a hash; the first ``gc`` slots use one bit of it to choose between G and C,
-    the others between A and T. Sorting the hashes shuffles the slots.
+
+def _hex_number(digest: str, first: int, digits: int) -> Column:
+    return F.conv(F.substring(digest, first + 1, digits), 16, 10).cast("long")
+
+
+def gc_balanced(rows: DataFrame, seed: int, length: int, gc_low: float, gc_high: float) -> DataFrame:
+    """``rows`` (attempt_id) with a random ``sequence`` whose GC count is uniform within the bounds.
+
+    Each slot gets a number; the first ``gc`` slots use one bit of it to choose between G and C, the others
+    between A and T. Sorting the numbers shuffles the slots. The numbers come from digests of the seed, the
+    attempt and the block of slots, so that other engines can follow the draw.
     """
     least, most = gc_bounds(length, gc_low, gc_high)
-    gc = F.pmod(F.xxhash64(F.lit(seed), attempt, F.lit(-1)), F.lit(most - least + 1)) + least
+    blocks = range(-(-length // _SLOTS))
+    for block in blocks:
+        text = F.concat_ws("-", F.lit(str(seed)), F.col("attempt_id").cast("string"), F.lit(str(block)))
+        rows = rows.withColumn(f"__digest{block}", F.sha2(text.cast("binary"), 256))
+    rows = rows.withColumn("__gc", _hex_number("__digest0", _SLOTS * _DIGITS, 4) % (most - least + 1) + least)
     slots = []
     for slot in range(length):
-        draw = F.xxhash64(F.lit(seed), attempt, F.lit(slot))
-        coin = F.shiftright(draw, 2).bitwiseAND(1)
-        # Base codes A=0 C=1 G=2 T=3: C or G against A or T.
-        base = F.when(F.lit(slot) < gc, coin + 1).otherwise(coin * 3)
-        slots.append(F.shiftleft(F.shiftright(draw, 2), 2).bitwiseOR(base))
+        draw = _hex_number(f"__digest{slot // _SLOTS}", slot % _SLOTS * _DIGITS, _DIGITS)
+        coin = draw.bitwiseAND(1)
+        # Base codes A=0 C=1 G=2 T=3: C or G against A or T. Equal draws keep the order of their slots.
+        base = F.when(F.lit(slot) < F.col("__gc"), coin + 1).otherwise(coin * 3)
+        slots.append(draw * (4 * length) + (4 * slot) + base)
     shuffled = F.sort_array(F.array(*slots))
-    letters = F.transform(shuffled, lambda v: F.substring(F.lit(ALPHABET), (v.bitwiseAND(3) + 1).cast("int"), F.lit(1)))
-    return F.array_join(letters, "")
+    letters = F.transform(shuffled, lambda v: F.substring(F.lit(ALPHABET), (v % 4 + 1).cast("int"), F.lit(1)))
+    return rows.withColumn("sequence", F.array_join(letters, ""))
 
 
 def propose(rows: DataFrame, seed: int, length: int, gc_low: float, gc_high: float) -> DataFrame:
     """Candidates for a DataFrame of ``attempt_id`` values."""
-    sequence = gc_balanced(F.col("attempt_id"), seed, length, gc_low, gc_high)
-    return rows.select("attempt_id", sequence.alias("sequence"))
+    return gc_balanced(rows.select("attempt_id"), seed, length, gc_low, gc_high).select("attempt_id", "sequence")
 
 
 def enumerate_sequences(spark: SparkSession, length: int) -> DataFrame:

@@ -9,9 +9,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from oligoloom.sources.shared import remove
+
 _DIR_KEY = "spark.checkpoint.dir"
 
 
@@ -35,4 +39,22 @@ def materialize(rows: DataFrame, label: str) -> DataFrame:
     spark = rows.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     rows.write.parquet(path)
+    for written in _scopes:
+        written.append(path)
     return spark.read.schema(rows.schema).parquet(path)
+
+
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that are written inside when it is left; nothing may read them any more then."""
+    written: list[str] = []
+    _scopes.append(written)
+    try:
+        yield
+    finally:
+        _scopes.remove(written)
+        for path in written:
+            remove(spark, path)
