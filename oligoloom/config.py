@@ -10,6 +10,7 @@ from typing import Any
 
 import yaml
 
+from oligoloom.functions.motifs import both_strands
 from oligoloom.functions.melting import Chemistry
 from oligoloom.operators.conflicts import PairRules
 from oligoloom.operators.funnel import FunnelSettings
@@ -145,10 +146,8 @@ class RunConfig:
         return float(self.thermodynamics.pair_tm_max_c if own is None else own)
 
     def motifs(self) -> tuple[str, ...]:
-        words = set(self.forbidden_motifs.motifs)
-        if self.forbidden_motifs.include_reverse_complements:
-            words |= {word.translate(str.maketrans("ACGT", "TGCA"))[::-1] for word in words}
-        return tuple(sorted(words))
+        words = self.forbidden_motifs.motifs
+        return both_strands(words) if self.forbidden_motifs.include_reverse_complements else tuple(sorted(set(words)))
 
     def funnel(self) -> FunnelSettings:
         f = self.filters

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -51,6 +52,12 @@ def repeat_exceeds(seq: Column, length: int, unit: int, limit: int, packed: Colu
     return tandem_repeat(seq, length, unit, limit + 1, packed)
 
 
+def both_strands(motifs: Iterable[str]) -> tuple[str, ...]:
+    """The motifs and their reverse complements, each once."""
+    opposite = str.maketrans("ACGT", "TGCA")
+    return tuple(sorted({word for motif in motifs for word in (motif, motif.translate(opposite)[::-1])}))
+
+
 def contains_motif(seq: Column, motifs: tuple[str, ...]) -> Column:
     return _any([F.contains(seq, F.lit(m)) for m in motifs if m])
 

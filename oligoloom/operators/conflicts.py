@@ -157,7 +157,7 @@ def _hot_pairs(
         f"(left_last = {n - 1} or right_last = {n - 1}"
         " or substring(left_sequence, left_last + 2, 1) != substring(partner, right_last + 2, 1))"
     )
-    pairs = grid_join(left, right, "key", "left_index", "right_index", met, cell_matches, count)
+    pairs = grid_join(left, right, "key", "left_index", "right_index", met, cell_matches)
     scored = with_score(
         pairs, "left_sequence", "partner", n, rules.window, rules.min_run, rules.gate, rules.chemistry
     )
@@ -250,7 +250,7 @@ def candidate_pairs(
     for nth, start in enumerate(starts[:-1]):
         earlier = F.contains(F.col("partner"), F.substring("left_sequence", start + 1, k))
         condition = condition & ((F.col("nth") <= nth) | ~earlier)
-    pairs = grid_join(left, right, "word", "left_index", "right_index", condition, cell_matches, count)
+    pairs = grid_join(left, right, "word", "left_index", "right_index", condition, cell_matches)
     return pairs.select("left_index", "right_index", "left_sequence", "partner")
 
 

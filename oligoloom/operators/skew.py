@@ -7,12 +7,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from oligoloom.storage import materialize
+
 # A key is heavy when its matches exceed this many; each grid cell then holds at most about that many.
 CELL_MATCHES = 4_000_000
-# Length bound of the heavy-key list, and with it of the broadcast. It only decides which keys
-# get a grid: lighter keys beyond the bound are joined unsplit, no match is ever lost.
-MAX_HEAVY_KEYS = 1000
-
+# Heavy keys are sent to every task up to this many; a longer list is joined like any other table.
+BROADCAST_KEYS = 100_000
 
 # Per-oligo work (k-mer sets, suffix keys) is heavy for the few bytes an oligo takes, so file
 # splits are too coarse a unit for it.
@@ -27,21 +27,20 @@ def spread(rows: DataFrame, key: str, count: int) -> DataFrame:
     return rows.repartition(tasks, key) if tasks > 1 else rows
 
 
-def heavy_keys(left: DataFrame, right: DataFrame, key: str, cell_matches: int) -> list[tuple]:
-    """(key, left parts, right parts) of the heaviest keys, from map-side combined counts."""
+def heavy_keys(left: DataFrame, right: DataFrame, key: str, cell_matches: int) -> DataFrame:
+    """(key, left parts, right parts) of all keys with more matches than a cell, from map-side combined counts."""
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
-    counts = (
+    side = math.sqrt(cell_matches)
+    return (
         left.select(key, one.alias("l"), zero.alias("r"))
         .unionAll(right.select(key, zero.alias("l"), one.alias("r")))
         .groupBy(key)
         .agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-        .withColumn("matches", F.col("l").cast("double") * F.col("r"))
-        .where(F.col("matches") > cell_matches)
-        .orderBy(F.desc("matches"), key)
-        .limit(MAX_HEAVY_KEYS)
+        .where(F.col("l").cast("double") * F.col("r") > cell_matches)
+        .select(
+            key, F.ceil(F.col("l") / side).cast("int").alias("__lp"), F.ceil(F.col("r") / side).cast("int").alias("__rp")
+        )
     )
-    side = math.sqrt(cell_matches)
-    return [(row[key], math.ceil(row.l / side), math.ceil(row.r / side)) for row in counts.collect()]
 
 
 def grid_join(
@@ -52,21 +51,14 @@ def grid_join(
     right_id: str,
     condition: Column | None = None,
     cell_matches: int = CELL_MATCHES,
-    rows_per_key: int | None = None,
 ) -> DataFrame:
     """Inner join on ``key``. A heavy key becomes a grid: left rows pick a grid row by hash of
     their id and are copied along it, right rows do the same by column, so every pair still
-    meets exactly once but no task sees more than one cell. ``rows_per_key`` is what one key
-    can hold at most on a side; if that is little, nobody has to look for heavy keys."""
-    light = rows_per_key is not None and rows_per_key**2 <= cell_matches
-    heavy = [] if light else heavy_keys(left, right, key, cell_matches)
-    # Both sides come out of an explode, which size estimates do not see; never broadcast them.
-    if not heavy:
-        joined = left.join(right.hint("merge"), key)
-        return joined if condition is None else joined.where(condition)
-    spark = left.sparkSession
-    schema = f"{key} {left.schema[key].dataType.simpleString()}, __lp int, __rp int"
-    grid = F.broadcast(spark.createDataFrame(heavy, schema))
+    meets exactly once but no task sees more than one cell. Both sides are stored first, so keys
+    are worked out once for counting and joining."""
+    left, right = materialize(left, "left-keys"), materialize(right, "right-keys")
+    heavy = materialize(heavy_keys(left, right, key, cell_matches), "heavy-keys")
+    grid = F.broadcast(heavy) if heavy.count() <= BROADCAST_KEYS else heavy.hint("merge")
 
     def cell(row_id: str, parts: str) -> Column:
         return F.coalesce(F.pmod(F.xxhash64(row_id), F.col(parts)).cast("int"), F.lit(0))
@@ -86,5 +78,6 @@ def grid_join(
         .withColumn("__i", copies("__lp"))
         .drop("__lp", "__rp")
     )
+    # Sizes after an explode are underestimated; neither side is ever broadcast.
     joined = left_cells.join(right_cells.hint("merge"), [key, "__i", "__j"]).drop("__i", "__j")
     return joined if condition is None else joined.where(condition)

@@ -20,8 +20,9 @@ POOL_SCHEMA = "attempt_id long, sequence string, intrinsic_tm_c double, idx long
 
 
 def judge(candidates: DataFrame, settings: FunnelSettings) -> DataFrame:
-    """First proposals of a stream with their funnel verdict; the state holds the sequences seen."""
-    return with_reason(candidates.dropDuplicates(["sequence"]), settings)
+    """Funnel verdict of each proposal of a stream. Repeats get the same verdict again: telling them apart would
+    take a state as large as the stream; the growing pool finds them in its own table."""
+    return with_reason(candidates, settings)
 
 
 def read_pool(rows: DataFrame, folder: str, before: int | None = None) -> DataFrame:
