@@ -18,8 +18,9 @@ from oligoloom.operators import pair_counts as pc
 from oligoloom.operators import prune as pr
 from oligoloom.operators.accept import accept_first, oligo_records, output_rows, with_position
 from oligoloom.operators.gate import gate_lengths
-from oligoloom.operators.pairing import PairingOptions, pair_oligos
-from oligoloom.sources.proposals import propose
+from oligoloom.operators.pairing import propose_pairs, score_proposals
+from oligoloom.plans.gather import next_batch
+from oligoloom.sources.proposals import enumerate_sequences, propose
 from oligoloom.sources.tables import customer_candidates, line_candidates, order_candidates, table
 from oligoloom.storage import materialize
 
@@ -57,6 +58,11 @@ def query(fn: Query) -> Query:
 _tables: dict[tuple[str, str, str], DataFrame] = {}
 
 
+def forget() -> None:
+    """Drop the intermediate tables, after their inputs have changed or to time a query from the start."""
+    _tables.clear()
+
+
 def _once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Intermediate tables several queries start from are written once per application."""
     slot = (spark.sparkContext.applicationId, sf_dir, name)
@@ -144,16 +150,17 @@ def intrinsic_tm_magnesium(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def max_tm_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hottest word of each length inside the accepted oligos."""
-    spans = [f"substring(sequence, {s + 1}, {size})" for size in range(2, 13) for s in range(LENGTH - size + 1)]
+    spans = [f"substring(sequence, {s + 1}, {n})" for n in range(2, LENGTH + 1) for s in range(LENGTH - n + 1)]
     words = accepted(spark, sf_dir).select(F.explode(F.expr(f"array({', '.join(spans)})")).alias("word"))
-    rows = with_intrinsic_tm(words, "word", "tm", 12, CHEMISTRY)
+    rows = with_intrinsic_tm(words, "word", "tm", LENGTH, CHEMISTRY)
     return rows.groupBy(F.length("word").alias("length")).agg(F.round(F.max("tm"), 4).alias("max_tm_c"))
 
 
 @query
 def gc_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many 9-base fragments of the candidates could sit in an admissible oligo, by GC count."""
-    fragments = order_candidates(spark, sf_dir).select(F.substring("sequence", 1, 9).alias("fragment"))
+    spans = F.expr(sq.words_sql("sequence", 9, range(LENGTH - 8)))
+    fragments = order_candidates(spark, sf_dir).select(F.explode(spans).alias("fragment"))
     gc = sq.gc_count(F.col("fragment"))
     return (
         fragments.groupBy(gc.cast("long").alias("gc"))
@@ -162,6 +169,24 @@ def gc_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def alphabet_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which three-letter texts, cut from digests of the order keys, are DNA."""
+    digest = F.upper(F.md5(F.col("o_orderkey").cast("string").cast("binary")))
+    texts = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("attempt_id"), F.substring(digest, 1, 3).alias("text")
+    )
+    return texts.where(sq.is_dna(F.col("text"), 3))
+
+
+@query
+def word_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many order candidates begin with each of all five-base sequences."""
+    begun = order_candidates(spark, sf_dir).groupBy(F.substring("sequence", 1, 5).alias("sequence"))
+    rows = enumerate_sequences(spark, 5).join(begun.agg(F.count(F.lit(1)).alias("n")), "sequence", "left")
+    return rows.select("id", "sequence", F.coalesce("n", F.lit(0)).cast("long").alias("candidates"))
+
+
 # ---- filters -------------------------------------------------------------------------------
 
 
@@ -191,6 +216,13 @@ def flt_motif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rejected(spark, sf_dir, mo.contains_motif(F.col("sequence"), FUNNEL.motifs))
 
 
+@query
+def flt_motif_both_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Motifs that are not their own reverse complement, looked for on both strands."""
+    motifs = mo.both_strands(["GAAGA", "CTGCA"])
+    return _rejected(spark, sf_dir, mo.contains_motif(F.col("sequence"), motifs))
+
+
 @query
 def flt_tm_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_intrinsic_tm(order_candidates(spark, sf_dir), "sequence", "tm", LENGTH, CHEMISTRY, fixed=True)
@@ -263,6 +295,20 @@ def accept_prefix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _first_accepted(customer_candidates(spark, sf_dir), 100)
 
 
+@query
+def accept_second_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next 200 acceptances when the older half of the pool has been accepted before."""
+    half = _half(spark, sf_dir)
+    seen = accepted(spark, sf_dir).where(F.col("idx") < half).select("sequence")
+    ends = order_candidates(spark, sf_dir).agg(F.min("attempt_id"), F.max("attempt_id")).first()
+
+    def source(session: SparkSession, first: int, last: int) -> DataFrame:
+        return order_candidates(session, sf_dir).where(F.col("attempt_id").between(first, last))
+
+    rows, _, _ = next_batch(spark, source, FUNNEL, seen, ends[0], ends[1], 200)
+    return rows.select((F.col("idx") + half).alias("idx"), "attempt_id", "sequence")
+
+
 # ---- k-mers and pairs ----------------------------------------------------------------------
 
 
@@ -440,11 +486,33 @@ def trimmed_oligos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def pairing_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of the whole pool, as many as it allows."""
+def delivery_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The survivors of the denser graph, numbered in pool order."""
+    kept = pr.independent_set(accepted(spark, sf_dir), dense_edges(spark, sf_dir))
+    return with_position(kept.select("idx", "sequence"), "idx", "place")
+
+
+@query
+def conflict_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conflicts numbered by left, then right oligo."""
+    key = F.shiftleft("left_index", 32) + F.col("right_index")
+    rows = dense_edges(spark, sf_dir).select("left_index", "right_index", key.alias("key"))
+    return with_position(rows, "key", "place").drop("key")
+
+
+@query
+def pairing_first_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first round of draws: who meets whom, both sense scores, and whether the pair fits."""
     pool = accepted(spark, sf_dir)
-    options = PairingOptions(target_pairs=pool.count() // 2, seed=SAMPLE_SEED)
-    return pair_oligos(pool, SENSE_RULES, options).pairs
+    drawn = score_proposals(propose_pairs(pool, pool.count(), SAMPLE_SEED, 1), SENSE_RULES)
+    return drawn.where("made").select(
+        "order",
+        "left_sequence",
+        "right_sequence",
+        F.round("left_vs_right_sense_tm_c", 4).alias("left_vs_right_sense_tm_c"),
+        F.round("right_vs_left_sense_tm_c", 4).alias("right_vs_left_sense_tm_c"),
+        "fits",
+    )
 
 
 @query
@@ -489,12 +557,44 @@ def calib_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def calib_search_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predicted search for a pool as large as the accepted one."""
-    target = accepted(spark, sf_dir).count()
+def calib_search_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What pruning should leave of pools of the accepted size, half of it and a tenth of it."""
+    pool = accepted(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
+    sizes = pool.select(F.explode(F.expr("array(n, n div 2, n div 10)")).alias("oligos"))
     chance = cal.conflict_rates(_metrics(spark, sf_dir)).first()["conflict_probability"]
-    size, kept, degree = cal.search_size(spark, target, chance, size_cap=300, trials=8, seed=SAMPLE_SEED)
-    return spark.createDataFrame(
-        [(size, kept, degree)],
-        "predicted_search_size long, predicted_retained_fraction double, predicted_mean_conflict_degree double",
+    rows = sizes.withColumn("degree", F.lit(chance) * (F.col("oligos") - 1))
+    share = F.when(F.col("degree") > 0, -F.expm1(-F.col("degree")) / F.col("degree")).otherwise(1.0)
+    return rows.select(
+        "oligos",
+        F.round("degree", 4).alias("mean_conflict_degree"),
+        F.round(share, 6).alias("retained_share"),
+    )
+
+
+def _score_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = cal.sample_pairs(accepted(spark, sf_dir), PAIR_SAMPLE, SAMPLE_SEED)
+    return co.score_pairs(pairs, RULES)
+
+
+@query
+def pair_score_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fields of the score records of sampled pairs, whatever came of them."""
+    return _score_records(spark, sf_dir).select(
+        "left_index",
+        "right_index",
+        F.coalesce("run_length", F.lit(0)).alias("anchored_run_length"),
+        F.coalesce("run_sequence", F.lit("")).alias("anchored_run_sequence"),
+        F.round("run_tm_c", 4).alias("tm_c"),
+        F.col("run_below_min").alias("below_min_alignment_run"),
+        F.col("run_shortcircuited").alias("tm_shortcircuited"),
+        F.col("run_evaluated").alias("tm_evaluated"),
+    )
+
+
+@query
+def pair_score_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _score_records(spark, sf_dir).agg(
+        F.count_if("run_below_min").alias("below_min_alignment_run"),
+        F.count_if("run_shortcircuited").alias("tm_shortcircuited"),
+        F.count_if("run_evaluated").alias("tm_evaluated"),
     )

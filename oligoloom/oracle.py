@@ -175,21 +175,25 @@ _SURVIVORS = f"""{_EDGES_30}, {_GREEDY}
 SELECT idx, sequence FROM pool WHERE idx NOT IN (SELECT victim FROM steps WHERE victim IS NOT NULL)"""
 
 
+def _digest(*parts: str) -> str:
+    text = " || '-' || ".join(f"cast({p} AS varchar)" for p in parts)
+    return f"('0x' || substr(md5({text}), 1, 15))::BIGINT"
+
+
 def _sampled(size: int, seed: int) -> str:
-    draw = f"('0x' || substr(md5('{seed}-' || cast(t AS varchar)), 1, 15))::BIGINT"
+    """More draws than needed do no harm: the first ``size`` different numbers count."""
     return f"""size AS (SELECT count(*) * (count(*) - 1) // 2 AS total FROM pool),
-draws AS (SELECT t, {draw} AS h, total FROM size, unnest(range(0, greatest(total, {2 * size + 64}))) AS u(t)
- WHERE CASE WHEN total <= {4 * size} THEN t < total ELSE t < {2 * size + 64} END),
-numbered AS (SELECT CASE WHEN total <= {4 * size} THEN t ELSE h % total END AS rank,
- CASE WHEN total <= {4 * size} THEN h ELSE t END AS draw FROM draws),
+numbered AS (SELECT t AS draw, {_digest(seed, 't')} % total AS rank FROM size, unnest(range(0, {10 * size})) AS u(t)),
 ranks AS (SELECT rank, min(draw) AS draw FROM numbered GROUP BY rank ORDER BY draw, rank LIMIT {size}),
 sampled AS (SELECT r.rank - j * (j - 1) // 2 AS left_index, j AS right_index
  FROM ranks r, size, LATERAL (SELECT max(x) AS j FROM unnest([floor((1 + sqrt(1 + 8.0 * r.rank)) / 2)::BIGINT + d for d in [-1, 0, 1]]) AS v(x)
   WHERE x * (x - 1) // 2 <= r.rank)),
 {_runs(1, anchored=True, sense=False, among='sampled')},
-metrics AS (SELECT s.left_index, s.right_index, coalesce(b.run_length, 0) AS anchored_run_length,
- CASE WHEN b.run_length >= 4 THEN {_tm('b.run_sequence')} ELSE '-infinity'::double END AS tm
- FROM sampled s LEFT JOIN best b USING (left_index, right_index))"""
+records AS (SELECT s.left_index, s.right_index, coalesce(b.run_length, 0) AS anchored_run_length,
+ coalesce(b.run_sequence, '') AS anchored_run_sequence
+ FROM sampled s LEFT JOIN best b USING (left_index, right_index)),
+metrics AS (SELECT *, CASE WHEN anchored_run_length >= 4 THEN {_tm('anchored_run_sequence')} ELSE '-infinity'::double END AS tm
+ FROM records)"""
 
 
 _SAMPLE = f"WITH {POOL}, {_sampled(4000, 12345)}"
@@ -232,6 +236,20 @@ SELECT row_number() OVER (ORDER BY attempt_id) - 1 AS idx, attempt_id, sequence,
 FROM judged WHERE reason = 'accepted' ORDER BY attempt_id LIMIT {size}"""
 
 
+def _draw(slot: str) -> str:
+    """Six hexadecimal digits of the digest of the slot's block of ten."""
+    digest = f"sha256('12345-' || cast(o_orderkey AS varchar) || '-' || cast({slot} // 10 AS varchar))"
+    return f"('0x' || substr({digest}, ({slot} % 10) * 6 + 1, 6))::BIGINT"
+
+
+# GC counts of 9, 10 or 11; the first of the slots become C or G, the others A or T, and their draws shuffle them.
+_PROPOSALS = f"""WITH counted AS (SELECT o_orderkey,
+ ('0x' || substr(sha256('12345-' || cast(o_orderkey AS varchar) || '-0'), 61, 4))::BIGINT % 3 + 9 AS gc FROM orders),
+slots AS (SELECT o_orderkey, gc, s, {_draw('s')} AS draw FROM counted, unnest(range(0, 20)) AS u(s))
+SELECT o_orderkey AS attempt_id, string_agg(CASE WHEN s < gc THEN CASE WHEN draw % 2 = 0 THEN 'C' ELSE 'G' END
+ WHEN draw % 2 = 0 THEN 'A' ELSE 'T' END, '' ORDER BY draw, s) AS sequence FROM slots GROUP BY o_orderkey"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "dna_bridge": _orders("SELECT attempt_id, sequence FROM cand"),
     "reverse_complement": _orders(
@@ -251,17 +269,27 @@ ORACLE_SQL: dict[str, str] = {
         f"SELECT attempt_id, round({_tm('sequence', 250.0, 50.0, 1.5)}, 4) AS tm_c FROM cand"
     ),
     "max_tm_by_length": f"""WITH {POOL},
-words AS (SELECT substr(sequence, p::int, n::int) AS word FROM pool, unnest(range(2, 13)) AS a(n), unnest(range(1, 20)) AS b(p)
+words AS (SELECT substr(sequence, p::int, n::int) AS word FROM pool, unnest(range(2, 21)) AS a(n), unnest(range(1, 20)) AS b(p)
  WHERE p + n <= 21)
 SELECT length(word)::int AS length, round(max({_tm('word')}), 4) AS max_tm_c FROM words GROUP BY 1""",
     "gc_embedding": _orders(
-        """, counted AS (SELECT length(regexp_replace(substr(sequence, 1, 9), '[AT]', '', 'g')) AS gc FROM cand)
+        """, counted AS (SELECT length(regexp_replace(substr(sequence, p::int, 9), '[AT]', '', 'g')) AS gc
+ FROM cand, unnest(range(1, 13)) AS u(p))
 SELECT gc, count(*) AS fragments, gc + 11 >= 9 AND gc <= 11 AS embeddable FROM counted GROUP BY gc"""
     ),
+    "alphabet_guard": """SELECT o_orderkey AS attempt_id, upper(substr(md5(cast(o_orderkey AS varchar)), 1, 3)) AS text
+FROM orders WHERE regexp_full_match(upper(substr(md5(cast(o_orderkey AS varchar)), 1, 3)), '[ACGT]+')""",
+    "word_coverage": f"""WITH {ORDERS},
+bases AS (SELECT unnest(['A', 'C', 'G', 'T']) AS base),
+words AS (SELECT a.base || b.base || c.base || d.base || e.base AS sequence FROM bases a, bases b, bases c, bases d, bases e),
+begun AS (SELECT substr(sequence, 1, 5) AS sequence, count(*) AS n FROM cand GROUP BY 1)
+SELECT row_number() OVER (ORDER BY sequence) - 1 AS id, sequence, coalesce(n, 0) AS candidates
+FROM words LEFT JOIN begun USING (sequence)""",
     "flt_homopolymer": _rejected(_tandem("sequence", 1, 4)),
     "flt_dinuc": _rejected(_tandem("sequence", 2, 3)),
     "flt_trinuc": _rejected(_tandem("sequence", 3, 2)),
     "flt_motif": _rejected(_MOTIFS),
+    "flt_motif_both_strands": _rejected("regexp_matches(sequence, 'GAAGA|TCTTC|CTGCA|TGCAG')"),
     "flt_tm_window": _rejected(f"NOT ({_tm('sequence')} BETWEEN 60 AND 65)"),
     "flt_self_comp": _rejected(_stem_at_least("sequence", 2, 6)),
     "flt_near_palindrome": _rejected(_stem_at_least("sequence", 0, 7)),
@@ -342,4 +370,41 @@ SELECT b.anchored_run_length, count(m.tm) AS pair_count, count(*) FILTER (WHERE
 FROM bins b LEFT JOIN metrics m ON m.anchored_run_length = b.anchored_run_length GROUP BY b.anchored_run_length""",
     "calib_rates": f"""{_SAMPLE} SELECT count(*) AS pair_count, count(*) FILTER (WHERE tm > 10) AS conflict_count,
  round(avg((tm > 10)::int), 6) AS conflict_probability FROM metrics""",
+    "accept_second_cycle": f"""WITH {POOL}
+SELECT p.idx, c.attempt_id, p.sequence FROM pool p JOIN cand c USING (sequence), half
+WHERE idx >= first_new AND idx < first_new + 200""",
+    "delivery_order": f"""SELECT idx, sequence, row_number() OVER (ORDER BY idx) - 1 AS place FROM ({_SURVIVORS})""",
+    "conflict_order": f"""{_EDGES_30}
+SELECT left_index, right_index, row_number() OVER (ORDER BY left_index, right_index) - 1 AS place FROM edges""",
+    "gc_balanced_proposals": _PROPOSALS,
+    "pairing_first_round": f"""WITH {POOL},
+shuffled AS (SELECT idx, sequence, {_digest(12345, 1, 'sequence')} AS h, {_digest(12345, 1, 'sequence')}
+  % greatest(1, (count(*) OVER () + 49999) // 50000) AS bucket FROM pool),
+placed AS (SELECT *, row_number() OVER w AS place, lead(sequence) OVER w AS right_sequence, lead(idx) OVER w AS right_idx
+ FROM shuffled WINDOW w AS (PARTITION BY bucket ORDER BY h, sequence)),
+drawn AS (SELECT bucket * 1048576 + place AS draw, idx AS l, right_idx AS r, sequence AS left_sequence, right_sequence
+ FROM placed WHERE place % 2 = 1 AND right_sequence IS NOT NULL),
+both_ways AS (SELECT l AS left_index, r AS right_index FROM drawn UNION ALL SELECT r, l FROM drawn),
+{_sense_runs},
+melted_runs AS (SELECT left_index, right_index, CASE WHEN run_length >= 7 THEN {_tm('run_sequence')} ELSE '-infinity'::double END AS tm
+ FROM sense_best),
+scores AS (SELECT draw AS "order", left_sequence, right_sequence, coalesce(f.tm, '-infinity'::double) AS fwd,
+ coalesce(b.tm, '-infinity'::double) AS rev
+ FROM drawn LEFT JOIN melted_runs f ON f.left_index = l AND f.right_index = r
+ LEFT JOIN melted_runs b ON b.left_index = r AND b.right_index = l)
+SELECT "order", left_sequence, right_sequence, CASE WHEN isinf(fwd) THEN fwd ELSE round(fwd, 4) END AS left_vs_right_sense_tm_c,
+ CASE WHEN isinf(rev) THEN rev ELSE round(rev, 4) END AS right_vs_left_sense_tm_c, greatest(fwd, rev) <= 30 AS fits FROM scores""",
+    "calib_search_estimate": f"""{_SAMPLE},
+chance AS (SELECT avg((tm > 10)::int) AS p FROM metrics),
+sizes AS (SELECT unnest([count(*), count(*) // 2, count(*) // 10]) AS oligos FROM pool),
+degrees AS (SELECT oligos, p * (oligos - 1) AS degree FROM sizes, chance)
+SELECT oligos, round(degree, 4) AS mean_conflict_degree,
+ round(CASE WHEN degree > 0 THEN (1 - exp(-degree)) / degree ELSE 1.0 END, 6) AS retained_share FROM degrees""",
+    "pair_score_records": f"""{_SAMPLE} SELECT left_index, right_index, anchored_run_length::int AS anchored_run_length,
+ anchored_run_sequence, CASE WHEN anchored_run_length >= 8 THEN round({_tm('anchored_run_sequence')}, 4) ELSE '-infinity'::double END AS tm_c,
+ anchored_run_length < 4 AS below_min_alignment_run, anchored_run_length BETWEEN 4 AND 7 AS tm_shortcircuited,
+ anchored_run_length >= 8 AS tm_evaluated FROM records""",
+    "pair_score_totals": f"""{_SAMPLE} SELECT count(*) FILTER (WHERE anchored_run_length < 4) AS below_min_alignment_run,
+ count(*) FILTER (WHERE anchored_run_length BETWEEN 4 AND 7) AS tm_shortcircuited,
+ count(*) FILTER (WHERE anchored_run_length >= 8) AS tm_evaluated FROM records""",
 }

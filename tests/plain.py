@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 SIMPLE_H = {"AA": -7.9, "AT": -7.2, "TA": -7.2, "CA": -8.5, "GT": -8.4, "CT": -7.8, "GA": -8.2, "CG": -10.6, "GC": -9.8, "GG": -8.0}
 SIMPLE_S = {"AA": -22.2, "AT": -20.4, "TA": -21.3, "CA": -22.7, "GT": -22.4, "CT": -21.0, "GA": -22.2, "CG": -27.2, "GC": -24.4, "GG": -19.9}
@@ -46,15 +47,20 @@ def best_run(a, partner, window):
 
 
 def longest_stem(s, gap):
-    n, partner, best = len(s), rc(s), 0
-    for offset in range(-n + 1, n):
-        size = 0
-        for i in range(n):
-            j = i + offset
-            fits = 0 <= j < n and abs(n - 1 - j - i) > gap and s[i] == partner[j]
-            size = size + 1 if fits else 0
-            best = max(best, size)
-    return best
+    """The longest text that occurs both in ``s`` and in its reverse complement, every base more than ``gap``
+    away from the one it would pair with."""
+    n, partner = len(s), rc(s)
+    return max(
+        (
+            size
+            for size in range(1, n + 1)
+            for i in range(n - size + 1)
+            for j in range(n - size + 1)
+            if s[i : i + size] == partner[j : j + size]
+            and all(abs(n - 1 - (j + k) - (i + k)) > gap for k in range(size))
+        ),
+        default=0,
+    )
 
 
 def has_tandem(s, unit, copies):
@@ -74,17 +80,15 @@ def conflicts(sequences, window, min_run, gate, limit, **chemistry):
 
 
 def greedy_set(sequences, edges):
-    near = {i: set() for i in range(len(sequences))}
-    for i, j in edges:
-        near[i].add(j)
-        near[j].add(i)
-    alive = set(near)
-    while any(near[i] for i in alive):
-        victim = max((i for i in alive if near[i]), key=lambda i: (len(near[i]), sequences[i]))
-        for other in near.pop(victim):
-            near[other].discard(victim)
-        alive.remove(victim)
-    return alive
+    """Survivors: in each round everyone goes who outranks all that it conflicts with."""
+    left, gone = {frozenset(e) for e in edges}, set()
+    while left:
+        count = Counter(v for e in left for v in e)
+        beaten = {min(e, key=lambda v: (count[v], sequences[v])) for e in left}
+        top = set(count) - beaten
+        gone |= top
+        left = {e for e in left if not e & top}
+    return set(range(len(sequences))) - gone
 
 
 def random_pool(count, length, seed, alphabet="ACGT"):
