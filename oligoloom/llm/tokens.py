@@ -9,7 +9,9 @@ whole. A test compares both ways.
 
 from __future__ import annotations
 
+import json
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ _KNOWN_BELOW = 0x250
 _APOSTROPHE = 0x27
 # Contractions that the pattern takes first.
 _SHORT, _LONG = b"stmd", (b"re", b"ve", b"ll")
-# Distinct pieces remembered by a task, about 100 bytes each.
+# Distinct pieces that a Python worker remembers, about 200 bytes each.
 MEMO_PIECES = 600_000
 
 
@@ -68,12 +70,31 @@ def piece_starts(part: Slice) -> np.ndarray:
     return np.flatnonzero(start[:size])
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The characters that byte-level vocabularies are written in: printable bytes stand for themselves, the
+    others for the next characters from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(0x100 + n) for n, b in enumerate(others)}
+
+
 class Encoder:
-    """``path``: a byte-level BPE file of the tokenizers library."""
+    """``path``: a file of the tokenizers library. Its own byte-level splitting is known here; a tokenizer with
+    another normalizer or pre-tokenizer encodes every text whole."""
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.model = self.library.model
+        self.alphabet = byte_alphabet()
+        steps = json.loads(self.library.to_str())
+        split = steps["pre_tokenizer"] or {}
+        self.known_steps = (
+            steps["normalizer"] is None
+            and split.get("type") == "ByteLevel"
+            and split.get("use_regex", True)
+            and not split["add_prefix_space"]
+        )
         self._forget()
 
     def _forget(self) -> None:
@@ -84,9 +105,10 @@ class Encoder:
         self.used = 0
 
     def _learn(self, pieces: list[bytes]) -> None:
-        found = self.library.encode([p.decode() for p in pieces], is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(found.ids, dtype=np.int32)
-        sizes = np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(pieces))
+        encode, alphabet = self.model.tokenize, self.alphabet
+        found = [[t.id for t in encode(p.decode("latin-1").translate(alphabet))] for p in pieces]
+        ids = np.fromiter(chain.from_iterable(found), dtype=np.int32)
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         first = len(self.place)
         self.place.update(zip(pieces, range(first, first + len(pieces))))
         self.begin = _put(self.begin, first, self.used + np.cumsum(sizes) - sizes)
@@ -119,6 +141,9 @@ class Encoder:
         """Ids of all rows of the slice, one after the other, and where each row's ids begin."""
         if len(part.data) == 0:
             return np.zeros(0, dtype=np.int32), np.zeros(len(part.starts), dtype=np.int64)
+        if not self.known_steps:
+            found = [self.library.encode(part.text(r).decode(), add_special_tokens=False).ids for r in range(len(part))]
+            return np.array([i for ids in found for i in ids], np.int32), np.cumsum([0, *map(len, found)])
         high = np.flatnonzero(part.data >= 0xCA)  # lead bytes from U+0280 on; U+0240 to U+024F is C9
         high = np.concatenate([high, np.flatnonzero(part.data[:-1] == 0xC9)[_beyond(part.data)]])
         if len(high) == 0:
