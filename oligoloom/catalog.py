@@ -402,6 +402,17 @@ def conflict_edges_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def conflict_edges_shared_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the pool ends in one text that binds to itself: its key is split over a grid of tasks."""
+    shared = F.concat(F.substring("sequence", 1, 12), F.lit("GCGCGCGC"))
+    pool = accepted(spark, sf_dir).select(
+        "idx", F.when(F.col("idx") % 3 == 0, shared).otherwise(F.col("sequence")).alias("sequence")
+    )
+    rows = co.conflict_edges(pool, DENSE_RULES, cell_matches=50_000)
+    return rows.select("left_index", "right_index", F.round("tm_c", 4).alias("tm_c"))
+
+
 @query
 def conflict_edges_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = accepted(spark, sf_dir)

@@ -334,6 +334,11 @@ SELECT left_index, right_index, run_length, run_start, run_offset, run_sequence,
  run_length < 4 AS below_min_alignment_run, run_length < 8 AS tm_shortcircuited, run_length >= 8 AS tm_evaluated FROM best""",
     "conflict_edges": f"{_EDGES_40} SELECT {_EDGE_COLUMNS} FROM edges",
     "conflict_edges_dense": f"{_EDGES_30} SELECT {_EDGE_COLUMNS} FROM edges",
+    "conflict_edges_shared_text": f"""WITH {POOL.replace("pool AS MATERIALIZED", "plain_pool AS MATERIALIZED").split(",\nhalf AS")[0]},
+pool AS MATERIALIZED (SELECT idx, sequence, {_rc('sequence')} AS rc FROM (
+ SELECT idx, CASE WHEN idx % 3 = 0 THEN substr(sequence, 1, 12) || 'GCGCGCGC' ELSE sequence END AS sequence FROM plain_pool)),
+{_edges(30, 4)}
+SELECT left_index, right_index, round(tm_c, 4) AS tm_c FROM edges""",
     "conflict_edges_delta": f"""{_EDGES_30} SELECT left_index, right_index, round(tm_c, 4) AS tm_c FROM edges
 WHERE right_index >= (SELECT first_new FROM half)""",
     "sense_conflicts": f"""WITH {POOL}, {_runs(7, anchored=False, sense=True)},
