@@ -209,10 +209,10 @@ def replace_entities(
     docs = docs.drop(counter)
     hinted = F.coalesce(F.col(text).rlike(_HINT), F.lit(False))
     found = F.regexp_extract_all(F.col(text), F.lit(ENTITY), F.lit(0))
-    clean = docs.where(~hinted).withColumn(counter, F.lit(0))
-    looked = docs.where(hinted).withColumn("__found", found)
-    clean = clean.unionByName(looked.where(F.size("__found") == 0).drop("__found").withColumn(counter, F.lit(0)))
-    dirty = looked.where(F.size("__found") > 0).withColumn("__key", F.sha2(F.col(text), 256))
+    # The full pattern is only tried on hinted texts, once to sort them out and once more where it is found.
+    has_entity = F.coalesce(F.when(hinted, F.size(found)), F.lit(0)) > 0
+    clean = docs.where(~has_entity).withColumn(counter, F.lit(0))
+    dirty = docs.where(has_entity).withColumn("__found", found).withColumn("__key", F.sha2(F.col(text), 256))
 
     texts = dirty.groupBy("__key").agg(F.first("__found").alias("found"))
     mentions = texts.select("__key", F.posexplode("found").alias("place", "value"))
