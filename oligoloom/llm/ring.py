@@ -24,7 +24,7 @@ from collections import defaultdict, deque
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-POINTS = 1 << 16
+POINTS = 1 << 14
 ROW_BYTES = 8
 
 
