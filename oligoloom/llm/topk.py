@@ -15,7 +15,7 @@ queries meet every block by an equi-join on block numbers.
 Components are floor(scale * x). Vectors that are null, or hold null or non-finite components, and rows without
 an id take no part; neither do vectors with a component beyond 2 ** 31 after scaling. Vectors of different
 lengths are not compared; empty vectors score 0. A query meets no row of its own id. Repeated ids stay separate
-candidates. Fewer candidates than k give them all, none give no rows.
+candidates and separate queries. Fewer candidates than k give them all, none give no rows.
 """
 
 from __future__ import annotations
@@ -114,8 +114,8 @@ def _number_kind(weights: np.ndarray, data: np.ndarray) -> type:
 
 def search_block(
     query_ids: np.ndarray, queries: np.ndarray, lists: Lists, k: int
-) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query ids, candidate ids, scores): the k best candidates of the block for each query."""
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(query numbers, query ids, candidate ids, scores): the k best candidates of the block for each query."""
     for first in range(0, len(queries), QUERY_STRIP):
         ids, weights = query_ids[first : first + QUERY_STRIP], queries[first : first + QUERY_STRIP]
         kind = _number_kind(weights, lists.data)
@@ -149,10 +149,10 @@ def search_block(
             scores = final[q, mine]
             # Candidates lie in the order of their ids, so a stable sort keeps the smaller id first.
             best = mine[np.argsort(-scores, kind="stable")[:k]]
-            yield np.full(len(best), ids[q]), active.ids[best], np.array(final[q, best])
+            yield np.full(len(best), first + q), np.full(len(best), ids[q]), active.ids[best], np.array(final[q, best])
 
 
-_FOUND = "query_id long, vec_id long, score long"
+_FOUND = "q_block long, q_number long, query_id long, vec_id long, score long"
 
 
 def top_k(
@@ -179,9 +179,10 @@ def top_k(
                 q_ids = np.frombuffer(row["q_ids"], "<i8")
                 q_data = np.frombuffer(row["q_data"], "<i8").reshape(q_shape)
                 found = list(search_block(q_ids, q_data, lists, k))
+                columns = [np.concatenate(x).astype(np.int64) for x in zip(*found)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x).astype(np.int64), pa.int64()) for x in zip(*found)],
-                    names=["query_id", "vec_id", "score"],
+                    [pa.array(x) for x in (np.full(len(columns[0]), row["q_block"]), *columns)],
+                    names=["q_block", "q_number", "query_id", "vec_id", "score"],
                 )
 
     numbers = queries.select(F.col("block").alias("q_block"), F.col("dims").alias("q_dims"))
@@ -201,7 +202,7 @@ def top_k(
         )
         .repartition(tasks, "block", "q_block")
     )
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("q_block", "q_number").orderBy(F.desc("score"), "vec_id")
     return (
         work.mapInArrow(run, _FOUND)
         .withColumn("rank", F.row_number().over(best))
