@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from oligoloom.llm.bytesets import slices
 from oligoloom.llm.tables import stored
-from oligoloom.llm.tokens import encoder, with_end
+from oligoloom.llm.tokens import ENCODE_BYTES, encoder, with_end
 
 BLOCK_IDS = 1024
 SEGMENT_IDS = 1 << 16
@@ -41,7 +41,7 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int, doc: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
         for batch in batches:
-            for part in slices(batch.column(1)):
+            for part in slices(batch.column(1), ENCODE_BYTES):
                 ids, before = with_end(*coder.encode(part), end_id)
                 small = ids.astype("<u2") if end_id < 1 << 16 and ids.max(initial=0) < 1 << 16 else ids.astype("<u4")
                 width = small.dtype.itemsize
@@ -122,8 +122,10 @@ class Code:
         self.word = np.zeros(size, dtype=np.uint64)
         self.length[ids] = lengths
         self.word[ids[order]] = (first >> (self.limit - lengths[order])).astype(np.uint64)
-        self.table = np.zeros(1 << self.limit, dtype=np.int64)
-        filled = np.repeat(ids[order] << 5 | lengths[order], steps)
+        # Id and length in one number, 32 bits wide where they fit, to keep the table close to the processor.
+        entries = ids[order] << 5 | lengths[order]
+        self.table = np.zeros(1 << self.limit, dtype=np.int32 if entries.max(initial=0) < 1 << 31 else np.int64)
+        filled = np.repeat(entries, steps)
         self.table[: len(filled)] = filled
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -150,7 +152,7 @@ class Code:
     def decode(self, payloads: list[bytes], checkpoints: list[np.ndarray], sizes: list[int]) -> list[np.ndarray]:
         """Ids of several payloads; all their blocks advance together, one id of each at a step."""
         place = np.cumsum([0, *(len(p) for p in payloads)])
-        raw = np.frombuffer(b"".join([*payloads, bytes(8)]), dtype=np.uint8).astype(np.int64)
+        raw = np.frombuffer(b"".join([*payloads, bytes(8)]), dtype=np.uint8).astype(np.uint32)
         peeked = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
         cursor = np.concatenate([at * 8 + np.asarray(c, dtype=np.int64) for at, c in zip(place, checkpoints)])
         left = [np.minimum(BLOCK_IDS, n - BLOCK_IDS * np.arange(len(c))) for c, n in zip(checkpoints, sizes)]
@@ -163,7 +165,7 @@ class Code:
         for step in range(int(count.max(initial=0))):
             alive = len(order) - int(np.searchsorted(shorter, step, side="right"))
             at = cursor[:alive]
-            entry = self.table[peeked[at >> 3] >> (drop - (at & 7)) & mask]
+            entry = self.table[peeked[at >> 3].astype(np.int64) >> (drop - (at & 7)) & mask]
             out[:alive, step] = entry >> 5
             cursor[:alive] += entry & 31
         back = np.zeros_like(out)
@@ -189,7 +191,7 @@ def write_token_file(
     path: str,
     tokenizer: str,
     end_id: int,
-    limit: int = 20,
+    limit: int = 18,
     doc: str = "doc_id",
     text: str = "text",
 ) -> None:
@@ -251,8 +253,8 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 16):  # about a million ids
-                rows = batch.slice(first, 16)
+            for first in range(0, batch.num_rows, 32):  # about two million ids
+                rows = batch.slice(first, 32)
                 payloads = [x.as_buffer() for x in rows.column(5)]
                 sizes = rows.column(2).to_pylist()
                 found = code.decode(payloads, [np.array(x.as_py()) for x in rows.column(4)], sizes)

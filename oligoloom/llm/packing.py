@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from oligoloom.llm.bytesets import slices
 from oligoloom.llm.tables import stored
-from oligoloom.llm.tokens import encoder, with_end
+from oligoloom.llm.tokens import ENCODE_BYTES, encoder, with_end
 
 GROUP_PIECES = 16_384
 # The emptiest sequences that the search tries in a row without success before it ends.
@@ -50,7 +50,7 @@ def pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
         for batch in batches:
-            for part in slices(batch.column(1)):
+            for part in slices(batch.column(1), ENCODE_BYTES):
                 ids, before = with_end(*coder.encode(part), end_id)
                 data = ids.astype("<u4")
                 row, number, start, length, crc = [], [], [], [], []

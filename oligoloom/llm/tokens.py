@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,8 @@ _KNOWN_BELOW = 0x250
 _APOSTROPHE = 0x27
 # Contractions that the pattern takes first.
 _SHORT, _LONG = b"stmd", (b"re", b"ve", b"ll")
+# Bytes of text that are split at once: pieces repeat more in longer slices.
+ENCODE_BYTES = 4 << 20
 # Distinct pieces that a Python worker remembers, about 200 bytes each.
 MEMO_PIECES = 600_000
 
@@ -125,10 +127,11 @@ class Encoder:
         distinct = coded.dictionary.to_pylist()
         if len(self.place) + len(distinct) > MEMO_PIECES:
             self._forget()
-        new = [piece for piece in distinct if piece not in self.place]
-        if new:
-            self._learn(new)
-        known = np.fromiter(map(self.place.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        known = np.fromiter(map(self.place.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            known[new] = len(self.place) + np.arange(len(new))
+            self._learn([distinct[at] for at in new.tolist()])
         which = known[coded.indices.to_numpy()] if len(begin) else np.zeros(0, dtype=np.int64)
         sizes = self.size[which]
         ends = np.cumsum(sizes)
