@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from oligoloom.functions.sequence import gc_fraction, reverse_complement
 from oligoloom.storage import materialize
 
+# Rows that one task numbers: not so few that tasks cost more than rows, not more than it sorts well.
+LEAST_ROWS, MOST_ROWS = 10_000, 2_000_000
 # monotonically_increasing_id keeps the partition above this many bits of row number.
 _ROW_BITS = 33
 
@@ -22,7 +24,8 @@ def with_position(rows: DataFrame, order: str, out: str = "idx") -> DataFrame:
     """
     spark = rows.sparkSession
     once = materialize(rows, "to-number")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    usual, count = int(spark.conf.get("spark.sql.shuffle.partitions")), once.count()
+    tasks = max(1, min(usual, -(-count // LEAST_ROWS)), -(-count // MOST_ROWS))
     ranged = once.repartitionByRange(tasks, order).sortWithinPartitions(order)
     placed = materialize(ranged.withColumn("__place", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("__place", _ROW_BITS)

@@ -37,6 +37,8 @@ class PairingOptions:
     requeue_scale: float = 1.0
     attempts_multiplier: int = 50
     stagnation_attempts: int = 500
+    # A round costs a Spark job however few oligos are left to draw from, so rounds without gain are bounded too.
+    idle_rounds: int = 20
 
 
 @dataclass
@@ -125,7 +127,8 @@ def pair_oligos(pool: DataFrame, rules: PairRules, options: PairingOptions) -> P
     """``rules`` are sense rules (see ``PairRules.anywhere``); ``pool`` needs unique sequences.
 
     Ends at the target, when at most one oligo is free, when the draws are used up, or when drawing stagnates:
-    ``stagnation_attempts`` draws, and two draws for each free oligo, have brought no more pairs than before.
+    ``stagnation_attempts`` draws, and two draws for each free oligo, or ``idle_rounds`` rounds have brought no more
+    pairs than before.
     """
     start = materialize(
         pool.select(
@@ -143,12 +146,13 @@ def pair_oligos(pool: DataFrame, rules: PairRules, options: PairingOptions) -> P
     budget = max(1, count * options.attempts_multiplier)
     result = Pairing(pairs=start, free=start, unpaired=count)
     state = best = start
-    accepted = most = since_best = round_no = 0
+    accepted = most = since_best = idle = round_no = 0
     recent: list[bool] = []
     while (
         count - 2 * accepted >= 2
         and accepted < options.target_pairs
         and result.attempts < budget
+        and idle < options.idle_rounds
         and (since_best < options.stagnation_attempts or since_best < 2 * (count - 2 * accepted))
     ):
         holds = F.expr(_HOLDS)
@@ -182,9 +186,9 @@ def pair_oligos(pool: DataFrame, rules: PairRules, options: PairingOptions) -> P
         recent = (recent + [not r.fits for r in reversed(window)])[-max(1, options.rejection_window) :]
         result.recent_rejection_rate = sum(recent) / len(recent) if recent else 0.0
         if accepted > most:
-            most, best, since_best = accepted, state, 0
+            most, best, since_best, idle = accepted, state, 0, 0
         else:
-            since_best += tally.made
+            since_best, idle = since_best + tally.made, idle + 1
     result.pairs = best.where(_HOLDS).select(*PAIR_COLUMNS)
     result.free = _free_members(best, F.expr(_HOLDS))
     result.accepted, result.unpaired = most, count - 2 * most
