@@ -25,7 +25,7 @@ _APOSTROPHE = 0x27
 # Contractions that the pattern takes first.
 _SHORT, _LONG = b"stmd", (b"re", b"ve", b"ll")
 # Bytes of text that are split at once: pieces repeat more in longer slices.
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 2 << 20
 # Distinct pieces that a Python worker remembers, about 200 bytes each.
 MEMO_PIECES = 600_000
 
