@@ -4,7 +4,8 @@ The library splits a text by its byte-level pattern and encodes each piece on it
 repeat far more often than texts do, so a task splits the texts itself (vectorised), lets the
 library encode each distinct piece once and looks the rest up. Only texts of characters below
 U+0250, whose classes have been fixed for decades, are split here; the library takes all others
-whole. A test compares both ways.
+whole, and so it does texts that hold the content of an added token such as <|endoftext|>, which it
+finds before it splits. A test compares both ways.
 """
 
 from __future__ import annotations
@@ -86,10 +87,10 @@ class Encoder:
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.model = self.library.model
         self.alphabet = byte_alphabet()
         steps = json.loads(self.library.to_str())
+        self.added = [token["content"].encode() for token in steps["added_tokens"] if token["content"]]
         split = steps["pre_tokenizer"] or {}
         self.known_steps = (
             steps["normalizer"] is None
@@ -140,6 +141,16 @@ class Encoder:
         before = np.concatenate([[0], ends])[np.searchsorted(begin, part.starts)]
         return ids, before
 
+    def _holding_added(self, part: Slice) -> np.ndarray:
+        """Where contents of added tokens begin; one that crosses into the next row does no harm."""
+        data, found = part.data.tobytes(), []
+        for content in self.added:
+            at = data.find(content)
+            while at >= 0:
+                found.append(at)
+                at = data.find(content, at + 1)
+        return np.array(found, dtype=np.int64)
+
     def encode(self, part: Slice) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of the slice, one after the other, and where each row's ids begin."""
         if len(part.data) == 0:
@@ -149,9 +160,10 @@ class Encoder:
             return np.array([i for ids in found for i in ids], np.int32), np.cumsum([0, *map(len, found)])
         high = np.flatnonzero(part.data >= 0xCA)  # lead bytes from U+0280 on; U+0240 to U+024F is C9
         high = np.concatenate([high, np.flatnonzero(part.data[:-1] == 0xC9)[_beyond(part.data)]])
-        if len(high) == 0:
+        whole = np.concatenate([high, self._holding_added(part)])
+        if len(whole) == 0:
             return self._split(part)
-        strange = np.unique(np.searchsorted(part.starts, high, side="right") - 1)
+        strange = np.unique(np.searchsorted(part.starts, whole, side="right") - 1)
         ids, sizes, row = [], np.zeros(len(part), dtype=np.int64), 0
         for odd in [*strange.tolist(), len(part)]:
             if odd > row:

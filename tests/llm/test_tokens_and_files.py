@@ -35,6 +35,29 @@ def test_pieces_are_split_as_the_library_splits_them(library):
             assert ids[before[row] : before[row + 1]].tolist() == library(texts[part.first + row])
 
 
+def test_added_tokens_are_found_as_the_library_finds_them(spark):
+    plain = Tokenizer.from_file(PATH)
+    end = "<|endoftext|>"
+    texts = [f"one{end}two", "plain", "", f"{end}", f"a {end} b\n{end}{end}", "cut <|endof", "text|> here", None, f"日 {end}"]
+    texts += ["it's plain again"] * 3 + [f"x{end[:-1]}", f"é{end}é"]
+    expected = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert expected[0] == [505, 50256, 11545]
+    coder = Encoder(PATH)
+    for limit in (8, 40, 1 << 20):
+        got = []
+        for part in slices(pa.array(texts), limit):
+            ids, before = coder.encode(part)
+            got += [ids[before[r] : before[r + 1]].tolist() for r in range(len(part))]
+        assert got == expected
+    rows = packing.pack(docs(spark, list(enumerate(texts))), PATH, end_id=0).collect()
+    crc = {r.doc_id: r.ids_crc32 for r in rows}
+    assert crc == {i: zlib.crc32(np.array([*ids, 0], "<u4")) for i, ids in enumerate(expected)}
+    path = scratch_path(spark, "token-file")
+    huffman.write_token_file(docs(spark, list(enumerate(texts))), path, PATH, end_id=2)
+    found = {r.doc_id: bytes(r.ids) for r in huffman.read_token_file(spark, path).collect()}
+    assert found == {i: np.array([*ids, 2], "<u4").tobytes() for i, ids in enumerate(expected)}
+
+
 @pytest.mark.parametrize("limit", [4, 5, 8])
 def test_code_lengths_are_limited_complete_and_optimal(limit):
     counts = np.array([1, 1, 2, 3, 5, 8, 13, 21, 34, 55])
