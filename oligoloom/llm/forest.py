@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from oligoloom.llm.bytesets import ALNUM, Slice, Words, mix, slices, window_hashes, window_rows, word_hashes, words
 from oligoloom.llm.tables import stored
@@ -364,6 +365,13 @@ def near_duplicates(
 ) -> DataFrame:
     """(doc_id, class_id, n_links, n_copies) of every document: the smallest id of the group it hangs together
     with, the documents linked to it (its copies included) and how many rows have its words (itself included)."""
+    return _grouped(docs, doc, text, shingle, threshold, recall).drop("digest", "label")
+
+
+def _grouped(
+    docs: DataFrame, doc: str, text: str, shingle: int = 5, threshold: float = 0.8, recall: float = RECALL
+) -> DataFrame:
+    """``near_duplicates`` with the row's ``digest`` and its group's ``label``, both null for rows that stand alone."""
     docs = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     signed = stored(signatures(docs, "doc_id", "text", shingle, node_level(threshold, recall)), "signatures")
     members = stored(meeting_members(cells(signed)), "cell-members")
@@ -385,7 +393,7 @@ def near_duplicates(
     )
     linked_reps = stored(linked_reps, "linked-classes")
     names = linked_reps.groupBy("label").agg(F.min("rep").alias("class_id"))
-    classes = linked_reps.join(names, "label").select("digest", "class_id", "links", "copies")
+    classes = linked_reps.join(names, "label").select("digest", "label", "class_id", "links", "copies")
     alone = F.col("digest").isNull() | F.col("doc_id").isNull()
     return (
         signed.select("doc_id", "digest")
@@ -397,29 +405,51 @@ def near_duplicates(
             .cast("long")
             .alias("n_links"),
             F.when(alone, F.lit(1)).otherwise(F.col("copies")).cast("long").alias("n_copies"),
+            F.when(~alone, F.col("digest")).alias("digest"),
+            F.when(~alone, F.col("label")).alias("label"),
         )
     )
 
 
+@F.arrow_udf(BinaryType())
+def _digest_of(texts: pa.Array) -> pa.Array:
+    found = []
+    for part in slices(texts):
+        inside = words(part, ALNUM)
+        found += digests(inside, word_hashes(part, inside))
+    return pa.array(found, pa.binary())
+
+
 def without_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents without all but one of each group: the one with the group's smallest id stays. An id that occurs
-    in several rows is taken as one document, and its equal rows stay once. Rows without an id all stay."""
-    found = stored(near_duplicates(docs, doc, text, **options), "near-duplicates")
-    counted = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
-        F.min("class_id").alias("class_id"), F.count(F.lit(1)).alias("rows")
+    """The documents without all but one row of each group: one of the smallest id in the group whose own text belongs
+    to it, of several such texts the one of the smallest digest, of rows with equal words the smallest text. Other rows
+    of the same id are judged by their own groups. Rows without words all stay, equal ones of an id once; rows without
+    an id all stay."""
+    grouped = _grouped(docs, doc, text, **options).select("doc_id", "class_id", "digest", "label")
+    found = stored(grouped.where(F.col("doc_id").isNotNull()), "near-duplicates")
+    counted = found.groupBy("doc_id").agg(
+        F.max(F.col("class_id") == F.col("doc_id")).alias("__leads"), F.count(F.lit(1)).alias("rows")
     )
     goes = stored(
-        counted.where("rows > 1 or class_id != doc_id").select(
-            F.col("doc_id").alias(doc), (F.col("class_id") == F.col("doc_id")).alias("__leads")
-        ),
-        "duplicates",
+        counted.where("rows > 1 or not __leads").select(F.col("doc_id").alias(doc), "__leads"), "duplicates"
     )
     listed = goes.select(doc)
     stays = docs.join(
         F.broadcast(listed) if goes.count() <= BROADCAST_DOCS else listed.hint("merge"), doc, "left_anti"
     )
-    if goes.where("__leads").isEmpty():
+    mixed = goes.where("__leads").select(doc)
+    if mixed.isEmpty():
         return stays
-    # Ids of several rows that lead their group: equal rows stay once.
-    again = docs.join(goes.where("__leads").select(doc).hint("merge"), doc, "left_semi")
-    return stays.unionByName(again.dropDuplicates([doc, text]))
+    # Ids of several rows, some of which lead a group: these rows are told apart by their words.
+    again = docs.join(mixed.hint("merge"), doc, "left_semi").withColumn("__digest", _digest_of(F.col(text).cast("string")))
+    leads = (
+        found.where("class_id = doc_id and digest is not null")
+        .groupBy("label", F.col("doc_id").alias(doc))
+        .agg(F.min("digest").alias("__digest"))
+        .drop("label")
+    )
+    chosen = again.join(leads, [doc, "__digest"], "left_semi").select(*again.columns)
+    wordless = again.where("__digest is null")
+    row, order = F.struct(*docs.columns), F.coalesce(F.col(text), F.lit(""))
+    one = chosen.unionByName(wordless).groupBy(doc, "__digest", F.when(F.col("__digest").isNull(), F.col(text)))
+    return stays.unionByName(one.agg(F.min_by(row, order).alias("__row")).select("__row.*"))

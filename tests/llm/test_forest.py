@@ -76,6 +76,18 @@ def test_empty_table_and_duplicates_removed(spark):
     assert set(left) == leaders | {None} and rows.columns == docs(spark, []).columns
 
 
+def test_one_row_of_each_group_stays_when_ids_hold_several_texts(spark):
+    a, b, c, d = (next(family(seed, 1, edits=0)) for seed in (11, 12, 13, 14))
+    near = d.split()[:-1] + ["other"]
+    texts = [(1, a), (5, a), (5, b), (9, b), (6, c), (6, c), (6, None), (6, None), (7, d), (7, " ".join(near)), (8, d)]
+    texts += [(20, a), (20, b), (None, a), (3, "x y"), (3, "x, y!"), (2, "lone words"), (2, "other words")]
+    left = [(r.doc_id, r.text) for r in forest.without_duplicates(docs(spark, texts)).collect()]
+    assert len([x for x in left if x[0] == 7]) == 1
+    # "x y" and "x, y!" have equal words; the smaller text stays.
+    kept = [(1, a), (5, b), (6, c), (6, None), (None, a), (3, "x y"), (2, "lone words"), (2, "other words")]
+    assert sorted(map(str, (x for x in left if x[0] != 7))) == sorted(map(str, kept))
+
+
 @pytest.mark.parametrize("similarity", [0.8, 0.9])
 def test_recall_of_the_node_level(similarity):
     level = forest.node_level(0.8)
