@@ -1,7 +1,9 @@
 """Personal data replaced by surrogates of the same kind, in DataFrame operations only.
 
-Found are e-mail addresses, phone numbers, IPv4 addresses, payment card numbers, long hexadecimal secrets and
-names behind a title. An entity is its kind and normal form: lower case without the title's spelling, or the
+Found are e-mail addresses; phones behind +, 00 or a trunk 0, in the North American plan, as ddd-dddd, or behind a
+word like tel; IPv4 and IPv6 addresses; payment cards (16 digits in fours; 13 to 19 digits with a right check digit);
+secrets (long hexadecimal, behind keys like password=, issuers' prefixes, runs of high entropy); names behind a title.
+An entity is its kind and normal form: lower case without the title's spelling, or the
 digits alone, so that differently written mentions are one entity. Its surrogate comes from a keyed hash: digits
 stay digits, letters stay letters of their script and case, octets keep their number of digits, hexadecimal stays
 hexadecimal, names keep the title and get a name of its gender and script; separators, the top-level domain and
@@ -44,40 +46,113 @@ _ACCENTED = "àáâäçèéêëìíîïñòóôöùúûüß"
 _WORDY = r"\p{L}\p{N}"
 _GAP = r"[^\p{L}\p{N}\n]"
 EMAIL = rf"(?<![{_WORDY}._%+-])[{_WORDY}._%+-]++@(?:[{_WORDY}-]++\.)+\p{{L}}{{2,}}"
-PHONE = rf"\+\d{{1,3}}{_GAP}{{0,6}}\(\d{{2,4}}\){_GAP}{{1,6}}\d{{3}}-\d{{4}}(?!\d)|(?<![\d-])\d{{3}}-\d{{4}}(?![\d-])"
+_ALONE, _SEP = rf"(?<![{_WORDY}]|\d[.-])", r"[  .\-‐-–/()]{0,3}"
+_DATE = r"\d{1,2}([./-])\d{1,2}[./-](?:\d{4}|\d{2})(?!\d|[ ./-]\d)".replace("(", "(?:", 1)
+PHONE = "|".join(
+    [
+        rf"\+\d{{1,3}}{_GAP}{{0,6}}\(\d{{2,4}}\){_GAP}{{1,6}}\d{{3}}-\d{{4}}(?!\d)",
+        # +1 and the North American plan, with or without its prefix.
+        rf"(?<![{_WORDY}+])\+1{_SEP}\d{{3}}{_SEP}\d{{3}}{_SEP}\d{{4}}(?!\d)",
+        rf"{_ALONE}(?:1[ .-])?(?:\(\d{{3}}\)[ .-]?|\d{{3}}[ ./-])\d{{3}}[ .-]\d{{4}}(?!\d|[.-]\d)",
+        # International, behind + or 00.
+        rf"(?<![{_WORDY}+])\+[1-9](?:{_SEP}\d){{6,14}}(?!\d)",
+        rf"{_ALONE}00[1-9]\d{{0,2}}[ ./()-](?:{_SEP}\d){{6,12}}(?!\d)",
+        # National, behind a 0: area code and number, or pairs of digits.
+        rf"{_ALONE}(?!{_DATE})0\d(?:[ .-]\d\d){{4}}(?!\d|[.-]\d)",
+        rf"{_ALONE}(?!{_DATE})(?=\(?\d(?:[ ()/-]{{0,3}}\d){{6}})\(?0\d{{1,4}}\)?(?: ?[/-] ?| )\d{{3,8}}(?:[ -]\d{{2,5}}){{0,2}}(?!\d|[.-]\d)",
+        # Any grouping behind a word that announces a phone.
+        rf"(?<=(?i:tel|phone|fon|mobile|mobil|cell|call|fax)[.:]{{0,2}} {{0,2}})\(?\d(?:{_SEP}\d){{6,14}}(?!\d)",
+        r"(?<![\d-])\d{3}-\d{4}(?![\d-])",
+    ]
+)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 ADDRESS = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
-CARD = r"(?<!\d)\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?!\d)"
-SECRET = rf"(?<![{_WORDY}])[0-9A-Fa-f]{{24,64}}(?![{_WORDY}])"
+_HEX = "[0-9A-Fa-f]{1,4}"
+_SHORTENED = "|".join(rf"(?:{_HEX}:){{1,{n}}}(?::{_HEX}){{1,{7 - n}}}" for n in range(1, 7))
+ADDRESS6 = (
+    rf"(?<![{_WORDY}:.])(?=[A-Fa-f:]{{0,38}}\d)(?:(?:{_HEX}:){{7}}{_HEX}|{_SHORTENED}|:(?::{_HEX}){{1,7}}|(?:{_HEX}:){{1,7}}:)"
+    rf"(?![{_WORDY}:]|\.\d)"
+)
+# Sixteen digits in fours count as they are; other lengths and groupings with a right check digit only.
+_CARD_FOURS = r"\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}"
+_CARD_OTHER = r"[1-9]\d{12,18}|[1-9]\d{3}[ .-]\d{6}[ .-]\d{4,5}|[1-9]\d{5}[ .-]\d{13}|[1-9]\d{3}(?:[ .-]\d{4}){2}(?:[ .-]\d{4}){0,1}[ .-]\d{1,4}"
+CARD = rf"(?<!\d)(?:{_CARD_FOURS}(?![ -]?\d)|{_CARD_OTHER}|{_CARD_FOURS})(?!\d)"
+SECRET = rf"(?<![{_WORDY}])(?:0[xX])?[0-9A-Fa-f]{{24,}}(?![{_WORDY}])"
+# Values behind a telling key: anything behind =, and what isn't a plain word behind a colon.
+_KEYWORD = (
+    rf"(?i:passwords?|passwd|passphrase|pwd|secret|tokens?|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth[_-]?key|bearer)"
+)
+_VALUE = r"[^\s\"'`,;<>(){}\[\]]"
+_ASSIGN = rf"{_KEYWORD}(?:[_-][\w-]{{0,30}})?[\"']?(?: {{0,3}}=>? {{0,3}}[\"']?| {{0,3}}: {{0,3}}[\"']?(?=\p{{L}}*[^\s\p{{L}}\"'`,;.<>(){{}}\[\]!?]))"
+ASSIGNED = rf"(?<![{_WORDY}]){_ASSIGN}{_VALUE}{{6,}}"
+# Keys of known issuers, and long runs of mixed characters that are judged by their entropy.
+_ISSUED = (
+    r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_\w{20,}|sk[-_][A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}"
+    r"|AIza[0-9A-Za-z_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]+)?"
+)
+_MIXED = r"(?=[A-Za-z+/_-]{0,80}\d)(?=[0-9A-Z+/_-]{0,80}[a-z])(?=[0-9a-z+/_-]{0,80}[A-Z])[A-Za-z0-9+/_-]{24,}+={0,2}"
+KEY = rf"(?<![\w+/=.:@-])(?:{_ISSUED}|{_MIXED})(?![{_WORDY}@])"
 NAME = rf"(?<![{_WORDY}])(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?"
-ENTITY = "|".join([EMAIL, PHONE, ADDRESS, SECRET, CARD, NAME])
+ENTITY = "|".join([ASSIGNED, EMAIL, ADDRESS6, SECRET, KEY, CARD, PHONE, ADDRESS, NAME])
 # What every entity holds, to turn most texts away quickly.
-_HINT = rf"[0-9@]|(?<![{_WORDY}])(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.? \p{{Lu}}"
+_HINT = rf"[0-9@]|{_KEYWORD}|(?<![{_WORDY}])(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.? \p{{Lu}}"
+# Bits a character from which a run of mixed characters counts as a secret.
+LEAST_ENTROPY = 3.9
 
 _DIGITS = ("phone", "card")
 
 
+def _luhn(value: Column) -> Column:
+    digits = F.transform(
+        F.split(F.reverse(F.regexp_replace(value, r"\D", "")), ""),
+        lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(c.cast("int") * 2 - F.when(c.cast("int") > 4, 9).otherwise(0)),
+    )
+    return F.aggregate(digits, F.lit(0), lambda a, x: a + x) % 10 == 0
+
+
+def _entropy(value: Column) -> Column:
+    characters = F.split(value, "")
+
+    def share(c: Column) -> Column:
+        return F.size(F.filter(characters, lambda x: x == c)) / F.size(characters)
+
+    return F.aggregate(F.array_distinct(characters), F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c)))
+
+
 def kind_of(value: Column) -> Column:
+    """The kind of what ``ENTITY`` found; null for digits that fail the check digit and runs of low entropy."""
+    bare = F.regexp_replace(value, f"^{_ASSIGN}(?={_VALUE}{{6}})", "")
+    hexadecimal = bare.rlike(r"^(?:0[xX])?[0-9A-Fa-f]{24,}$")
     return (
-        F.when(F.contains(value, F.lit("@")), "email")
+        F.when(value.rlike(f"^{ASSIGNED}$"), F.when(hexadecimal, "secret").otherwise("key"))
+        .when(F.contains(value, F.lit("@")), "email")
         .when(value.rlike(r"^(?:\d{1,3}\.){3}\d{1,3}$"), "address")
-        .when(value.rlike(r"^\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}$"), "card")
-        .when(value.rlike(r"^[0-9A-Fa-f]{24,64}$"), "secret")
-        .when(value.rlike(r"^[+\d]"), "phone")
+        .when(value.rlike(r"^[0-9A-Fa-f:]*:[0-9A-Fa-f]*:[0-9A-Fa-f:]*$"), "address6")
+        .when(value.rlike(f"^{_CARD_FOURS}$"), "card")
+        .when(hexadecimal, "secret")
+        .when(value.rlike(f"^(?:{_CARD_OTHER})$"), F.when(_luhn(value), "card"))
+        .when(value.rlike(f"^(?:{_ISSUED})$"), "key")
+        .when(value.rlike(f"^{_MIXED}$"), F.when(_entropy(value) >= LEAST_ENTROPY, "key"))
+        .when(value.rlike(r"^[+(\d]"), "phone")
         .otherwise("name")
     )
 
 
 def _title(value: Column) -> Column:
-    return F.regexp_extract(value, rf"^(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.? ", 0)
+    """What stays in front of an entity: the title of a name, or the key that announces a secret."""
+    titles = "|".join(MALE_TITLES + FEMALE_TITLES)
+    return F.regexp_extract(value, rf"^(?:(?:{titles})\.? |{_ASSIGN}(?={_VALUE}{{6}}))", 0)
 
 
 def normal_form(kind: Column, value: Column) -> Column:
     male = _title(value).rlike(rf"^(?:{'|'.join(MALE_TITLES)})\.? $")
-    name = F.concat(F.when(male, "m").otherwise("f"), F.lit(":"), F.lower(F.expr("substring(value, length(title) + 1)")))
+    bare = F.expr("substring(value, length(title) + 1)")
+    name = F.concat(F.when(male, "m").otherwise("f"), F.lit(":"), F.lower(bare))
     return (
         F.when(kind.isin(*_DIGITS), F.regexp_replace(value, r"\D", ""))
         .when(kind == "name", name)
+        .when(kind == "secret", F.lower(bare))
+        .when(kind == "key", bare)
         .otherwise(F.lower(value))
     )
 
@@ -104,6 +179,7 @@ def _by_character(keep: Column | None = None, hexadecimal: bool = False) -> Colu
         new = (
             F.when(c.rlike("[0-9]"), _letters("0", 10, byte))
             .when(c.rlike("[a-z]"), letter)
+            .when(c.rlike("[A-Z]"), F.upper(letter))
             .when(c.rlike(f"[{_ACCENTED}]"), F.substring(F.lit(_ACCENTED), byte % len(_ACCENTED) + 1, F.lit(1)))
             .when(c.rlike(r"\p{IsCyrillic}"), _letters("а", 32, byte))
             .when(c.rlike(r"\p{IsGreek}"), _letters("α", 17, byte))
@@ -143,7 +219,10 @@ def surrogate_code(secret: str, attempt: int) -> Column:
         F.when(F.col("kind") == "email", _by_character(keep=top_level))
         .when(F.col("kind") == "address", F.array_join(octets, "."))
         .when(F.col("kind").isin(*_DIGITS), digits)
-        .when(F.col("kind") == "secret", _by_character(hexadecimal=True))
+        .when(F.col("kind") == "address6", _by_character(hexadecimal=True))
+        .when((F.col("kind") == "secret") & F.col("norm").startswith("0x"), F.concat(F.lit("0x"), F.expr("substring(hexed, 3)")))
+        .when(F.col("kind") == "secret", F.col("hexed"))
+        .when(F.col("kind") == "key", F.col("mapped"))
         .otherwise(F.concat(F.substring("norm", 1, 2), F.lower(name)))
     )
 
@@ -151,6 +230,7 @@ def surrogate_code(secret: str, attempt: int) -> Column:
 def _candidates(entities: DataFrame, secret: str, attempt: int) -> DataFrame:
     hashed = F.sha2(F.concat_ws("|", F.lit(secret), "kind", "norm", F.lit(str(attempt))), 512)
     rows = entities.withColumn("h", hashed).withColumn("mapped", _by_character())
+    rows = rows.withColumn("hexed", F.when(F.col("kind") == "secret", _by_character(hexadecimal=True)))
     return rows.withColumn("code", surrogate_code(secret, attempt)).select("kind", "norm", "code")
 
 
@@ -183,9 +263,10 @@ def render(kind: Column, value: Column, code: Column) -> Column:
         ),
         "",
     )
+    bare = F.expr("substring(value, length(title) + 1)")
     same_case = F.array_join(
         F.transform(
-            F.split(value, ""),
+            F.split(F.when(kind == "secret", bare).otherwise(value), ""),
             lambda c, i: F.when(c != F.lower(c), F.upper(F.substring(code, i + 1, F.lit(1)))).otherwise(
                 F.substring(code, i + 1, F.lit(1))
             ),
@@ -195,7 +276,10 @@ def render(kind: Column, value: Column, code: Column) -> Column:
     name = F.initcap(F.expr("substring(code, 3)"))
     loud = (F.upper(value) == value) & (F.lower(value) != value)
     return (
-        F.when(code.startswith("<"), code)
+        F.when(code.startswith("<") & kind.isin("secret", "key"), F.concat(F.col("title"), code))
+        .when(code.startswith("<"), code)
+        .when(kind == "secret", F.concat(F.col("title"), same_case))
+        .when(kind == "key", F.concat(F.col("title"), code))
         .when(kind.isin(*_DIGITS), digit_at)
         .when(kind == "name", F.concat(F.col("title"), F.when(loud, F.upper(name)).otherwise(name)))
         .otherwise(same_case)
@@ -210,7 +294,7 @@ def replace_entities(
     hinted = F.coalesce(F.col(text).rlike(_HINT), F.lit(False))
     found = F.regexp_extract_all(F.col(text), F.lit(ENTITY), F.lit(0))
     # The full pattern is only tried on hinted texts, once to sort them out and once more where it is found.
-    has_entity = F.coalesce(F.when(hinted, F.size(found)), F.lit(0)) > 0
+    has_entity = F.coalesce(F.when(hinted, F.exists(found, lambda x: kind_of(x).isNotNull())), F.lit(False))
     clean = docs.where(~has_entity).withColumn(counter, F.lit(0))
     dirty = docs.where(has_entity).withColumn("__found", found).withColumn("__key", F.sha2(F.col(text), 256))
 
@@ -218,19 +302,23 @@ def replace_entities(
     mentions = texts.select("__key", F.posexplode("found").alias("place", "value"))
     mentions = mentions.withColumn("title", _title(F.col("value"))).withColumn("kind", kind_of(F.col("value")))
     mentions = stored(mentions.withColumn("norm", normal_form(F.col("kind"), F.col("value"))), "mentions")
-    codes = surrogate_table(stored(mentions.select("kind", "norm").distinct(), "entities"), secret)
-    new = mentions.join(codes, ["kind", "norm"]).select(
-        "__key", "place", render(F.col("kind"), F.col("value"), F.col("code")).alias("new")
+    real = mentions.where(F.col("kind").isNotNull())
+    codes = surrogate_table(stored(real.select("kind", "norm").distinct(), "entities"), secret)
+    new = real.join(codes, ["kind", "norm"]).select(
+        "__key", "place", render(F.col("kind"), F.col("value"), F.col("code")).alias("new"), F.lit(1).alias("is_entity")
     )
-    by_text = new.groupBy("__key").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("place", "new"))), lambda x: x["new"]).alias("__new")
+    # What turned out to be no entity stays as it is.
+    same = mentions.where(F.col("kind").isNull()).select("__key", "place", F.col("value").alias("new"), F.lit(0).alias("is_entity"))
+    by_text = new.unionAll(same).groupBy("__key").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("place", "new"))), lambda x: x["new"]).alias("__new"),
+        F.sum("is_entity").cast("int").alias("__entities_here"),
     )
     # Between and around n mentions there are n + 1 pieces of text.
     pieces = F.zip_with(F.split(F.col(text), ENTITY, -1), F.col("__new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     rewritten = (
         dirty.join(by_text, "__key")
         .withColumn(text, F.array_join(pieces, ""))
-        .withColumn(counter, F.size("__found"))
+        .withColumn(counter, F.col("__entities_here"))
         .select(*docs.columns, counter)
     )
     return clean.unionByName(rewritten)
