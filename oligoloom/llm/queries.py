@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oligoloom.llm.audit import audit_filters
 from oligoloom.llm.automaton import score_texts
 from oligoloom.llm.cotrain import fit_model, score_documents
 from oligoloom.llm.decontaminate import contamination
@@ -16,9 +17,11 @@ from oligoloom.llm.huffman import read_token_file, write_token_file
 from oligoloom.llm.packing import pack
 from oligoloom.llm.ring import shard_documents
 from oligoloom.llm.surrogates import replace_entities
-from oligoloom.llm.tables import scratch_path
+from oligoloom.llm.tables import scratch_path, stored
 from oligoloom.llm.topk import top_k
 from oligoloom.llm.urlrules import judge_urls
+from oligoloom.llm.variants import spelling_variants
+from oligoloom.llm.warc import assemble, page_records, read_archive, write_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -201,3 +204,135 @@ def op7_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_model(docs, table(spark, sf_dir, "labels"))
     return score_documents(docs, model).select("doc_id", "quality.text", "quality.page", "quality.score", "quality.keep")
+
+
+@query
+def op11_permuterm_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary of all documents with the form that each word is a misprint of."""
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op11_permuterm_variants"] = r"""
+WITH RECURSIVE crc_table AS (
+    SELECT list(list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END,
+                            i) ORDER BY i) AS t
+    FROM range(256) r(i)),
+runs AS (
+    SELECT doc_id, run, count(*) AS n FROM (
+        SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                           'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[a-z\x{C0}-\x{FF}]+')) AS run
+        FROM documents)
+    GROUP BY doc_id, run),
+hashed AS (
+    SELECT run, n,
+           xor(list_reduce(
+               list_transform(range(1, 2 * octet_length(key) + 1, 2),
+                              lambda i: ('0x' || substr(hex(key), i, 2))::BIGINT),
+               lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h
+    FROM (SELECT run, n, encode(coalesce(doc_id::VARCHAR, '') || ':' || run) AS key FROM runs), crc_table),
+words AS (
+    SELECT word, sum(n)::BIGINT AS n FROM (
+        SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2)
+                    ELSE run END AS word, n
+        FROM hashed)
+    WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+shortened AS (
+    SELECT word, n, pos, left(word, pos - 1) || substr(word, pos + 1) AS rest
+    FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS pos FROM words)),
+near AS (
+    SELECT a.word, b.word AS other, b.n AS other_n FROM shortened a JOIN shortened b USING (pos, rest)
+    WHERE a.word <> b.word
+    UNION
+    SELECT a.word, b.word, b.n FROM shortened a JOIN words b ON a.rest = b.word
+    UNION
+    SELECT b.word, a.word, a.n FROM shortened a JOIN words b ON a.rest = b.word),
+best AS (
+    SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, encode(other)) AS other, max(other_n) AS other_n
+    FROM near GROUP BY word),
+forms AS (
+    SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near,
+           CASE WHEN other_n >= 2 * n THEN other END AS form, CASE WHEN other_n >= 2 * n THEN other_n END AS form_n
+    FROM words LEFT JOIN best USING (word)),
+chains AS (
+    SELECT word, word AS root, 0 AS steps FROM forms
+    UNION ALL
+    SELECT c.word, f.form, steps + 1 FROM chains c JOIN forms f ON c.root = f.word WHERE f.form IS NOT NULL)
+SELECT word, form, arg_max(chains.root, steps) AS root, n, n_near, form_n
+FROM forms JOIN chains USING (word) GROUP BY word, form, n, n_near, form_n
+"""
+
+
+@query
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each source, in every order."""
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLE_SQL["op12_filter_interactions"] = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+originals AS (SELECT text, min(doc_id) AS first_id FROM d GROUP BY text),
+marks AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+masks AS (
+    SELECT part,
+           (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT
+           + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text))::INT
+           + 8 * (regexp_matches(text, '[#$%&*|]'))::INT + 16 * coalesce(doc_id > first_id, false)::INT AS mask,
+           coalesce(quality, 0) = 1 AS good, coalesce(toxic, 0) = 1 AS bad
+    FROM d JOIN originals USING (text) LEFT JOIN marks USING (doc_id)),
+cells AS (
+    SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS toxic
+    FROM masks GROUP BY part, mask),
+letters(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders(filter_order) AS (
+    SELECT '' UNION ALL
+    SELECT filter_order || letter FROM orders JOIN letters ON NOT contains(filter_order, letter)),
+places AS (
+    SELECT filter_order, step, l.bit,
+           coalesce((SELECT sum(e.bit) FROM letters e WHERE contains(left(filter_order, step - 1), e.letter)), 0)::INT
+               AS before
+    FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders WHERE length(filter_order) = 5) o
+    JOIN letters l ON l.letter = substr(filter_order, step, 1)),
+metrics AS (
+    SELECT part, filter_order, step, bit,
+           coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0) AS kept,
+           coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit <> 0), 0) AS removed,
+           coalesce(sum(n) FILTER (mask & before <> 0 AND mask & bit <> 0), 0) AS redundant,
+           coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+           coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit <> 0), 0) AS good_lost,
+           coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & bit <> 0), 0) AS toxic_lost
+    FROM cells CROSS JOIN places GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+       redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+       toxic_lost::BIGINT AS toxic_lost, sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley,
+       substr(filter_order, step, 1) AS filter
+FROM metrics
+"""
+
+
+@query
+def op13_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives, read back and put together by capture."""
+    path = scratch_path(spark, "warc")
+    write_archive(table(spark, sf_dir, "pages"), path)
+    records = stored(read_archive(spark, path, payloads=False), "warc-records")
+    return page_records(assemble(records))
+
+
+ORACLE_SQL["op13_warc_captures"] = """
+WITH p AS (
+    SELECT page_id, url, sha1(coalesce(html, '')) AS h, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
+d AS (
+    SELECT page_id, url, payload_bytes, min(page_id) OVER (PARTITION BY h) AS first_id,
+           translate(to_base(('0x' || h[1:10])::BIGINT, 32, 8) || to_base(('0x' || h[11:20])::BIGINT, 32, 8)
+                     || to_base(('0x' || h[21:30])::BIGINT, 32, 8) || to_base(('0x' || h[31:40])::BIGINT, 32, 8),
+                     '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest
+    FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to, url
+FROM d
+"""
