@@ -18,7 +18,7 @@ from oligoloom.operators import pair_counts as pc
 from oligoloom.operators import prune as pr
 from oligoloom.operators.accept import accept_first, oligo_records, output_rows, with_position
 from oligoloom.operators.gate import gate_lengths
-from oligoloom.operators.pairing import propose_pairs, score_proposals
+from oligoloom.operators.pairing import PairingOptions, pair_oligos, propose_pairs, score_proposals
 from oligoloom.plans.gather import next_batch
 from oligoloom.sources.proposals import enumerate_sequences, propose
 from oligoloom.sources.tables import customer_candidates, line_candidates, order_candidates, table
@@ -516,7 +516,7 @@ def pairing_first_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first round of draws: who meets whom, both sense scores, and whether the pair fits."""
     pool = accepted(spark, sf_dir)
     drawn = score_proposals(propose_pairs(pool, pool.count(), SAMPLE_SEED, 1), SENSE_RULES)
-    return drawn.where("made").select(
+    return drawn.select(
         "order",
         "left_sequence",
         "right_sequence",
@@ -526,6 +526,21 @@ def pairing_first_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def pairing_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole pool paired to the end under a limit that more than four in ten draws exceed."""
+    pool = accepted(spark, sf_dir)
+    rules = SENSE_RULES.anywhere(limit_c=-30.0, gate=0)
+    options = PairingOptions(pool.count() // 2, SAMPLE_SEED, stagnation_attempts=200)
+    rows = pair_oligos(pool, rules, options).pairs
+    return rows.select(
+        "left_sequence",
+        "right_sequence",
+        F.round("left_vs_right_sense_tm_c", 4).alias("left_vs_right_sense_tm_c"),
+        F.round("right_vs_left_sense_tm_c", 4).alias("right_vs_left_sense_tm_c"),
+    )
+
+
 @query
 def gc_balanced_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One random proposal per order key."""

@@ -1,32 +1,36 @@
-"""Pairing of validated oligos by random proposals, in rounds.
-
-Drawing two free oligos at a time and keeping the pair if its two sense scores stay within the
-limit is a sequential process. Here a round makes many disjoint draws at once: free oligos are
-shuffled by a hash into buckets and neighbours are proposed to each other. Rejected oligos stay
-free for the next round. When many draws fail, a share of the accepted pairs is dissolved before the
-next round, so that their members can be matched differently; the state with the most pairs is what
-counts in the end.
+"""Pairing of validated oligos by random proposals, taken in order, and by augmenting swaps.
+
+Drawing two free oligos at a time and keeping the pair if its two sense scores stay within the limit is a sequential
+process. Here many draws are laid out and scored at once: in each layer all free oligos are shuffled by a hash into
+buckets and neighbours are proposed to each other. The draws of all layers are then taken in their order, each one if
+both oligos are still free: what the sequential process would keep, found in parallel as the draws that come first at
+both their ends. The oligos that stay free are put two by two and matched with pairs held so far: (u, v) and (a, b)
+become (u, a) and (v, b), or (u, b) and (v, a), so a pair is only given up for two others and the number of pairs never
+falls. Both kinds of rounds alternate until the target is reached, at most one oligo is free, the draws are used
+up, or as many draws in a row as the stagnation window asks for, and all of a round, have brought nothing.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oligoloom.functions.draws import digest_number
 from oligoloom.operators.accept import with_position
 from oligoloom.operators.conflicts import PairRules, sense_pair_scores
+from oligoloom.operators.skew import grid_join
 from oligoloom.storage import materialize
 
 # Free oligos per shuffle bucket, which one task sorts.
 BUCKET_ROWS = 50_000
-_ORDER_BITS = 20
+_PLACE_BITS, _LAYER_BITS = 20, 40
+# Draws for each free oligo in a round, half of which would be used if all of them fitted.
+DRAWS_PER_OLIGO = 2
 
 PAIR_COLUMNS = ("left_sequence", "right_sequence", "left_vs_right_sense_tm_c", "right_vs_left_sense_tm_c", "pair_tm_c")
-# Tickets for dissolving a pair.
-_TICKETS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -37,8 +41,6 @@ class PairingOptions:
     requeue_scale: float = 1.0
     attempts_multiplier: int = 50
     stagnation_attempts: int = 500
-    # A round costs a Spark job however few oligos are left to draw from, so rounds without gain are bounded too.
-    idle_rounds: int = 20
 
 
 @dataclass
@@ -53,7 +55,7 @@ class Pairing:
     accepted: int = 0
     unpaired: int = 0
     target_reached: bool = False
-    # Pairs held after each round; ``accepted`` is the most of them.
+    # Pairs held after each round of draws or swaps; never falling.
     held: list[int] = field(default_factory=list)
 
     @property
@@ -61,158 +63,221 @@ class Pairing:
         return self.target_reached or self.unpaired <= 1
 
 
-def propose_pairs(free: DataFrame, count: int, seed: int, round_no: int) -> DataFrame:
-    """The ``count`` free oligos in disjoint random pairs with a unique ``order``; the last one of a bucket
-    may stay without a partner (null)."""
+def propose_pairs(free: DataFrame, count: int, seed: int, layer: int, layers: int = 1) -> DataFrame:
+    """The ``count`` free oligos in disjoint random pairs, once for each of ``layers`` layers from ``layer`` on.
+
+    ``order`` is unique and rises from layer to layer; the last oligo of a bucket may have no partner.
+    """
     buckets = max(1, -(-count // BUCKET_ROWS))
-    rows = free.select("sequence", digest_number(seed, round_no, F.col("sequence")).alias("hash"))
+    rows = free.select("sequence", F.explode(F.sequence(F.lit(layer), F.lit(layer + layers - 1))).alias("layer"))
+    rows = rows.withColumn("hash", digest_number(seed, F.col("layer"), F.col("sequence")))
     rows = rows.withColumn("bucket", F.pmod("hash", F.lit(buckets)))
-    shuffled = Window.partitionBy("bucket").orderBy("hash", "sequence")
+    shuffled = Window.partitionBy("layer", "bucket").orderBy("hash", "sequence")
     rows = rows.withColumn("place", F.row_number().over(shuffled)).withColumn(
         "right_sequence", F.lead("sequence").over(shuffled)
     )
-    order = F.shiftleft("bucket", _ORDER_BITS) + F.col("place")
-    return rows.where(F.col("place") % 2 == 1).select(
+    layer_no = (F.col("layer") - layer).cast("long")
+    order = F.shiftleft(layer_no, _LAYER_BITS) + F.shiftleft("bucket", _PLACE_BITS) + F.col("place")
+    return rows.where((F.col("place") % 2 == 1) & F.col("right_sequence").isNotNull()).select(
         order.alias("order"), F.col("sequence").alias("left_sequence"), "right_sequence"
     )
 
 
 def score_proposals(proposals: DataFrame, rules: PairRules) -> DataFrame:
-    """Proposals with both sense scores, and whether they fit; without a partner nothing fits."""
-    alone = F.col("right_sequence").isNull()
-    rows = proposals.withColumn("alone", alone).withColumn(
-        "right_sequence", F.coalesce("right_sequence", "left_sequence")
-    )
-    scored = sense_pair_scores(rows, rules)
-    made = ~F.col("alone")
+    """Proposals with both sense scores, and whether they fit; other columns are kept."""
+    scored = sense_pair_scores(proposals, rules)
     return scored.select(
-        "order",
-        "left_sequence",
-        F.when(made, F.col("right_sequence")).alias("right_sequence"),
+        *proposals.columns,
         F.col("fwd_tm_c").alias("left_vs_right_sense_tm_c"),
         F.col("rev_tm_c").alias("right_vs_left_sense_tm_c"),
         "pair_tm_c",
-        made.alias("made"),
-        (made & (F.col("pair_tm_c") <= rules.limit_c)).alias("fits"),
-        F.when(made, F.col("fwd_shortcircuited").cast("long") + F.col("rev_shortcircuited").cast("long"))
-        .otherwise(0)
-        .alias("shortcircuited"),
+        (F.col("pair_tm_c") <= rules.limit_c).alias("fits"),
+        (F.col("fwd_shortcircuited").cast("long") + F.col("rev_shortcircuited").cast("long")).alias("shortcircuited"),
     )
 
 
-# A round's table: pairs that were kept (not made in this round) and this round's proposals. A row holds a pair
-# if it was kept or fits; else its members are free.
-_HOLDS = "not made and right_sequence is not null or fits"
+def first_come(edges: DataFrame) -> DataFrame:
+    """(order, node, other) of the edges (order, left, right) that are taken if they come in rising order and need
+    both ends free.
+
+    An edge that comes first at both its ends is taken whatever happens elsewhere, and what shares an end with it is
+    not. All such edges are taken at once, until none is left. Minima combine before the shuffle.
+    """
+    left = materialize(edges.select("order", "left", "right"), "edges")
+    node_type = left.schema["left"].dataType.simpleString()
+    taken = left.sparkSession.createDataFrame([], f"order long, node {node_type}, other {node_type}")
+    while not left.isEmpty():
+        ends = left.select("order", F.explode(F.array("left", "right")).alias("node"))
+        first = ends.groupBy("node").agg(F.min("order").alias("order"))
+        both = first.groupBy("order").agg(
+            F.count(F.lit(1)).alias("ends"), F.min("node").alias("node"), F.max("node").alias("other")
+        )
+        chosen = materialize(both.where("ends = 2").drop("ends"), "taken")
+        gone = chosen.select(F.explode(F.array("node", "other")).alias("node"))
+        for side in ("left", "right"):
+            left = left.join(gone.withColumnRenamed("node", side), side, "left_anti")
+        left = materialize(left.select("order", "left", "right"), "edges")
+        taken = taken.unionAll(chosen)
+    return taken
+
 
+@dataclass
+class _Tally:
+    made: int
+    gained: int
+    shortcircuited: int
+    # Whether the last draws of the round failed, oldest first.
+    last_failed: list[bool]
 
-def _free_members(state: DataFrame, holds: Column) -> DataFrame:
-    members = state.where(~holds).select(F.explode(F.array("left_sequence", "right_sequence")).alias("sequence"))
-    return members.where("sequence is not null")
 
+class _Rounds:
+    """Pairs and free oligos as tables, counters on the driver."""
 
-def _cut(state: DataFrame, which: str, allowed: int) -> DataFrame:
-    """Undo this round's draws after number ``allowed`` of those where ``which`` holds."""
-    numbered = with_position(state.where(which).select("order"), "order", "nth")
-    last = numbered.where(F.col("nth") == allowed - 1).first()["order"] if allowed else -1
-    late = F.col("made") & (F.col("order") > last)
-    return (
-        state.withColumn("late", late)
-        .withColumn("fits", F.col("fits") & ~F.col("late"))
-        .withColumn("undone", F.col("late"))
-        .drop("late")
-    )
+    def __init__(self, pool: DataFrame, rules: PairRules, options: PairingOptions):
+        self.rules, self.options = rules, options
+        self.free = materialize(pool.select("sequence"), "free")
+        self.count = self.unpaired = self.free.count()
+        nothing = ", ".join(f"{c} {'string' if c.endswith('sequence') else 'double'}" for c in PAIR_COLUMNS)
+        self.pairs = pool.sparkSession.createDataFrame([], nothing)
+        self.accepted = 0
+        self.layer = 1
+
+    def _taken(self, draws: DataFrame) -> tuple[DataFrame, int]:
+        """The draws (order, left, right, fits) that are taken, up to the target, and their number."""
+        taken = materialize(first_come(draws.where("fits")), "taken-draws")
+        gained, allowed = taken.count(), self.options.target_pairs - self.accepted
+        if gained > allowed:
+            numbered = with_position(taken, "order", "nth")
+            taken = materialize(numbered.where(F.col("nth") < allowed).drop("nth"), "taken-draws")
+        return taken, min(gained, allowed)
+
+    def _tally(self, draws: DataFrame, taken: DataFrame, gained: int) -> _Tally:
+        """A draw was made if both its ends were free at its turn, and the target was not reached before it."""
+        at = taken.select(F.explode(F.array("node", "other")).alias("node"), F.col("order").alias("at"))
+        rows = draws.select("order", "left", "right", "fits", "shortcircuited")
+        for side in ("left", "right"):
+            turn = at.select(F.col("node").alias(side), F.col("at").alias(f"{side}_at"))
+            rows = rows.join(turn, side, "left")
+        made = (F.coalesce("left_at", "order") >= F.col("order")) & (F.coalesce("right_at", "order") >= F.col("order"))
+        if self.accepted + gained >= self.options.target_pairs:
+            made = made & (F.col("order") <= (taken.agg(F.max("order")).first()[0] or -1))
+        rows = materialize(rows.where(made).select("order", "fits", "shortcircuited"), "made")
+        sums = rows.agg(F.count(F.lit(1)).alias("made"), F.sum("shortcircuited").alias("short")).first()
+        last = rows.orderBy(F.desc("order")).limit(self.options.rejection_window).collect()
+        return _Tally(sums.made, gained, sums.short or 0, [not r.fits for r in reversed(last)])
+
+    def draw(self, budget: int) -> _Tally:
+        """Layers of disjoint draws among the free oligos."""
+        couples = self.unpaired // 2
+        wanted = max(self.options.stagnation_attempts, DRAWS_PER_OLIGO * self.unpaired)
+        layers = min(-(-wanted // couples), budget // couples)
+        proposals = propose_pairs(self.free, self.unpaired, self.options.seed, self.layer, layers)
+        self.layer += layers
+        scored = materialize(score_proposals(proposals, self.rules), "draws")
+        ends = scored.withColumn("left", F.col("left_sequence")).withColumn("right", F.col("right_sequence"))
+        taken, gained = self._taken(ends)
+        tally = self._tally(ends, taken, gained)
+        made = scored.join(taken.select("order"), "order").select(*PAIR_COLUMNS)
+        self.pairs = materialize(self.pairs.unionAll(made), "pairs")
+        self._leave(taken.select(F.explode(F.array("node", "other")).alias("sequence")), gained)
+        return tally
+
+    def swap(self, budget: int) -> _Tally:
+        """Free oligos two by two against the pairs held: pair t mod P for couple t mod C."""
+        couples, held = self.unpaired // 2, self.accepted
+        wanted = math.ceil(self.options.requeue_scale * max(self.options.stagnation_attempts, held))
+        turns = min(wanted, budget // 2)
+        seed, layer = self.options.seed, self.layer
+        self.layer += 1
+        free = with_position(self.free.withColumn("hash", digest_number(seed, layer, F.col("sequence"))), "hash", "place")
+        couple = free.where(F.col("place") < 2 * couples).groupBy(F.expr("place div 2").alias("couple"))
+        couple = couple.agg(
+            F.max(F.when(F.col("place") % 2 == 0, F.col("sequence"))).alias("u"),
+            F.max(F.when(F.col("place") % 2 == 1, F.col("sequence"))).alias("v"),
+        )
+        hashed = self.pairs.withColumn("hash", digest_number(seed, layer, F.col("left_sequence")))
+        pairs = materialize(with_position(hashed, "hash", "pair").drop("hash"), "numbered-pairs")
+        again = F.explode(F.sequence(F.lit(0), F.lit((turns - 1) // held))).alias("again")
+        draws = pairs.select("pair", F.col("left_sequence").alias("a"), F.col("right_sequence").alias("b"), again)
+        draws = draws.withColumn("order", F.col("pair") + F.col("again").cast("long") * held).drop("again")
+        draws = draws.where(F.col("order") < turns).withColumn("couple", F.col("order") % couples)
+        met = grid_join(draws, couple, "couple", "order", "couple")
+        ways = [("u", "a", True), ("v", "b", True), ("u", "b", False), ("v", "a", False)]
+        sides = [F.struct(F.col(x).alias("left_sequence"), F.col(y).alias("right_sequence"), F.lit(s).alias("straight"))
+                 for x, y, s in ways]
+        scored = met.select("order", "couple", "pair", F.inline(F.array(*sides)))
+        scored = materialize(score_proposals(scored, self.rules), "swaps")
+        both_ways = materialize(
+            scored.groupBy("order", "couple", "pair").agg(
+                F.min(F.when(F.col("straight"), F.col("fits"))).alias("straight_fits"),
+                F.min(F.when(~F.col("straight"), F.col("fits"))).alias("crossed_fits"),
+                F.sum("shortcircuited").alias("shortcircuited"),
+            ),
+            "swap-draws",
+        )
+        # Couples are the even nodes, pairs the odd ones.
+        ends = both_ways.select(
+            "order",
+            (F.col("couple") * 2).alias("left"),
+            (F.col("pair") * 2 + 1).alias("right"),
+            (F.col("straight_fits") | F.col("crossed_fits")).alias("fits"),
+            "shortcircuited",
+        )
+        taken, gained = self._taken(ends)
+        tally = self._tally(ends, taken, gained)
+        chosen = taken.select("order").join(both_ways, "order").select("order", "pair", F.col("straight_fits").alias("way"))
+        chosen = materialize(chosen, "chosen-swaps")
+        fresh = scored.join(chosen.select("order", "way"), "order").where(F.col("straight") == F.col("way"))
+        fresh = materialize(fresh.select(*PAIR_COLUMNS), "swapped")
+        kept = pairs.join(chosen.select("pair"), "pair", "left_anti").select(*PAIR_COLUMNS)
+        self.pairs = materialize(kept.unionAll(fresh), "pairs")
+        now = fresh.select(F.explode(F.array("left_sequence", "right_sequence")).alias("sequence"))
+        self._leave(now, gained)
+        # A swap makes two draws, and gives up a pair that an earlier one had made.
+        return _Tally(2 * tally.made, gained, tally.shortcircuited, [x for x in tally.last_failed for _ in "ab"])
+
+    def _leave(self, paired: DataFrame, gained: int) -> None:
+        self.free = materialize(self.free.join(paired, "sequence", "left_anti"), "free")
+        self.accepted += gained
+        self.unpaired -= 2 * gained
 
 
 def pair_oligos(pool: DataFrame, rules: PairRules, options: PairingOptions) -> Pairing:
     """``rules`` are sense rules (see ``PairRules.anywhere``); ``pool`` needs unique sequences.
 
-    Ends at the target, when at most one oligo is free, when the draws are used up, or when drawing stagnates:
-    ``stagnation_attempts`` draws, and two draws for each free oligo, or ``idle_rounds`` rounds have brought no more
-    pairs than before.
+    ``requeue_scale`` times the pairs held are tried for swaps in a round (0: no pair is ever given up). Draws are laid
+    out in whole layers, so drawing ends when the budget does not pay for a draw of all free oligos.
     """
-    start = materialize(
-        pool.select(
-            F.lit(0).cast("long").alias("order"),
-            F.col("sequence").alias("left_sequence"),
-            F.lit(None).cast("string").alias("right_sequence"),
-            *[F.lit(None).cast("double").alias(c) for c in PAIR_COLUMNS[2:]],
-            F.lit(False).alias("made"),
-            F.lit(False).alias("fits"),
-            F.lit(0).cast("long").alias("shortcircuited"),
-        ),
-        "pairing",
-    )
-    count = start.count()
-    budget = max(1, count * options.attempts_multiplier)
-    result = Pairing(pairs=start, free=start, unpaired=count)
-    state = best = start
-    accepted = most = since_best = idle = round_no = 0
+    state = _Rounds(pool, rules, options)
+    budget = max(1, state.count * options.attempts_multiplier)
+    result = Pairing(pairs=state.pairs, free=state.free)
+    since_best = 0
     recent: list[bool] = []
-    while (
-        count - 2 * accepted >= 2
-        and accepted < options.target_pairs
-        and result.attempts < budget
-        and idle < options.idle_rounds
-        and (since_best < options.stagnation_attempts or since_best < 2 * (count - 2 * accepted))
-    ):
-        holds = F.expr(_HOLDS)
-        chance = min(1.0, max(0.0, result.recent_rejection_rate * options.requeue_scale))
-        if accepted and chance > 0:
-            # On average as many dissolved pairs as drawing one by one would cause.
-            share = min(1.0, chance * ((count - 2 * accepted) // 2) / accepted)
-            ticket = F.pmod(digest_number(options.seed, -round_no, F.col("left_sequence")), F.lit(_TICKETS))
-            holds = holds & (ticket >= int(share * _TICKETS))
-        round_no += 1
-        free = _free_members(state, holds)
-        kept = state.where(holds).withColumn("made", F.lit(False)).withColumn("fits", F.lit(False))
-        kept = kept.withColumn("shortcircuited", F.lit(0).cast("long")).select(start.columns)
-        drawn = score_proposals(propose_pairs(free, count, options.seed, round_no), rules)
-        state = materialize(kept.unionByName(drawn), "pairing")
-        tally = _tally(state)
-        allowed = options.target_pairs - (tally.held - tally.fit)
-        if tally.fit > allowed:
-            state = _undone(_cut(state, "fits", allowed), start.columns)
-            tally = _tally(state)
-        if tally.made > budget - result.attempts:
-            state = _undone(_cut(state, "made", budget - result.attempts), start.columns)
-            tally = _tally(state)
-        result.recycled += accepted - (tally.held - tally.fit)
-        accepted = tally.held
-        result.held.append(accepted)
+
+    def take_in(tally: _Tally, recycled: int) -> None:
+        nonlocal since_best, recent
         result.attempts += tally.made
-        result.rejected += tally.made - tally.fit
-        result.shortcircuited += tally.short or 0
-        window = state.where("made").orderBy(F.desc("order")).limit(options.rejection_window).select("fits").collect()
-        recent = (recent + [not r.fits for r in reversed(window)])[-max(1, options.rejection_window) :]
-        result.recent_rejection_rate = sum(recent) / len(recent) if recent else 0.0
-        if accepted > most:
-            most, best, since_best, idle = accepted, state, 0, 0
-        else:
-            since_best, idle = since_best + tally.made, idle + 1
-    result.pairs = best.where(_HOLDS).select(*PAIR_COLUMNS)
-    result.free = _free_members(best, F.expr(_HOLDS))
-    result.accepted, result.unpaired = most, count - 2 * most
-    result.target_reached = most >= options.target_pairs
-    return result
+        result.recycled += recycled
+        result.rejected += tally.made - tally.gained - recycled
+        result.shortcircuited += tally.shortcircuited
+        recent = (recent + tally.last_failed)[-max(1, options.rejection_window) :]
+        since_best = 0 if tally.gained else since_best + tally.made
+        result.held.append(state.accepted)
 
+    def open_ends() -> bool:
+        return state.unpaired >= 2 and state.accepted < options.target_pairs
 
-def _tally(state: DataFrame):
-    return state.agg(
-        F.count_if("made").alias("made"),
-        F.count_if("fits").alias("fit"),
-        F.count_if(F.expr(_HOLDS)).alias("held"),
-        F.sum("shortcircuited").alias("short"),
-    ).first()
-
-
-def _undone(state: DataFrame, columns: list[str]) -> DataFrame:
-    """Undone draws become two single oligos."""
-    pairs = state.where("not undone").select(columns)
-    single = state.where("undone").withColumn("side", F.explode(F.array("left_sequence", "right_sequence")))
-    single = (
-        single.withColumn("left_sequence", F.col("side"))
-        .withColumn("right_sequence", F.lit(None).cast("string"))
-        .withColumn("made", F.lit(False))
-        .withColumn("shortcircuited", F.lit(0).cast("long"))
-    )
-    return materialize(pairs.unionByName(single.select(columns)), "pairing")
+    while (
+        open_ends()
+        and since_best < options.stagnation_attempts
+        and budget - result.attempts >= state.unpaired // 2
+    ):
+        take_in(state.draw(budget - result.attempts), 0)
+        if open_ends() and state.accepted and options.requeue_scale > 0 and budget - result.attempts >= 2:
+            tally = state.swap(budget - result.attempts)
+            take_in(tally, tally.gained)
+    result.pairs, result.free = state.pairs, state.free
+    result.accepted, result.unpaired = state.accepted, state.unpaired
+    result.recent_rejection_rate = sum(recent) / len(recent) if recent else 0.0
+    result.target_reached = state.accepted >= options.target_pairs
+    return result

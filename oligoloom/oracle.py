@@ -196,6 +196,89 @@ metrics AS (SELECT *, CASE WHEN anchored_run_length >= 4 THEN {_tm('anchored_run
  FROM records)"""
 
 
+def _best_text(x: str, y: str) -> str:
+    """The longest common run of two 20-mers; of equally long ones that of the smallest offset, then start."""
+    cells = (
+        f"array_to_string([CASE WHEN i + o BETWEEN 0 AND 19 AND substr({x}, i + 1, 1) = substr({y}, i + o + 1, 1)"
+        f" THEN substr({x}, i + 1, 1) ELSE ' ' END for i in range(0, 20)], '')"
+    )
+    texts = f"flatten([string_split({cells}, ' ') for o in range(-19, 20)])"
+    return f"list_reduce({texts}, lambda p, q: CASE WHEN length(q) > length(p) THEN q ELSE p END)"
+
+
+def _sense_tm(x: str, y: str, least: int) -> str:
+    hot = f"CASE WHEN length(s) >= {least} THEN {_tm('s')} ELSE '-infinity'::double END"
+    return f"list_max([{hot} for s in [{_best_text(x, y)}]])"
+
+
+def _fits(x: str, y: str, limit: float, least: int) -> str:
+    """Whether both sense scores of two oligos stay within the limit."""
+    return f"({_sense_tm(x, y, least)} <= {limit} AND {_sense_tm(y, x, least)} <= {limit})"
+
+
+def _pairing(limit: float, least: int, seed: int, window: int, draws: int = 50) -> str:
+    """The sequential process, one layer of disjoint draws or one block of swaps a step.
+
+    ``tries``: {u, v} to be paired, or to be swapped into the pair {l, r}; a block has no couple and no pair twice.
+    """
+
+    def shuffled(items: str, key: str, layer: str) -> str:
+        keyed = f"[{{'h': {_digest(str(seed), layer, f'x{key}')}, 'x': x}} for x in {items}]"
+        return f"[y.x for y in list_sort({keyed})]"
+
+    pair, couple = "STRUCT(l VARCHAR, r VARCHAR)", "STRUCT(u VARCHAR, v VARCHAR)"
+    budget, open_ends = f"{draws} * n - attempts", "len(free) >= 2 AND len(pairs) < n // 2"
+    straight = f"{_fits('t.u', 't.l', limit, least)} AND {_fits('t.v', 't.r', limit, least)}"
+    crossed = f"{_fits('t.u', 't.r', limit, least)} AND {_fits('t.v', 't.l', limit, least)}"
+    listed = "list_contains(free, t.u) AND list_contains(free, t.v)"
+    return f"""steps AS (
+ SELECT 0 AS step, 'swap' AS phase, 1 AS layer, 0 AS k, 0 AS blocks, 0 AS turns, []::VARCHAR[] AS start, list(sequence) AS free,
+  []::{pair}[] AS pairs, []::{couple}[] AS couples, []::{pair}[] AS old, true AS gained, 0 AS made, 0 AS attempts, 0 AS since,
+  count(*) AS n FROM pool
+ UNION ALL
+ SELECT step + 1, phase, layer, k + 1, blocks, turns, start, list_filter(free, lambda s: NOT list_contains(used, s)),
+  list_concat(list_filter(pairs, lambda q: NOT list_contains(given, q)), fresh), couples, old, gained OR len(fresh) > 0,
+  made + len(live) * CASE phase WHEN 'draw' THEN 1 ELSE 2 END, attempts, since, n
+ FROM (SELECT *,
+   CASE phase WHEN 'draw' THEN [{{'l': t.u, 'r': t.v}} for t in ok] ELSE list_concat(
+    flatten([[{{'l': t.u, 'r': t.l}}, {{'l': t.v, 'r': t.r}}] for t in ok]),
+    flatten([[{{'l': t.u, 'r': t.r}}, {{'l': t.v, 'r': t.l}}] for t in ok_crossed])) END AS fresh,
+   flatten([[t.u, t.v] for t in list_concat(ok, ok_crossed)]) AS used,
+   CASE phase WHEN 'draw' THEN [] ELSE [{{'l': t.l, 'r': t.r}} for t in list_concat(ok, ok_crossed)] END AS given
+  FROM (SELECT *, CASE phase WHEN 'draw' THEN [] ELSE list_filter(live, lambda t: NOT list_contains(ok, t) AND {crossed}) END AS ok_crossed
+   FROM (SELECT *, CASE phase WHEN 'draw' THEN list_filter(live, lambda t: {_fits('t.u', 't.v', limit, least)})
+     ELSE list_filter(live, lambda t: {straight}) END AS ok
+    FROM (SELECT *, CASE phase WHEN 'draw' THEN list_filter(tries, lambda t: {listed})
+      ELSE list_filter(tries, lambda t: {listed} AND list_contains(pairs, {{'l': t.l, 'r': t.r}})) END AS live
+     FROM (SELECT *, CASE phase
+       WHEN 'draw' THEN [{{'u': sorted[2 * i - 1], 'v': sorted[2 * i], 'l': '', 'r': ''}} for i in range(1, len(sorted) // 2 + 1)]
+       ELSE [{{'u': couples[t % len(couples) + 1].u, 'v': couples[t % len(couples) + 1].v,
+              'l': old[t % len(old) + 1].l, 'r': old[t % len(old) + 1].r}}
+             for t in range(k * least(len(couples), len(old)), least(turns, (k + 1) * least(len(couples), len(old))))] END AS tries
+      FROM (SELECT *, CASE phase WHEN 'draw' THEN {shuffled('start', '', 'layer + k')} ELSE [] END AS sorted
+       FROM (
+ -- A round goes on, or the next one begins: swaps after draws, draws while the last ones brought something.
+ SELECT step, phase, layer, k, blocks, turns, start, free, pairs, couples, old, gained, made, attempts, since, n FROM steps
+ WHERE k < blocks
+ UNION ALL
+ SELECT step, 'swap', layer, 0, (turns + least(len(couples), len(pairs)) - 1) // least(len(couples), len(pairs)), turns,
+  start, free, pairs, couples, old, false, 0, attempts, since, n
+ FROM (SELECT *, least(greatest({window}, len(pairs)), ({budget}) // 2) AS turns,
+   [{{'u': h[2 * i - 1], 'v': h[2 * i]}} for i in range(1, len(h) // 2 + 1)] AS couples
+  FROM (SELECT step, layer, start, free, pairs, attempts, since, n, {shuffled('free', '', 'layer')} AS h,
+    {shuffled('pairs', '.l', 'layer')} AS old
+   FROM (SELECT step, layer + blocks AS layer, start, free, pairs, attempts + made AS attempts,
+     CASE WHEN gained THEN 0 ELSE since + made END AS since, n FROM steps WHERE k = blocks AND phase = 'draw')
+   WHERE {open_ends} AND len(pairs) > 0 AND {budget} >= 2))
+ UNION ALL
+ SELECT step, 'draw', layer, 0, least((greatest({window}, 2 * len(free)) + len(free) // 2 - 1) // (len(free) // 2), ({budget}) // (len(free) // 2)),
+  0, free, free, pairs, [], [], false, 0, attempts, since, n
+ FROM (SELECT step, layer + CASE phase WHEN 'draw' THEN blocks ELSE least(step, 1) END AS layer, free, pairs, attempts + made AS attempts,
+   CASE WHEN gained THEN 0 ELSE since + made END AS since, phase, n FROM steps WHERE k = blocks)
+ WHERE {open_ends} AND since < {window} AND {budget} >= len(free) // 2
+  AND (phase = 'swap' OR len(pairs) = 0 OR {budget} < 2)))))))))"""
+
+
 _SAMPLE = f"WITH {POOL}, {_sampled(4000, 12345)}"
 
 FUNNEL_ORDER = (
@@ -399,6 +482,13 @@ scores AS (SELECT draw AS "order", left_sequence, right_sequence, coalesce(f.tm,
  LEFT JOIN melted_runs b ON b.left_index = r AND b.right_index = l)
 SELECT "order", left_sequence, right_sequence, CASE WHEN isinf(fwd) THEN fwd ELSE round(fwd, 4) END AS left_vs_right_sense_tm_c,
  CASE WHEN isinf(rev) THEN rev ELSE round(rev, 4) END AS right_vs_left_sense_tm_c, greatest(fwd, rev) <= 30 AS fits FROM scores""",
+    "pairing_complete": f"""WITH RECURSIVE {POOL},
+{_pairing(-30.0, 4, 12345, 200)},
+final AS (SELECT unnest(arg_max(pairs, step)) AS p FROM steps),
+scores AS (SELECT p.l AS left_sequence, p.r AS right_sequence, {_sense_tm('p.l', 'p.r', 4)} AS fwd, {_sense_tm('p.r', 'p.l', 4)} AS rev
+ FROM final)
+SELECT left_sequence, right_sequence, CASE WHEN isinf(fwd) THEN fwd ELSE round(fwd, 4) END AS left_vs_right_sense_tm_c,
+ CASE WHEN isinf(rev) THEN rev ELSE round(rev, 4) END AS right_vs_left_sense_tm_c FROM scores""",
     "calib_search_estimate": f"""{_SAMPLE},
 chance AS (SELECT avg((tm > 10)::int) AS p FROM metrics),
 sizes AS (SELECT unnest([count(*), count(*) // 2, count(*) // 10]) AS oligos FROM pool),

@@ -1,5 +1,6 @@
 """Slow, literal restatements of the rules in plain Python, to compare the Spark forms with."""
 
+import hashlib
 import math
 import random
 from collections import Counter
@@ -98,3 +99,46 @@ def random_pool(count, length, seed, alphabet="ACGT"):
         if text not in pool:
             pool.append(text)
     return pool
+
+
+def pair_in_turn(sequences, fits, target, seed, stagnation, multiplier=50, scale=1.0):
+    """(pairs, free, attempts, rejected, recycled) of drawing and swapping one after the other."""
+    free, pairs, layer, budget = set(sequences), [], 1, max(1, len(sequences) * multiplier)
+    attempts = rejected = recycled = since = 0
+
+    def shuffled(texts, layer_no):
+        return sorted(texts, key=lambda s: (int(hashlib.md5(f"{seed}-{layer_no}-{s}".encode()).hexdigest()[:15], 16), s))
+
+    while len(free) >= 2 and len(pairs) < target and since < stagnation and budget - attempts >= len(free) // 2:
+        start, before, made = set(free), len(pairs), 0
+        couples = len(start) // 2
+        layers = min(-(-max(stagnation, 2 * len(start)) // couples), (budget - attempts) // couples)
+        for one in range(layer, layer + layers):
+            order = shuffled(start, one)
+            for u, v in zip(order[::2], order[1::2]):
+                if u in free and v in free and len(pairs) < target:
+                    made += 1
+                    if fits(u, v):
+                        pairs.append((u, v))
+                        free -= {u, v}
+        layer += layers
+        attempts, rejected = attempts + made, rejected + made - (len(pairs) - before)
+        since = 0 if len(pairs) > before else since + made
+        if len(free) >= 2 and pairs and len(pairs) < target and scale > 0 and budget - attempts >= 2:
+            order, before, made = shuffled(free, layer), len(pairs), 0
+            old = [next(p for p in pairs if p[0] == s) for s in shuffled([p[0] for p in pairs], layer)]
+            layer += 1
+            couples = list(zip(order[::2], order[1::2]))
+            for t in range(min(math.ceil(scale * max(stagnation, len(old))), (budget - attempts) // 2)):
+                (u, v), (a, b) = couples[t % len(couples)], old[t % len(old)]
+                if u in free and (a, b) in pairs and len(pairs) < target:
+                    made += 2
+                    for fresh in ([(u, a), (v, b)], [(u, b), (v, a)]):
+                        if all(fits(*p) for p in fresh):
+                            pairs = [p for p in pairs if p != (a, b)] + fresh
+                            free -= {u, v}
+                            break
+            gained = len(pairs) - before
+            attempts, rejected, recycled = attempts + made, rejected + made - 2 * gained, recycled + gained
+            since = 0 if gained else since + made
+    return set(pairs), free, attempts, rejected, recycled

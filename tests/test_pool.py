@@ -2,7 +2,7 @@ import math
 import random
 
 import pytest
-from plain import greedy_set, random_pool, rc, tm
+from plain import best_run, greedy_set, pair_in_turn, random_pool, rc, tm
 from pyspark.sql import functions as F
 
 from oligoloom.functions.melting import Chemistry
@@ -228,6 +228,38 @@ def test_pairing_invariants(spark):
     assert out.attempts == out.rejected + out.held[-1] + out.recycled and out.accepted == max(out.held)
 
 
+@pytest.mark.parametrize(
+    "options",
+    [
+        dict(target_pairs=30, stagnation_attempts=40),
+        dict(target_pairs=17, stagnation_attempts=40),
+        dict(target_pairs=30, stagnation_attempts=40, attempts_multiplier=1),
+        dict(target_pairs=30, stagnation_attempts=7, requeue_scale=0.0),
+        dict(target_pairs=30, stagnation_attempts=300, requeue_scale=2.5),
+    ],
+)
+def test_pairing_is_what_drawing_in_turn_gives(spark, options):
+    """Half of the oligos share a hot core, so they only fit the others, which first find each other."""
+    rng = random.Random(6)
+    texts = ["GCGCGGCC" + "".join(rng.choice("ACGT") for _ in range(4)) for _ in range(31)]
+    texts = sorted(set(texts + random_pool(30, 12, 9)))
+    limit = -20.0
+
+    def score(a, b):
+        size, start, _ = best_run(a, b, len(a))
+        return tm(a[start : start + size]) if size >= 4 else -math.inf
+
+    fits = lambda a, b: max(score(a, b), score(b, a)) <= limit
+    out = pair_up(spark, texts, limit, seed=5, **options)
+    named = dict(target=options["target_pairs"], stagnation=options["stagnation_attempts"])
+    named |= dict(multiplier=options.get("attempts_multiplier", 50), scale=options.get("requeue_scale", 1.0))
+    pairs, free, attempts, rejected, recycled = pair_in_turn(texts, fits, seed=5, **named)
+    assert {(r.left_sequence, r.right_sequence) for r in out.pairs.collect()} == pairs
+    assert {r.sequence for r in out.free.collect()} == free
+    assert (out.attempts, out.rejected, out.recycled) == (attempts, rejected, recycled)
+    assert out.held == sorted(out.held) and out.accepted == len(pairs)
+
+
 def test_pairing_keeps_the_most_pairs_it_held(spark):
     """Three quarters share a hot core and fit only the others: rejections dissolve pairs in every round."""
     rng = random.Random(4)
