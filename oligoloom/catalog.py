@@ -477,9 +477,9 @@ def mis_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def mis_survivors_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same survivors with every round run on Spark."""
-    kept = pr.independent_set(accepted(spark, sf_dir), dense_edges(spark, sf_dir), finish_below=0)
-    return kept.select("idx", "sequence")
+    """The same survivors by rounds alone, without working off the strongest in turn."""
+    removed = pr.greedy_removals(dense_edges(spark, sf_dir), head_size=1)
+    return accepted(spark, sf_dir).join(removed, "idx", "left_anti").select("idx", "sequence")
 
 
 @query

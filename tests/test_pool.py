@@ -21,7 +21,15 @@ from oligoloom.operators.funnel import (
 )
 from oligoloom.operators.gate import admissible, gate_lengths
 from oligoloom.operators.pairing import PairingOptions, pair_oligos
-from oligoloom.operators.prune import greedy_removals, head_victims, independent_set, round_victims, trim_newest
+from oligoloom.operators.prune import (
+    both_directions,
+    greedy_removals,
+    head_victims,
+    independent_set,
+    round_victims,
+    settle,
+    trim_newest,
+)
 from oligoloom.sources.proposals import enumerate_sequences
 
 OPEN = dict(tm_min_c=-1000.0, tm_max_c=1000.0, max_homopolymer=99, max_dinucleotide_repeats=99,
@@ -148,8 +156,8 @@ def test_pruning_matches_the_sequential_rule(spark, seed):
     edges = [(i, j) for j in range(n) for i in range(j) if rng.random() < 0.08]
     want = set(range(n)) - greedy_set(texts, edges)
     frame = edge_frame(spark, texts, edges)
-    for finish_below in (0, len(edges) // 2, 10**6):
-        removed = [r.idx for r in greedy_removals(frame, finish_below).collect()]
+    for head_size, rounds in ((1, 3), (n // 3, 1), (1500, 2)):
+        removed = [r.idx for r in greedy_removals(frame, head_size, rounds).collect()]
         assert len(removed) == len(set(removed)) and set(removed) == want
 
 
@@ -161,15 +169,17 @@ def test_dense_conflicts_of_one_shared_text(spark, head_size):
     edges = [(i, j) for j in range(1, n, 2) for i in range(0, j, 2)]
     want = set(range(n)) - greedy_set(texts, edges)
     frame = edge_frame(spark, texts, edges)
-    removed = [r.idx for r in greedy_removals(frame, 40, head_size).collect()]
+    removed = [r.idx for r in greedy_removals(frame, head_size).collect()]
     assert len(removed) == len(set(removed)) and set(removed) == want
-    head = [r.idx for r in head_victims(frame, head_size).collect()]
+    head = [r.idx for r in head_victims(both_directions(frame), head_size).collect()]
     assert head and set(head) <= want and (head_size < n or set(head) == want)
 
 
 def test_equal_degrees_fall_by_sequence(spark):
     assert [r.idx for r in greedy_removals(edge_frame(spark, ["CCC", "AAA"], [(0, 1)])).collect()] == [0]
-    assert [r.idx for r in greedy_removals(edge_frame(spark, ["AAA", "CCC"], [(0, 1)]), 0).collect()] == [1]
+    assert [r.idx for r in greedy_removals(edge_frame(spark, ["AAA", "CCC"], [(0, 1)]), 1).collect()] == [1]
+    assert [r.node for r in settle(both_directions(edge_frame(spark, ["AAA", "CCC"], [(0, 1)]))).collect()] == [1]
+    assert greedy_removals(edge_frame(spark, [], [])).count() == 0
 
 
 def test_gate_against_enumeration(spark):
