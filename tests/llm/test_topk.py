@@ -61,15 +61,48 @@ def test_odd_vectors(spark):
     assert search(spark, []) == [] and search(spark, [(1, [1.0], 0, 0, "x")]) == []
 
 
-def test_bounds_hold_at_every_level():
+@pytest.mark.parametrize("scale", [(1.0, 1.0), (9.0, 9.0)])
+def test_bounds_hold_at_every_level(scale):
     rnd = np.random.default_rng(4)
-    data, weights = rnd.integers(-9, 9, (50, 6)), rnd.integers(-9, 9, (5, 6))
-    lists = topk.Lists(np.arange(50), data)
-    exact = weights @ data.T
+    data, weights = rnd.integers(-9, 9, (50, 6)).astype(float), rnd.integers(-9, 9, (5, 6)).astype(float)
+    reading = topk.Reading(topk.Lists(np.arange(50), data), weights, np.float64, scale)
+    exact = weights @ data.T / (scale[0] * scale[1])
     for level in range(topk.LEVELS):
-        lower, upper = lists.bounds(weights, level, np.float64)
-        assert (lower <= exact).all() and (exact <= upper).all()
-    assert (lower == exact).all()
+        lower, upper = reading.read(level)
+        assert (lower <= exact + 1e-9).all() and (exact <= upper + 1e-9).all()
+    assert np.allclose(lower, exact) and np.allclose(upper, exact)
+
+
+def test_runs_behind_the_end_stay_unread(monkeypatch):
+    """Twenty candidates stand out: one run of every list settles them."""
+    data = np.ones((400, 6))
+    data[:20] = 1000.0
+    read = []
+    run = topk.Lists.run
+    monkeypatch.setattr(topk.Lists, "run", lambda self, level, top: read.append(level) or run(self, level, top))
+    found = list(topk.search_block(np.array([999]), np.ones((1, 6)), topk.Lists(np.arange(400), data), 20))
+    assert set(read) == {0} and sorted(found[0][2]) == list(range(20))
+
+
+@pytest.mark.parametrize("size", [4e7, 1e9, 1e12, 3e38])
+def test_large_components(spark, size):
+    """Against whole numbers, and as far as doubles reach against the query's SQL."""
+    rnd = np.random.default_rng(2)
+    vectors = [(rnd.integers(-9, 9, 4) * size / 9).tolist() for _ in range(60)] + [[1.0, 2.0, 3.0, 4.0]] * 3
+    rows = [(i, v, 0, 0, "x") for i, v in enumerate(vectors)]
+    long = (1 << 63) - 1
+    want = [(q, i, max(-long - 1, min(long, s))) for q, _, i, s in brute_force(rows, 100)]
+    want = {q: sorted(((-s, i) for p, i, s in want if p == q))[:20] for q in (0, 20, 40, 60)}
+    assert search(spark, rows) == [(q, n + 1, i, -s) for q, best in want.items() for n, (s, i) in enumerate(best)]
+
+
+def test_large_components_against_sql(spark):
+    rows = [(i, [4e7, 1e7] if i in (1, 20) else [float(i), 1.0], 0, 0, "x") for i in (0, 1, 2, 20)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", [r[:2] for r in rows])
+    sql = ORACLE_SQL["op3_sorted_list_topk"]
+    assert search(spark, rows) == sorted(con.execute(f"SELECT query_id, rank, vec_id, score FROM ({sql})").fetchall())
 
 
 def test_query_against_sql(spark):
