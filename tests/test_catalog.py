@@ -2,6 +2,7 @@
 
 import math
 import os
+import subprocess
 import sys
 
 import duckdb
@@ -9,6 +10,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as contract  # noqa: E402
+from oligoloom.catalog import QUERIES  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = (
@@ -54,5 +56,18 @@ def test_entry(spark):
     assert frame.count() == 187
 
 
+@pytest.mark.parametrize("missing", ["tokenizers", "public_tokenizers"])
+def test_entry_without_an_optional_package(missing):
+    code = f"import sys; sys.modules['{missing}'] = None; import __spark_entry__ as e; print(len(e.queries()))"
+    root = os.path.dirname(contract.__file__)
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True)
+    assert int(done.stdout) == len(QUERIES)
+    try:
+        import oligoloom.llm  # noqa: F401
+    except ModuleNotFoundError:
+        return
+    assert f"no package {missing}" in done.stderr
+
+
 def test_oracles_belong_to_queries():
     assert set(contract.oracle_sql()) <= set(contract.queries())
