@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,11 +19,12 @@ from oligoloom.operators import pair_counts as pc
 from oligoloom.operators import prune as pr
 from oligoloom.operators.accept import accept_first, oligo_records, output_rows, with_position
 from oligoloom.operators.gate import gate_lengths
+from oligoloom.operators.key_index import KeyIndex
 from oligoloom.operators.pairing import PairingOptions, pair_oligos, propose_pairs, score_proposals
 from oligoloom.plans.gather import next_batch
 from oligoloom.sources.proposals import enumerate_sequences, propose
 from oligoloom.sources.tables import customer_candidates, line_candidates, order_candidates, table
-from oligoloom.storage import materialize
+from oligoloom.storage import materialize, scratch_dir
 
 # The settings of the demonstration run: 20-mers, 60-65 C, conflicts above 40 C, 500 nM.
 LENGTH = 20
@@ -413,11 +415,36 @@ def conflict_edges_shared_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("left_index", "right_index", F.round("tm_c", 4).alias("tm_c"))
 
 
+def _index(spark: SparkSession) -> KeyIndex:
+    return KeyIndex(spark, f"{scratch_dir(spark)}/key-index-{uuid.uuid4().hex}", DENSE_RULES)
+
+
 @query
 def conflict_edges_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = accepted(spark, sf_dir)
-    rows = co.conflict_edges(pool, DENSE_RULES, first_new=_half(spark, sf_dir))
-    return rows.select("left_index", "right_index", F.round("tm_c", 4).alias("tm_c"))
+    """The newer half of the pool against an index of the older half, to which it is appended."""
+    pool, half = accepted(spark, sf_dir), _half(spark, sf_dir)
+    index, newer = _index(spark), pool.where(F.col("idx") >= half)
+    index.append(pool.where(F.col("idx") < half), 0)
+    index.append(newer, 1)
+    return index.conflicts(newer).select("left_index", "right_index", F.round("tm_c", 4).alias("tm_c"))
+
+
+@query
+def index_after_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posting lists of the pool in two batches, a third of the older one removed, compacted in between."""
+    pool, half = accepted(spark, sf_dir), _half(spark, sf_dir)
+    index, older = _index(spark), pool.where(F.col("idx") < half)
+    index.append(older, 0)
+    index.remove(older.where(F.col("idx") % 3 == 0), 0)
+    index.compact()
+    index.append(pool.where(F.col("idx") >= half), 1)
+    index.remove(pool.where(F.col("sequence").startswith("A")), 1)
+    digits = F.expr("substring(conv(key, 10, 4), 2)")
+    return index.postings().select(
+        F.translate(digits, "0123", sq.ALPHABET).alias("suffix"),
+        F.col("left_index").alias("idx"),
+        F.col("left_last").alias("last"),
+    )
 
 
 @query

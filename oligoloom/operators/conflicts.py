@@ -124,33 +124,38 @@ def with_shortest_hot_suffix(rows: DataFrame, seq: str, lasts: range, rules: Pai
     return keep(rows, F.col("__size").isNotNull(), {**columns, "key": key})
 
 
-def _hot_pairs(
-    pool: DataFrame,
-    rules: PairRules,
-    partner: Column,
-    seq: str,
-    order: str,
-    first_new: int | None,
-    ordered: bool,
-    cell_matches: int,
-) -> DataFrame:
-    n, count = rules.length, pool.count()
-    window = range(max(0, n - max(1, rules.window)), n)
-    base = spread(pool.select(F.col(order).alias("__id"), F.col(seq).alias("__seq")), "__id", count)
-    left = with_shortest_hot_suffix(base, "__seq", window, rules).select(
+def _base(pool: DataFrame, seq: str, order: str) -> DataFrame:
+    return spread(pool.select(F.col(order).alias("__id"), F.col(seq).alias("__seq")), "__id", pool.count())
+
+
+def left_keys(pool: DataFrame, rules: PairRules, seq: str = "sequence", order: str = "idx") -> DataFrame:
+    """(key, left_index, left_sequence, left_last) of every end position in the window that has a key."""
+    window = range(max(0, rules.length - max(1, rules.window)), rules.length)
+    keys = with_shortest_hot_suffix(_base(pool, seq, order), "__seq", window, rules)
+    return keys.select(
         "key",
         F.col("__id").alias("left_index"),
         F.col("__seq").alias("left_sequence"),
         F.col("last").alias("left_last"),
     )
-    newer = base if first_new is None else base.where(F.col("__id") >= first_new)
-    newer = newer.withColumn("__partner", partner)
-    right = with_shortest_hot_suffix(newer, "__partner", range(n), rules).select(
+
+
+def right_keys(
+    pool: DataFrame, rules: PairRules, seq: str = "sequence", order: str = "idx", sense: bool = False
+) -> DataFrame:
+    """(key, right_index, partner, right_last) of all end positions of what the left oligo is compared with."""
+    partner = F.col("__seq") if sense else reverse_complement(F.col("__seq"))
+    rows = _base(pool, seq, order).withColumn("__partner", partner)
+    return with_shortest_hot_suffix(rows, "__partner", range(rules.length), rules).select(
         "key",
         F.col("__id").alias("right_index"),
         F.col("__partner").alias("partner"),
         F.col("last").alias("right_last"),
     )
+
+
+def _scored(left: DataFrame, right: DataFrame, rules: PairRules, ordered: bool, cell_matches: int) -> DataFrame:
+    n = rules.length
     met = F.col("left_index") < F.col("right_index") if ordered else F.col("left_index") != F.col("right_index")
     # A best run ends where the texts part, so meetings inside a longer run are no candidates.
     met = met & F.expr(
@@ -171,6 +176,21 @@ def _hot_pairs(
     )
 
 
+def conflicts_of_keys(
+    left: DataFrame, right: DataFrame, rules: PairRules, cell_matches: int = CELL_MATCHES
+) -> DataFrame:
+    """Conflicting pairs, left before right, of ``left_keys`` and ``right_keys``."""
+    return _scored(left, right, rules, True, cell_matches).select(
+        "left_index",
+        "right_index",
+        "left_sequence",
+        reverse_complement(F.col("partner")).alias("right_sequence"),
+        "run_length",
+        "run_sequence",
+        F.col("run_tm_c").alias("tm_c"),
+    )
+
+
 def conflict_edges(
     pool: DataFrame,
     rules: PairRules,
@@ -183,16 +203,9 @@ def conflict_edges(
 
     ``pool`` is read several times, so pass a table (see ``storage.materialize``).
     """
-    partner = reverse_complement(F.col("__seq"))
-    hits = _hot_pairs(pool, rules, partner, seq, order, first_new, True, cell_matches)
-    return hits.select(
-        "left_index",
-        "right_index",
-        "left_sequence",
-        reverse_complement(F.col("partner")).alias("right_sequence"),
-        "run_length",
-        "run_sequence",
-        F.col("run_tm_c").alias("tm_c"),
+    newer = pool if first_new is None else pool.where(F.col(order) >= first_new)
+    return conflicts_of_keys(
+        left_keys(pool, rules, seq, order), right_keys(newer, rules, seq, order), rules, cell_matches
     )
 
 
@@ -205,7 +218,8 @@ def sense_conflicts(
 ) -> DataFrame:
     """Directed pairs whose sense score exceeds the limit (both directions are listed)."""
     sense = rules.anywhere()
-    hits = _hot_pairs(pool, sense, F.col("__seq"), seq, order, None, False, cell_matches)
+    keys = left_keys(pool, sense, seq, order), right_keys(pool, sense, seq, order, sense=True)
+    hits = _scored(*keys, sense, False, cell_matches)
     return hits.select(
         "left_index",
         "right_index",

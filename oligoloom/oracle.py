@@ -424,6 +424,12 @@ pool AS MATERIALIZED (SELECT idx, sequence, {_rc('sequence')} AS rc FROM (
 SELECT left_index, right_index, round(tm_c, 4) AS tm_c FROM edges""",
     "conflict_edges_delta": f"""{_EDGES_30} SELECT left_index, right_index, round(tm_c, 4) AS tm_c FROM edges
 WHERE right_index >= (SELECT first_new FROM half)""",
+    "index_after_removal": f"""WITH {POOL},
+live AS (SELECT idx, sequence FROM pool, half WHERE NOT (idx < first_new AND idx % 3 = 0) AND NOT starts_with(sequence, 'A')),
+suffixes AS (SELECT idx, e::int AS last, n, substr(sequence, (e + 2 - n)::int, n::int) AS suffix
+ FROM live, unnest([17, 18, 19]) AS a(e), unnest(range(4, 21)) AS b(n) WHERE n <= e + 1),
+hot AS (SELECT *, row_number() OVER (PARTITION BY idx, last ORDER BY n) AS nth FROM suffixes WHERE {_tm('suffix')} > 30)
+SELECT idx, last, suffix FROM hot WHERE nth = 1""",
     "sense_conflicts": f"""WITH {POOL}, {_runs(7, anchored=False, sense=True)},
 scored AS (SELECT *, {_tm('run_sequence')} AS tm_c FROM best)
 SELECT {_EDGE_COLUMNS} FROM scored WHERE tm_c > 30""",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from oligoloom.config import ConfigError, RunConfig
 from oligoloom.functions.sequence import is_dna
-from oligoloom.sources.shared import exists, make_folder, read_text, write_text
+from oligoloom.sources.shared import exists, make_folder, names, read_text, remove, write_text
 
 LATEST = "latest_run.txt"
 
@@ -95,8 +95,9 @@ SEEN_SCHEMA = "sequence string"
 class RunState:
     """What a run needs to go on: the accepted pool, every sequence ever accepted, the attempts.
 
-    Pool and seen sequences are tables that grow by a folder a batch; the manifest lists the folders. It is
-    written last, so a broken save leaves the old state, and a repeated batch overwrites its own folder.
+    Pool and seen sequences are tables that grow by a folder a batch; a manifest lists the folders. Every save writes
+    a manifest of its own, last of all, and then removes earlier ones: the newest that is there counts, so a save that
+    breaks off anywhere leaves the old state or the new one, and a repeated batch overwrites its own folder.
     """
 
     spark: SparkSession
@@ -149,14 +150,22 @@ class RunState:
             "config_digest": self.config.digest,
             "config": self.config.merged,
         }
-        write_text(self.spark, f"{self.folder}/manifest.json", json.dumps(manifest, default=str))
+        earlier = manifests(self.spark, self.folder)
+        write_text(self.spark, f"{self.folder}/manifest-{self.version:09d}.json", json.dumps(manifest, default=str))
+        for name in earlier:
+            remove(self.spark, f"{self.folder}/{name}")
+
+
+def manifests(spark: SparkSession, folder: str) -> list[str]:
+    """Names of complete manifests, the newest last; drafts have another ending."""
+    return [n for n in names(spark, folder) if n.startswith("manifest-") and n.endswith(".json")]
 
 
 def load_state(spark: SparkSession, folder: str, config: RunConfig) -> RunState:
-    path = f"{folder}/manifest.json"
-    if not exists(spark, path):
-        raise ConfigError(f"no checkpoint at {path}")
-    manifest = json.loads(read_text(spark, path))
+    found = manifests(spark, folder)
+    if not found:
+        raise ConfigError(f"no checkpoint in {folder}")
+    manifest = json.loads(read_text(spark, f"{folder}/{found[-1]}"))
     same = json.loads(json.dumps(config.merged, default=str)) == manifest["config"]
     if manifest["config_digest"] != config.digest and not same:
         raise ConfigError("the checkpoint was written under a different configuration")

@@ -1,9 +1,9 @@
 """A pool that grows with a stream of candidates.
 
 Each micro-batch is filtered, freed of sequences the pool already has, appended, and validated
-against the pool: only pairs with a new member are scored. Results go to one folder per batch
-and only earlier batches are read, so a batch that is repeated after a failure overwrites its
-own output and nothing else.
+against the pool through its key index: only the batch is keyed and only pairs with a new member
+are scored. Results go to one folder per batch and only earlier batches are read, so a batch that
+is repeated after a failure overwrites its own output and nothing else.
 """
 
 from __future__ import annotations
@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from oligoloom.operators.accept import with_position
-from oligoloom.operators.conflicts import PairRules, conflict_edges
+from oligoloom.operators.conflicts import PairRules
 from oligoloom.operators.funnel import FunnelSettings, survivors, with_reason
+from oligoloom.operators.key_index import KeyIndex
+from oligoloom.storage import scratch_scope
 
 POOL_SCHEMA = "attempt_id long, sequence string, intrinsic_tm_c double, idx long, batch long"
 
@@ -34,7 +36,7 @@ def read_pool(rows: DataFrame, folder: str, before: int | None = None) -> DataFr
 def grow_pool(
     candidates: DataFrame, settings: FunnelSettings, rules: PairRules, folder: str
 ) -> DataStreamWriter:
-    """Writer that maintains ``folder``/pool and ``folder``/edges; the caller sets the trigger."""
+    """Writer that maintains ``folder``/pool, /index and /edges; the caller sets the trigger."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -44,11 +46,14 @@ def grow_pool(
         earlier = read_pool(batch, folder, batch_id)
         size = earlier.count()
         fresh = survivors(batch, settings).join(earlier.select("sequence"), "sequence", "left_anti")
-        numbered = with_position(fresh, "attempt_id").withColumn("idx", F.col("idx") + size)
-        numbered = numbered.select("attempt_id", "sequence", "intrinsic_tm_c", "idx")
-        numbered.write.mode("overwrite").parquet(f"{folder}/pool/batch={batch_id}")
-        pool = read_pool(batch, folder, batch_id + 1)
-        edges = conflict_edges(pool, rules, first_new=size)
-        edges.write.mode("overwrite").parquet(f"{folder}/edges/batch={batch_id}")
+        with scratch_scope(spark):
+            numbered = with_position(fresh, "attempt_id").withColumn("idx", F.col("idx") + size)
+            numbered = numbered.select("attempt_id", "sequence", "intrinsic_tm_c", "idx")
+            numbered.write.mode("overwrite").parquet(f"{folder}/pool/batch={batch_id}")
+            fresh = read_pool(batch, folder, batch_id + 1).where(F.col("batch") == batch_id)
+            index = KeyIndex(spark, f"{folder}/index", rules)
+            index.append(fresh, batch_id)
+            edges = index.conflicts(fresh, through=batch_id)
+            edges.write.mode("overwrite").parquet(f"{folder}/edges/batch={batch_id}")
 
     return candidates.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/offsets")
