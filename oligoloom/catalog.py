@@ -17,10 +17,12 @@ from oligoloom.operators import conflicts as co
 from oligoloom.operators import funnel as fu
 from oligoloom.operators import pair_counts as pc
 from oligoloom.operators import prune as pr
-from oligoloom.operators.accept import accept_first, oligo_records, output_rows, with_position
+from oligoloom.operators.accept import oligo_records, output_rows, with_position
 from oligoloom.operators.gate import gate_lengths
 from oligoloom.operators.key_index import KeyIndex
 from oligoloom.operators.pairing import PairingOptions, pair_oligos, propose_pairs, score_proposals
+from oligoloom.operators.prefix import accept_to_cut
+from oligoloom.operators.rolling import rolling_share
 from oligoloom.plans.gather import next_batch
 from oligoloom.sources.proposals import enumerate_sequences, propose
 from oligoloom.sources.tables import customer_candidates, line_candidates, order_candidates, table
@@ -274,7 +276,7 @@ def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _first_accepted(candidates: DataFrame, size: int) -> DataFrame:
-    first = oligo_records(accept_first(fu.survivors(candidates, FUNNEL), size))
+    first = oligo_records(accept_to_cut(candidates, FUNNEL, size).rows)
     return first.select(
         "idx",
         "attempt_id",
@@ -297,6 +299,21 @@ def accept_prefix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _first_accepted(customer_candidates(spark, sf_dir), 100)
 
 
+@query
+def funnel_counts_to_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejections per reason up to the 100th accepted customer sequence, and the attempt that brings it."""
+    prefix = accept_to_cut(customer_candidates(spark, sf_dir), FUNNEL, 100)
+    return fu.reason_counts(prefix.totals).withColumn("last_attempt", F.lit(prefix.cut).cast("long"))
+
+
+@query
+def rejection_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of rejections among the last 50 order candidates, attempt by attempt."""
+    judged = fu.with_reason(order_candidates(spark, sf_dir), FUNNEL).select("attempt_id", "reason")
+    rows = rolling_share(judged, "attempt_id", F.col("reason").isNotNull(), 50, "rate")
+    return rows.select("attempt_id", F.round("rate", 6).alias("rate"))
+
+
 @query
 def accept_second_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The next 200 acceptances when the older half of the pool has been accepted before."""

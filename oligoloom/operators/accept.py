@@ -12,6 +12,8 @@ from oligoloom.storage import materialize
 
 # Rows that one task numbers: not so few that tasks cost more than rows, not more than it sorts well.
 LEAST_ROWS, MOST_ROWS = 10_000, 2_000_000
+# Ranges that a selection counts at a time.
+_RANGES = 1024
 # monotonically_increasing_id keeps the partition above this many bits of row number.
 _ROW_BITS = 33
 
@@ -41,9 +43,39 @@ def with_position(rows: DataFrame, order: str, out: str = "idx") -> DataFrame:
     )
 
 
+def nth_smallest(rows: DataFrame, order: str, n: int) -> int | None:
+    """The ``n``-th smallest value of a unique LONG column (null: there are fewer), without sorting.
+
+    Counts of equal ranges tell which range holds it; that range is divided again until one value is left. Each
+    step reads one column and sends about ``_RANGES`` numbers to the driver.
+    """
+    ends = rows.agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count(order).alias("n")).first()
+    if n < 1 or ends.n < n:
+        return None
+    low, high, before = ends.low, ends.high, 0
+    while low < high:
+        width = (high - low) // _RANGES + 1
+        inside = rows.where(F.col(order).between(low, high))
+        part = F.expr(f"{order} div {width}L - if({order} % {width}L < 0, 1, 0)")
+        for part_no, count in sorted(tuple(r) for r in inside.groupBy(part.alias("part")).count().collect()):
+            if before + count >= n:
+                low, high = max(low, part_no * width), min(high, (part_no + 1) * width - 1)
+                break
+            before += count
+    return low
+
+
+def first_rows(rows: DataFrame, size: int, order: str) -> DataFrame:
+    """The ``size`` rows that come first, in no order; all if there are fewer. ``rows`` should be a stored table."""
+    cut = nth_smallest(rows, order, size)
+    if cut is None:
+        return rows if size > 0 else rows.limit(0)
+    return rows.where(F.col(order) <= cut)
+
+
 def accept_first(rows: DataFrame, size: int, order: str = "attempt_id") -> DataFrame:
-    """The first ``size`` survivors in attempt order, numbered from 0."""
-    return with_position(rows, order).where(F.col("idx") < size)
+    """The first ``size`` survivors in attempt order, numbered from 0; only these are sorted."""
+    return with_position(first_rows(materialize(rows, "survivors"), size, order), order)
 
 
 def oligo_records(rows: DataFrame, seq: str = "sequence") -> DataFrame:

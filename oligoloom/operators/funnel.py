@@ -107,7 +107,15 @@ def funnel_totals(
 
     Every repeat of a sequence counts as a duplicate, whatever happened to its first proposal.
     """
-    distinct = with_reason(first_occurrences(candidates, seq, order), settings, seq)
+    return _totals(with_reason(first_occurrences(candidates, seq, order), settings, seq))
+
+
+def totals_of_verdicts(verdicts: DataFrame, seq: str = "sequence") -> DataFrame:
+    """The same from rows that have been judged already (``with_reason``)."""
+    return _totals(verdicts.groupBy(seq).agg(F.count(F.lit(1)).alias("proposals"), F.min("reason").alias("reason")))
+
+
+def _totals(distinct: DataFrame) -> DataFrame:
     stages = [F.count_if(F.col("reason") == name).alias(name) for name in FUNNEL_ORDER[1:]]
     zero = F.lit(0).cast("long")
     return distinct.agg(

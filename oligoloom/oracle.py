@@ -388,6 +388,18 @@ SELECT stage, filter, n AS "count", round(n / attempts::double, 6) AS fraction_o
     "dedup_first": f"WITH {LINES} SELECT sequence, min(attempt_id) AS attempt_id, count(*) AS proposals FROM cand GROUP BY sequence",
     "accept_prefix": _first_accepted("o_orderkey", 1000),
     "accept_prefix_repeats": _first_accepted("o_custkey", 100),
+    "funnel_counts_to_cut": f"""WITH cand AS (SELECT o_orderkey AS attempt_id, {_dna('o_custkey')} AS sequence FROM orders),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY sequence ORDER BY attempt_id) AS nth FROM cand),
+firsts AS (SELECT attempt_id, sequence, {_tm('sequence')} AS tm FROM numbered WHERE nth = 1),
+verdicts AS (SELECT attempt_id, {REASON} AS reason FROM firsts),
+cut AS (SELECT coalesce((SELECT attempt_id FROM verdicts WHERE reason = 'accepted' ORDER BY attempt_id LIMIT 1 OFFSET 99),
+ (SELECT max(attempt_id) FROM cand)) AS last_attempt),
+reasons AS (SELECT reason FROM verdicts, cut WHERE attempt_id <= last_attempt
+ UNION ALL SELECT 'duplicate' FROM numbered, cut WHERE nth > 1 AND attempt_id <= last_attempt)
+SELECT reason, count(*) AS n, any_value(last_attempt) AS last_attempt FROM reasons, cut GROUP BY reason""",
+    "rejection_rolling": f"""WITH {ORDERS}, {JUDGED}
+SELECT attempt_id, round(avg((reason <> 'accepted')::int) OVER (ORDER BY attempt_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 6) AS rate
+FROM judged""",
     "kmers_3prime": f"WITH {POOL}, {_words('w', 'sequence', 8, 11, 13)} SELECT DISTINCT idx, kmer FROM w",
     "kmers_rc": f"WITH {POOL}, {_words('w', 'rc', 8, 1, 13)} SELECT DISTINCT idx, kmer FROM w",
     "candidate_pairs_gate": f"WITH {POOL}, {_candidates(8)} SELECT left_index, right_index FROM cand_pairs",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oligoloom.config import RunConfig
-from oligoloom.operators.accept import with_position
+from oligoloom.operators.accept import nth_smallest, with_position
 from oligoloom.operators.funnel import FunnelSettings, survivors
 from oligoloom.sources.proposals import attempts, propose
 from oligoloom.storage import materialize
@@ -49,9 +49,9 @@ def next_batch(
     proposed again they fail again; accepted ones do (``seen``).
     """
     fresh = survivors(source(spark, first, last), settings).join(seen, "sequence", "left_anti")
-    rows = materialize(with_position(fresh, "attempt_id"), "batch")
-    count = rows.count()
-    if count < missing:
-        return rows, count, last
-    rows = rows.where(F.col("idx") < missing)
-    return rows, missing, rows.agg(F.max("attempt_id")).first()[0]
+    fresh = materialize(fresh, "fresh")
+    cut = nth_smallest(fresh, "attempt_id", missing)
+    if cut is None:
+        return materialize(with_position(fresh, "attempt_id"), "batch"), fresh.count(), last
+    rows = with_position(fresh.where(F.col("attempt_id") <= cut), "attempt_id")
+    return materialize(rows, "batch"), missing, cut

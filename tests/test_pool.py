@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from oligoloom.functions.melting import Chemistry
 from oligoloom.operators import calibrate as cal
-from oligoloom.operators.accept import accept_first, with_position
+from oligoloom.operators.accept import accept_first, first_rows, nth_smallest, with_position
 from oligoloom.operators.conflicts import PairRules
 from oligoloom.operators.funnel import (
     FUNNEL_ORDER,
@@ -21,6 +21,8 @@ from oligoloom.operators.funnel import (
 )
 from oligoloom.operators.gate import admissible, gate_lengths
 from oligoloom.operators.pairing import PairingOptions, pair_oligos
+from oligoloom.operators.prefix import accept_to_cut
+from oligoloom.operators.rolling import rolling_share
 from oligoloom.operators.prune import (
     both_directions,
     greedy_removals,
@@ -132,6 +134,52 @@ def test_accept_first(spark):
     assert [(r.idx, r.attempt_id, r.sequence) for r in got] == [(0, 1, "AAAA"), (1, 2, "CCCC"), (2, 6, "GGGG")]
 
 
+@pytest.mark.parametrize("size", [0, 1, 3, 50, 400, 5000])
+def test_prefix_and_its_counters(spark, size):
+    """Against going through the attempts one by one; several stretches, sparse attempt numbers, repeats."""
+    rng = random.Random(8)
+    rows = [(7 * i - 900, "".join(rng.choice("ACGT") for _ in range(5))) for i in range(1500)]
+    frame = spark.createDataFrame(rows, "attempt_id long, sequence string").repartition(5)
+    settings = FunnelSettings(length=5, **{**OPEN, "max_homopolymer": 2, "motifs": ("GAG",)})
+    verdicts = {r.sequence: r.reason for r in with_reason(frame, settings).distinct().collect()}
+    seen, taken, counts, last = set(), [], {}, None
+    for attempt, text in rows:
+        if len(taken) == size:
+            break
+        reason = "duplicate" if text in seen else verdicts[text] or "accepted"
+        seen.add(text)
+        counts[reason] = counts.get(reason, 0) + 1
+        last = attempt
+        if reason == "accepted":
+            taken.append((len(taken), attempt, text))
+    got = accept_to_cut(frame, settings, size, least_attempts=40)
+    assert [(r.idx, r.attempt_id, r.sequence) for r in got.rows.orderBy("idx").collect()] == taken
+    assert {r.reason: r.n for r in reason_counts(got.totals).collect()} == counts
+    assert got.cut == last and (size != 3 or got.judged < 200)
+    assert accept_to_cut(frame.limit(0), settings, size).rows.count() == 0
+
+
+@pytest.mark.parametrize("values", [[5], [3, 1, 2], [-(2**62), 0, 2**62, 7], list(range(0, 9000, 3))])
+def test_selection_without_sorting(spark, values):
+    rows = spark.createDataFrame([(v,) for v in values], "key long").repartition(3)
+    for n in {1, 2, len(values) // 2, len(values)} - {0}:
+        assert nth_smallest(rows, "key", n) == (sorted(values)[n - 1] if n <= len(values) else None)
+    assert nth_smallest(rows, "key", len(values) + 1) is None
+    assert sorted(r.key for r in first_rows(rows, 2, "key").collect()) == sorted(values)[:2]
+    assert first_rows(rows, 0, "key").count() == 0
+
+
+@pytest.mark.parametrize("window", [1, 4, 10, 33])
+def test_rolling_share(spark, window):
+    rng = random.Random(2)
+    flags = [rng.choice([True, False, None]) for _ in range(100)]
+    rows = spark.createDataFrame([(3 * i, f) for i, f in enumerate(flags)], "key long, failed boolean").repartition(7)
+    got = {r.key: r.share for r in rolling_share(rows, "key", F.col("failed"), window, block_rows=10).collect()}
+    for i in range(100):
+        last = flags[max(0, i - window + 1) : i + 1]
+        assert math.isclose(got[3 * i], sum(f is True for f in last) / len(last))
+
+
 def edge_frame(spark, texts, edges):
     rows = [(i, j, texts[i], texts[j]) for i, j in edges]
     return spark.createDataFrame(rows, "left_index long, right_index long, left_sequence string, right_sequence string")
