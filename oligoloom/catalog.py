@@ -324,7 +324,7 @@ def accept_second_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     def source(session: SparkSession, first: int, last: int) -> DataFrame:
         return order_candidates(session, sf_dir).where(F.col("attempt_id").between(first, last))
 
-    rows, _, _ = next_batch(spark, source, FUNNEL, seen, ends[0], ends[1], 200)
+    rows = next_batch(spark, source, FUNNEL, seen, ends[0], ends[1], 200).rows
     return rows.select((F.col("idx") + half).alias("idx"), "attempt_id", "sequence")
 
 

@@ -19,7 +19,7 @@ from oligoloom.operators.calibrate import (
     sample_pairs,
     search_size,
 )
-from oligoloom.operators.funnel import FUNNEL_ORDER, funnel_totals
+from oligoloom.operators.funnel import FUNNEL_ORDER, totals_of_verdicts
 from oligoloom.plans.gather import Source, next_batch, proposal_source
 from oligoloom.sources.files import new_run_dir, write_csv, write_json, write_yaml
 from oligoloom.storage import materialize, scratch_scope
@@ -42,13 +42,14 @@ def _calibrate(config: RunConfig, spark: SparkSession, source: Source | None) ->
 
     started = time.perf_counter()
     nothing = spark.createDataFrame([], "sequence string")
-    sample, found, attempts = next_batch(
+    batch = next_batch(
         spark, source, config.funnel(), nothing, 1, options.max_filter_attempts, options.filtered_sample_size
     )
+    found, attempts = batch.count, batch.reached
     if found < 2:
         raise ConfigError(f"only {found} usable sequences in {attempts} attempts")
-    sample = materialize(sample, "sample")
-    totals = funnel_totals(source(spark, 1, attempts), config.funnel()).first().asDict()
+    sample = materialize(batch.rows, "sample")
+    totals = totals_of_verdicts(batch.verdicts).first().asDict()
     seconds_per_attempt = (time.perf_counter() - started) / max(attempts, 1)
 
     # Lengths of all runs are wanted here, so the sample is scored without a gate.

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from oligoloom.config import RunConfig
 from oligoloom.operators.accept import nth_smallest, with_position
-from oligoloom.operators.funnel import FunnelSettings, survivors
+from oligoloom.operators.funnel import FUNNEL_ORDER, FunnelSettings, with_reason
 from oligoloom.sources.proposals import attempts, propose
 from oligoloom.storage import materialize
 
@@ -33,6 +34,18 @@ def batch_size(missing: int, tried: int, found: int) -> int:
     return max(MIN_BATCH, math.ceil(missing * per_oligo))
 
 
+@dataclass
+class Batch:
+    """Newly accepted oligos (idx from 0) and their number, the attempt after which to continue, the verdicts of all
+    attempts up to it, and what the write of the batch saw pass: judged attempts by reason, repeats included."""
+
+    rows: DataFrame
+    count: int
+    reached: int
+    verdicts: DataFrame
+    observed: dict[str, int]
+
+
 def next_batch(
     spark: SparkSession,
     source: Source,
@@ -41,17 +54,24 @@ def next_batch(
     first: int,
     last: int,
     missing: int,
-) -> tuple[DataFrame, int, int]:
+) -> Batch:
     """Newly accepted oligos from attempts first..last, at most ``missing`` of them.
 
-    Returns the rows (idx from 0), their number and the attempt after which to continue: the
-    one that filled the quota, or ``last``. Rejected sequences need no memory, because being
-    proposed again they fail again; accepted ones do (``seen``).
+    Every attempt is judged once, into a table. It ends at the attempt that filled the quota, or at ``last``. Rejected
+    sequences need no memory to be rejected again; accepted ones do (``seen``).
     """
-    fresh = survivors(source(spark, first, last), settings).join(seen, "sequence", "left_anti")
-    fresh = materialize(fresh, "fresh")
+    seen_passing = Observation()
+    reasons = [F.count_if(F.col("reason") == name).alias(name) for name in FUNNEL_ORDER[1:]]
+    judged = with_reason(source(spark, first, last).select("attempt_id", "sequence"), settings)
+    judged = judged.observe(seen_passing, F.count(F.lit(1)).alias("judged"), *reasons)
+    verdicts = materialize(judged, "verdicts")
+    fresh = verdicts.where("reason is null").groupBy("sequence").agg(
+        F.min("attempt_id").alias("attempt_id"), F.first("intrinsic_tm_c").alias("intrinsic_tm_c")
+    )
+    fresh = materialize(fresh.join(seen, "sequence", "left_anti"), "fresh")
     cut = nth_smallest(fresh, "attempt_id", missing)
     if cut is None:
-        return materialize(with_position(fresh, "attempt_id"), "batch"), fresh.count(), last
-    rows = with_position(fresh.where(F.col("attempt_id") <= cut), "attempt_id")
-    return materialize(rows, "batch"), missing, cut
+        rows = materialize(with_position(fresh, "attempt_id"), "batch")
+        return Batch(rows, fresh.count(), last, verdicts, seen_passing.get)
+    rows = materialize(with_position(fresh.where(F.col("attempt_id") <= cut), "attempt_id"), "batch")
+    return Batch(rows, missing, cut, verdicts.where(F.col("attempt_id") <= cut), seen_passing.get)

@@ -89,13 +89,14 @@ def write_yaml(spark: SparkSession, path: str, payload: dict[str, Any]) -> None:
 
 POOL_SCHEMA = "idx long, attempt_id long, sequence string, intrinsic_tm_c double"
 SEEN_SCHEMA = "sequence string"
+JUDGED_SCHEMA = "sequence string, reason string"
 
 
 @dataclass
 class RunState:
-    """What a run needs to go on: the accepted pool, every sequence ever accepted, the attempts.
+    """What a run needs to go on: the accepted pool, every sequence ever accepted, the verdicts of all attempts.
 
-    Pool and seen sequences are tables that grow by a folder a batch; a manifest lists the folders. Every save writes
+    These are tables that grow by a folder a batch; a manifest lists the folders. Every save writes
     a manifest of its own, last of all, and then removes earlier ones: the newest that is there counts, so a save that
     breaks off anywhere leaves the old state or the new one, and a repeated batch overwrites its own folder.
     """
@@ -108,6 +109,7 @@ class RunState:
     version: int = 0
     pool_parts: list[str] = field(default_factory=list)
     seen_parts: list[str] = field(default_factory=list)
+    judged_parts: list[str] = field(default_factory=list)
 
     def _table(self, parts: list[str], schema: str) -> DataFrame:
         if not parts:
@@ -122,16 +124,21 @@ class RunState:
     def seen(self) -> DataFrame:
         return self._table(self.seen_parts, SEEN_SCHEMA)
 
+    @property
+    def judged(self) -> DataFrame:
+        return self._table(self.judged_parts, JUDGED_SCHEMA)
+
     def _write(self, rows: DataFrame, name: str) -> str:
         part = f"{name}-{self.version + 1}"
         rows.write.mode("overwrite").parquet(f"{self.folder}/{part}")
         return part
 
-    def append(self, rows: DataFrame, attempts: int) -> None:
-        """Add newly accepted rows and note the attempts they took."""
+    def append(self, rows: DataFrame, attempts: int, verdicts: DataFrame) -> None:
+        """Add newly accepted rows, and the attempts they took with their verdicts."""
         columns = [c.split()[0] for c in POOL_SCHEMA.split(", ")]
         self.pool_parts = [*self.pool_parts, self._write(rows.select(columns), "pool")]
         self.seen_parts = [*self.seen_parts, self._write(rows.select("sequence"), "seen")]
+        self.judged_parts = [*self.judged_parts, self._write(verdicts.select("sequence", "reason"), "judged")]
         self.attempts = attempts
         self._save()
 
@@ -144,6 +151,7 @@ class RunState:
         manifest = {
             "pool": self.pool_parts,
             "seen": self.seen_parts,
+            "judged": self.judged_parts,
             "version": self.version,
             "attempts": self.attempts,
             "seed": self.seed,
@@ -178,4 +186,5 @@ def load_state(spark: SparkSession, folder: str, config: RunConfig) -> RunState:
         version=manifest["version"],
         pool_parts=manifest["pool"],
         seen_parts=manifest["seen"],
+        judged_parts=manifest["judged"],
     )

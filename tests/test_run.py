@@ -1,15 +1,17 @@
 import csv
 import json
+import random
+import time
 from pathlib import Path
 
 import pytest
 from plain import conflicts, greedy_set, random_pool, rc
-
+from pyspark import InheritableThread
 
 from oligoloom import cli
 from oligoloom.config import ConfigError, build_config, load_config, parse_config, read_motifs
 from oligoloom.operators.conflicts import PairRules, conflict_edges
-from oligoloom.operators.funnel import FunnelSettings
+from oligoloom.operators.funnel import FunnelSettings, funnel_totals
 from oligoloom.plans.calibrate import run_calibration
 from oligoloom.plans.gather import batch_size
 from oligoloom.plans.generate import run_generation
@@ -199,6 +201,60 @@ def test_interrupt_goes_on_with_what_there_is(spark, tmp_path):
     assert summary["cycle_count"] == 1 and summary["accepted_before_pruning"] == 15
 
 
+def test_every_attempt_is_judged_once(spark, tmp_path):
+    """Counters come from the verdicts that were stored, also after resuming."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ACGT") for _ in range(5)) for _ in range(400)]
+    calls, replay = [], supplied(texts)
+
+    def source(spark_, first, last):
+        calls.append((first, last))
+        return replay(spark_, first, last)
+
+    parts = dict(filters={"max_homopolymer": 2}, thermodynamics={"pair_tm_max_c": 999.0})
+    for attempts, resume in ((150, False), (400, True)):
+        c = config(tmp_path, 5, 4000, attempts, **parts)
+        if resume:
+            # The same run, continued with a larger budget.
+            found = sorted(tmp_path.glob("**/manifest-*.json"))[-1]
+            found.write_text(json.dumps(json.loads(found.read_text()) | {"config_digest": c.digest}))
+            (found.parent / f".{found.name}.crc").unlink(missing_ok=True)
+        summary = run_generation(c, spark, resume=resume, source=source)
+        want = funnel_totals(replay(spark, 1, attempts), c.funnel()).first().asDict()
+        counts = summary["generation_diagnostics"]["rejection_counts"]
+        assert counts == {name: want[name] for name in counts} and summary["attempted_candidates"] == attempts
+    assert calls == [(1, 150), (151, 400)]
+
+
+def test_an_interrupt_ends_the_jobs_of_the_batch(spark, tmp_path):
+    replay = supplied(["AAAACCCC", "CCCCAAAA", "AACCAACC"] + ["GGGGGGGG"] * 12)
+    ended = []
+
+    def long_job():
+        try:
+            slow = spark.range(0, 1 << 40, 1, 2).selectExpr("sum(hash(id, id + 1))")
+            slow.collect()
+            ended.append("finished")
+        except Exception as error:
+            ended.append(str(error))
+
+    workers = []
+
+    def source(spark_, first, last):
+        if first == 1:
+            return replay(spark_, 1, 15)
+        workers.append(InheritableThread(target=long_job))
+        workers[0].start()
+        time.sleep(3)
+        raise KeyboardInterrupt
+
+    c = config(tmp_path, 8, 20, 100_000, generator={"force_target_size": True})
+    summary = run_generation(c, spark, source=source)
+    workers[0].join(60)
+    assert not workers[0].is_alive() and "cancel" in ended[0].lower()
+    assert summary["accepted_before_pruning"] == 4 and not spark.sparkContext.getJobTags()
+
+
 def test_pairing_outputs(spark, tmp_path):
     c = config(tmp_path, 4, 4, 20, pairing={"enabled": True, "sense_tm_max_c": 5.0}, thermodynamics={"pair_tm_max_c": 999.0})
     summary = run_generation(c, spark, source=supplied(["AAAA", "CCCC", "GGGG", "TTTT"]))
