@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,12 +22,13 @@ from oligoloom.operators import prune as pr
 from oligoloom.operators.accept import oligo_records, output_rows, with_position
 from oligoloom.operators.gate import gate_lengths
 from oligoloom.operators.key_index import KeyIndex
+from oligoloom.operators.motif_list import motif_table, with_listed_motif
 from oligoloom.operators.pairing import PairingOptions, pair_oligos, propose_pairs, score_proposals
 from oligoloom.operators.prefix import accept_to_cut
 from oligoloom.operators.rolling import rolling_share
 from oligoloom.plans.gather import next_batch
 from oligoloom.sources.proposals import enumerate_sequences, propose
-from oligoloom.sources.tables import customer_candidates, line_candidates, order_candidates, table
+from oligoloom.sources.tables import customer_candidates, dna_from_key, line_candidates, order_candidates, table
 from oligoloom.storage import materialize, scratch_dir
 
 # The settings of the demonstration run: 20-mers, 60-65 C, conflicts above 40 C, 500 nM.
@@ -245,6 +248,45 @@ def flt_near_palindrome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rejected(spark, sf_dir, mo.near_palindrome("sequence", "rc", LENGTH, 7))
 
 
+@query
+def self_run_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long each candidate can pair with itself, with and without the bases around the turn."""
+    rows = order_candidates(spark, sf_dir).select(
+        "attempt_id",
+        sq.pack(F.col("sequence")).alias("code"),
+        sq.pack(sq.reverse_complement(F.col("sequence"))).alias("rc"),
+    )
+    runs = {f"run_gap_{gap}": mo.longest_self_run("code", "rc", LENGTH, gap) for gap in (0, 2)}
+    return stage(rows, runs).select("attempt_id", *runs)
+
+
+@query
+def flt_motif_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Motifs of seven to nine bases drawn from all parts, both strands."""
+    size = F.lit(7) + (F.col("p_partkey") % 3).cast("int")
+    drawn = table(spark, sf_dir, "part").select(
+        dna_from_key(F.col("p_partkey").cast("string"), LENGTH).substr(F.lit(1), size).alias("motif")
+    )
+    return with_listed_motif(order_candidates(spark, sf_dir), motif_table(drawn, "motif"), LENGTH)
+
+
+@query
+def gate_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shortest run that melts above the limit of both directions, and how many pool oligos hold the hottest one."""
+    limits = {"reverse_complement": RULES.limit_c, "sense": SENSE_RULES.limit_c}
+    gate = gate_lengths(spark, FUNNEL, *GC_BOUNDS, limits)
+    rows = [(label, n, gate.examples[label][1]) for label, n in gate.lengths.items()]
+    found = spark.createDataFrame(rows, "label string, length int, max_tm_c double")
+    sizes = {n: F.expr(sq.words_sql("sequence", n, range(LENGTH - n + 1))) for n in set(gate.lengths.values())}
+    words = F.explode(F.concat(*sizes.values())).alias("word")
+    hot = with_intrinsic_tm(accepted(spark, sf_dir).select("idx", words), "word", "tm", LENGTH, CHEMISTRY)
+    hot = hot.select("idx", F.length("word").alias("length"), "tm")
+    held = hot.join(F.broadcast(found), "length").where("tm > max_tm_c - 1e-6").groupBy("label")
+    return found.join(held.agg(F.count_distinct("idx").alias("oligos")), "label", "left").select(
+        "label", "length", F.round("max_tm_c", 4).alias("max_tm_c"), F.coalesce("oligos", F.lit(0)).alias("oligos")
+    )
+
+
 @query
 def funnel_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fu.with_reason(order_candidates(spark, sf_dir), FUNNEL)
@@ -375,6 +417,20 @@ def candidate_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query
+def candidate_pair_counts_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pairs share a 6-mer that ends in the last 3, 8 and 20 positions."""
+    pool, half = accepted(spark, sf_dir), _half(spark, sf_dir)
+    parts = [
+        pc.candidate_pair_count(pool, 6, replace(RULES, window=window), first_new=first_new).select(
+            F.lit(window).alias("window"), F.lit(scope).alias("scope"), "pairs"
+        )
+        for window in (3, 8, 20)
+        for scope, first_new in (("all", None), ("with_new", half))
+    ]
+    return reduce(DataFrame.unionAll, parts)
+
+
 @query
 def pair_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = accepted(spark, sf_dir)

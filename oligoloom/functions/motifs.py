@@ -92,6 +92,39 @@ def self_stem(seq: str, rc: str, length: int, stem: int, gap: int) -> Column:
     return F.expr(" or ".join(conditions) or "false")
 
 
+def longest_self_run(packed: str, packed_rc: str, length: int, gap: int) -> Column:
+    """The longest stem of ``self_stem``, from the packed sequence and its packed reverse complement.
+
+    On each diagonal the bases that match are marked, one bit in two, in a LONG. Marks of runs of 1, 2, 4, ... bases
+    follow from one another by a shift and an AND on all diagonals at once; bisection over these powers then puts the
+    longest run of any diagonal together.
+    """
+    if length > MAX_PACKED:
+        raise ValueError(f"at most {MAX_PACKED} bases are packed")
+    last, marks = length - 1, []
+    for offset in range(-last, length):
+        rows = range(max(0, -offset), min(length, length - offset))
+        mask = sum(1 << (2 * (last - i)) for i in rows if abs(last - offset - 2 * i) > gap)
+        low = (1 << (2 * (length - abs(offset)))) - 1
+        moved = f"shiftleft({packed_rc} & {low}L, {2 * offset})" if offset >= 0 else f"shiftright({packed_rc}, {-2 * offset})"
+        differ = f"({packed} ^ {moved})"
+        marks.append(f"(~({differ} | shiftright({differ}, 1)) & {mask}L)")
+    powers = [f"array({', '.join(marks)})"]
+    while 2 ** len(powers) <= length:
+        run = 2 ** len(powers)
+        powers.append(f"transform(p{len(powers) - 1}, m -> m & shiftright(m, {run}))")
+    # let(name, value, body) as a one-element array, so that every step is worked out once.
+    body = "state.size"
+    for k in range(len(powers)):
+        grown = f"zip_with(state.runs, p{k}, (r, m) -> if(state.size = 0, m, r & shiftright(m, 2 * state.size)))"
+        tried = f"transform(array({grown}), g -> if(exists(g, x -> x != 0), struct(state.size + {2**k} as size, g as runs), state))[0]"
+        body = f"transform(array({tried}), state -> {body})[0]"
+    body = f"transform(array(struct(0 as size, p0 as runs)), state -> {body})[0]"
+    for k in reversed(range(len(powers))):
+        body = f"transform(array({powers[k]}), p{k} -> {body})[0]"
+    return F.expr(body)
+
+
 def self_complementary(seq: str, rc: str, length: int, threshold: int) -> Column:
     return self_stem(seq, rc, length, threshold, gap=2)
 

@@ -7,23 +7,33 @@ and exclusion over the non-empty subsets of those k-mers turns that into signed
 "subset occurs in the partner". Overlapping k-mers that occur together are identified by the
 text they span, so each oligo contributes a fixed number of (pattern, text) rows, and pairs
 with left < right are counted per text by ranking. Work is linear in the pool.
+
+Wide windows have too many subsets. There the pool is cut into blocks, and a task for each two of
+them marks in a bitmap which right oligos share any anchored k-mer with which left ones, and counts
+the marks: k-mers are copied to the tasks of their block, but no pair leaves a task.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from oligoloom.functions.sequence import kmers, reverse_complement, three_prime_starts
-from oligoloom.operators.conflicts import PairRules, candidate_pairs
+from oligoloom.functions.sequence import MAX_PACKED, kmers, pack, reverse_complement, three_prime_starts, words_sql
+from oligoloom.operators.accept import with_position
+from oligoloom.operators.conflicts import PairRules
 from oligoloom.operators.skew import spread
 
 # Oligos per ranking range; a text that every oligo contains is ranked range by range.
 RANGE_BITS = 16
-# 2 ** (window - 1) patterns are built per partner; wider windows list the pairs instead.
+# 2 ** (window - 1) patterns are built per partner; wider windows are counted in bitmaps.
 MAX_PATTERN_WINDOW = 5
+# Oligos to a block; a bitmap holds a byte for each two of two blocks. Shared k-mers are marked so many at a time.
+BLOCK_OLIGOS = 4096
+_MARKS = 1 << 22
 
 
 def _subsets(count: int) -> list[tuple[int, ...]]:
@@ -105,6 +115,49 @@ def _ordered_matches(left: DataFrame, right: DataFrame, range_bits: int) -> Data
     )
 
 
+def marked_pairs(left: np.ndarray, right: np.ndarray, ordered: bool) -> int:
+    """How many (left, right) oligos of two blocks share a word; ``ordered``: left before right in one block.
+
+    Both are rows (word, oligo in its block); a right oligo that may not count is left out by the caller.
+    """
+    marks = np.zeros((BLOCK_OLIGOS, BLOCK_OLIGOS), dtype=bool)
+    right = right[np.argsort(right[:, 0], kind="stable")]
+    first = np.searchsorted(right[:, 0], left[:, 0], side="left")
+    sizes = np.searchsorted(right[:, 0], left[:, 0], side="right") - first
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(left):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _MARKS, side="right")))
+        count = sizes[at:stop]
+        inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        marks[np.repeat(left[at:stop, 1], count), right[np.repeat(first[at:stop], count) + inside, 1]] = True
+        at = stop
+    return int(np.triu(marks, 1).sum() if ordered else marks.sum())
+
+
+def _count_in_cells(pool: DataFrame, k: int, length: int, starts: range, first_new: int | None) -> DataFrame:
+    """One row, ``pairs``; ``pool``: (idx, sequence)."""
+    placed = with_position(pool, "idx", "place")
+    blocks = (placed.agg(F.max("place")).first()[0] or 0) // BLOCK_OLIGOS
+    here = [F.expr(f"place div {BLOCK_OLIGOS}").alias("own"), (F.col("place") % BLOCK_OLIGOS).alias("oligo")]
+    partner = reverse_complement(F.col("sequence"))
+    newer = placed if first_new is None else placed.where(F.col("idx") >= first_new)
+    left = placed.select(*here, F.explode(F.array_distinct(F.expr(words_sql("sequence", k, starts)))).alias("word"))
+    right = newer.withColumn("partner", partner).select(*here, F.explode(kmers("partner", k, length)).alias("word"))
+    later, earlier = F.sequence(F.col("own"), F.lit(blocks)), F.sequence(F.lit(0).cast("long"), F.col("own"))
+    left = left.select(F.col("own").alias("i"), F.explode(later).alias("j"), F.lit(True).alias("is_left"), "oligo", "word")
+    right = right.select(F.explode(earlier).alias("i"), F.col("own").alias("j"), F.lit(False).alias("is_left"), "oligo", "word")
+    # Words too long to pack are told apart by a 64-bit hash.
+    cells = left.unionByName(right).withColumn("word", pack(F.col("word")) if k <= MAX_PACKED else F.xxhash64("word"))
+
+    def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        sides = [rows.loc[rows["is_left"] == side, ["word", "oligo"]].to_numpy(dtype=np.int64) for side in (True, False)]
+        return pd.DataFrame({"pairs": [marked_pairs(*sides, ordered=key[0] == key[1])]})
+
+    counted = cells.groupBy("i", "j").applyInPandas(count, "pairs long")
+    return counted.agg(F.coalesce(F.sum("pairs"), F.lit(0).cast("long")).alias("pairs"))
+
+
 def candidate_pair_count(
     pool: DataFrame,
     k: int,
@@ -118,8 +171,8 @@ def candidate_pair_count(
     starts = three_prime_starts(rules.length, k, rules.window)
     width = len(starts)
     if width > MAX_PATTERN_WINDOW or width - 1 > k:
-        pairs = candidate_pairs(pool, k, rules, seq, order, first_new)
-        return pairs.agg(F.count(F.lit(1)).alias("pairs"))
+        named = pool.select(F.col(order).alias("idx"), F.col(seq).alias("sequence"))
+        return _count_in_cells(named, k, rules.length, starts, first_new)
     pool = spread(pool.select(F.col(order).alias("idx"), F.col(seq).alias("sequence")), "idx", pool.count())
     if not width:
         return pool.agg(F.lit(0).cast("long").alias("pairs"))

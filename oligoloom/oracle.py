@@ -112,10 +112,10 @@ def _words(name: str, column: str, k: int, first: int, last: int) -> str:
     )
 
 
-def _candidates(k: int) -> str:
-    """CTE ``cand_pairs``: pairs left < right that share an anchored k-mer (window 3)."""
+def _candidates(k: int, window: int = 3) -> str:
+    """CTE ``cand_pairs``: pairs left < right that share an anchored k-mer."""
     last = 20 - k + 1
-    anchored = _words("anchored", "sequence", k, max(1, last - 2), last)
+    anchored = _words("anchored", "sequence", k, max(1, last - window + 1), last)
     partner = _words("partner", "rc", k, 1, last)
     return f"""{anchored}, {partner},
 cand_pairs AS (SELECT DISTINCT a.idx AS left_index, p.idx AS right_index
@@ -375,6 +375,28 @@ FROM words LEFT JOIN begun USING (sequence)""",
     "flt_motif_both_strands": _rejected("regexp_matches(sequence, 'GAAGA|TCTTC|CTGCA|TGCAG')"),
     "flt_tm_window": _rejected(f"NOT ({_tm('sequence')} BETWEEN 60 AND 65)"),
     "flt_self_comp": _rejected(_stem_at_least("sequence", 2, 6)),
+    "self_run_length": _orders(
+        f"SELECT attempt_id, {_longest_stem('sequence', 0)}::int AS run_gap_0, {_longest_stem('sequence', 2)}::int AS run_gap_2 FROM cand"
+    ),
+    "flt_motif_list": f"""WITH {ORDERS},
+drawn AS (SELECT substr({_dna('p_partkey')}, 1, 7 + p_partkey % 3) AS motif FROM part),
+banned AS (SELECT motif FROM drawn UNION SELECT {_rc('motif')} FROM drawn),
+words AS (SELECT attempt_id, sequence, substr(sequence, p::int, n::int) AS word
+ FROM cand, unnest(range(1, 21)) AS a(p), unnest([7, 8, 9]) AS b(n) WHERE p + n <= 21)
+SELECT DISTINCT attempt_id, sequence FROM words JOIN banned ON word = motif""",
+    "gate_search": f"""WITH {POOL},
+letters AS (SELECT unnest(range(2, 9)) AS n),
+codes AS (SELECT n, unnest(range(0, 1::BIGINT << (2 * n)::int))::BIGINT AS code FROM letters),
+texts AS (SELECT n, array_to_string([substr('ACGT', 1 + ((code >> (2 * p)) & 3)::int, 1) for p in range(0, n)], '') AS sequence FROM codes),
+counted AS (SELECT n, sequence, length(regexp_replace(sequence, '[AT]', '', 'g')) AS gc FROM texts),
+allowed AS (SELECT n, max({_tm('sequence')}) AS tm FROM counted
+ WHERE greatest(9, gc) <= least(11, gc + 20 - n) AND NOT {_tandem('sequence', 1, 4)} AND NOT {_tandem('sequence', 2, 3)}
+  AND NOT {_tandem('sequence', 3, 2)} GROUP BY n),
+limits(label, threshold) AS (VALUES ('reverse_complement', 40.0), ('sense', 30.0)),
+gates AS (SELECT label, min(n)::int AS length, arg_min(tm, n) AS max_tm_c FROM limits JOIN allowed ON tm > threshold GROUP BY label),
+held AS (SELECT label, count(DISTINCT idx) AS oligos FROM gates, pool, unnest(range(1, 20)) AS u(w)
+ WHERE w + length <= 21 AND {_tm("substr(sequence, w::int, length)")} > max_tm_c - 1e-6 GROUP BY label)
+SELECT label, length, round(max_tm_c, 4) AS max_tm_c, coalesce(oligos, 0) AS oligos FROM gates LEFT JOIN held USING (label)""",
     "flt_near_palindrome": _rejected(_stem_at_least("sequence", 0, 7)),
     "funnel_reason": f"WITH {ORDERS}, {JUDGED} SELECT attempt_id, reason FROM judged",
     "funnel_counts": f"{_LINE_REASONS} SELECT reason, count(*) AS n FROM reasons GROUP BY reason",
@@ -411,6 +433,12 @@ SELECT {k} AS k, '{scope}' AS scope, count(*) AS pairs FROM cand_pairs{where})""
         for k in (4, 8)
         for scope, where in (("all", ""), ("with_new", " WHERE right_index >= (SELECT first_new FROM half)"))
     ),
+    "candidate_pair_counts_windows": " UNION ALL ".join(
+        f"""(WITH {POOL}, {_candidates(6, window)}
+SELECT {window} AS "window", '{scope}' AS scope, count(*) AS pairs FROM cand_pairs{where})"""
+        for window in (3, 8, 20)
+        for scope, where in (("all", ""), ("with_new", " WHERE right_index >= (SELECT first_new FROM half)"))
+    ),
     "pair_slots": f"""WITH {POOL},
 n AS (SELECT count(*) AS oligos, (SELECT first_new FROM half) AS old FROM pool)
 SELECT oligos, oligos AS new_oligos, oligos * (oligos - 1) // 2 AS pair_slots, 'all' AS scope FROM n

@@ -15,6 +15,7 @@ from oligoloom.operators.conflicts import (
     sense_conflicts,
     sense_pair_scores,
 )
+from oligoloom.operators import pair_counts
 from oligoloom.operators.pair_counts import candidate_pair_count, pair_accounting, pair_slots
 from oligoloom.operators.skew import grid_join, heavy_keys
 
@@ -139,6 +140,24 @@ def test_candidates_and_their_count(spark, length, window, k):
         assert candidate_pair_count(pool, k, rules, first_new=20, range_bits=bits).first().pairs == newer
 
 
+@pytest.mark.parametrize("first_new", [None, 0, 30, 59])
+def test_pairs_counted_in_cells(spark, monkeypatch, first_new):
+    """Sparse positions, several blocks, one very common word."""
+    monkeypatch.setattr(pair_counts, "BLOCK_OLIGOS", 16)
+    monkeypatch.setattr(pair_counts, "_MARKS", 50)
+    texts = [t if n % 3 else "ACGTACGT" + t[8:] for n, t in enumerate(related_pool(60, 12, 4))]
+    rules = PairRules(12, window=9)
+    pool = spark.createDataFrame([(7 * i, t) for i, t in enumerate(texts)], "idx long, sequence string")
+    new = 0 if first_new is None else first_new
+    want = sum(
+        best_run(a, rc(b), 9)[0] >= 4 for j, b in enumerate(texts) if j >= new for a in texts[:j]
+    )
+    bound = None if first_new is None else 7 * first_new
+    found = candidate_pair_count(pool, 4, rules, first_new=bound)
+    assert found.first().pairs == want
+    assert candidate_pair_count(pool.limit(0), 4, rules).first().pairs == 0
+
+
 def test_repetitive_words_count_once(spark):
     texts = ["AAAAAAAA", "TTTTTTTT", "AAAATTTT", "TTTTAAAA", "ATATATAT", "TATATATA"]
     pool, rules = pool_frame(spark, texts), PairRules(8)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from oligoloom.functions import motifs as mo
 from oligoloom.functions import sequence as sq
+from oligoloom.operators.motif_list import motif_table, with_listed_motif
 from oligoloom.functions.melting import Chemistry, with_intrinsic_tm, with_tm
 from oligoloom.sources.proposals import attempts, enumerate_sequences, propose
 
@@ -137,3 +138,38 @@ def test_proposals(spark):
     assert all(rows[a - 1].sequence == s for a, s in again.items()) and len(again) == 11
     other = propose(attempts(spark, 1, 50), 8, 20, 0.45, 0.55).collect()
     assert sum(a.sequence == b.sequence for a, b in zip(rows, other)) == 0
+
+
+@pytest.mark.parametrize("length", [1, 2, 7, 12, 31])
+@pytest.mark.parametrize("gap", [0, 2])
+def test_longest_self_run(spark, length, gap):
+    texts = ["ACCGTTAACGGT"[:length].ljust(length, "A"), "GC" * (length // 2) + "G" * (length % 2), "A" * length]
+    texts = sorted(set(texts + random_pool(min(30, 2**length), length, 7, "AT" if length < 7 else "ACGT")))
+    rows = frame(spark, texts).select(
+        "s", sq.pack(F.col("s")).alias("code"), sq.pack(sq.reverse_complement(F.col("s"))).alias("rc")
+    )
+    for row in rows.withColumn("run", mo.longest_self_run("code", "rc", length, gap)).collect():
+        assert row.run == longest_stem(row.s, gap), row.s
+
+
+def test_motifs_from_a_table(spark):
+    texts = random_pool(60, 12, 4)
+    candidates = spark.createDataFrame(list(enumerate(texts)), "attempt_id long, sequence string")
+    given = [("gat",), ("ACGTA",), (None,), ("",), ("CC",), ("A" * 13,), ("GAT",)]
+    table = motif_table(spark.createDataFrame(given, "motif string"), "motif")
+    motifs = {w for m, in given if m for w in (m.upper(), rc(m.upper()))}
+    assert sorted(r.motif for r in table.collect()) == sorted(motifs)
+    got = with_listed_motif(candidates, table, 12).collect()
+    want = [(i, t) for i, t in enumerate(texts) if any(m in t for m in motifs)]
+    assert sorted(map(tuple, got)) == want
+    assert with_listed_motif(candidates, table.limit(0), 12).count() == 0
+
+
+def test_the_plan_does_not_grow_with_the_motifs(spark):
+    candidates = spark.createDataFrame([(0, "ACGTACGTACGT")], "attempt_id long, sequence string")
+    sizes = []
+    for count in (5, 500):
+        motifs = spark.range(count).selectExpr("translate(substr(md5(string(id)), 1, 6), '0123456789abcdef', 'ACGTACGTACGTACGT') as m")
+        plan = with_listed_motif(candidates, motif_table(motifs, "m"), 12)._jdf.queryExecution().optimizedPlan()
+        sizes.append(plan.toString().count("\n"))
+    assert sizes[0] == sizes[1]
