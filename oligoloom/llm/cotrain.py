@@ -6,18 +6,19 @@ their training rows, label the rows of an unlabelled pool, and each hands the ro
 training set of the other. At the end both are calibrated on labelled rows kept aside (Platt scaling), their
 calibrated log-odds are combined by a third fit, and every document of the table is scored.
 
-Fitting uses a bounded sample (``Settings.labelled`` and ``Settings.pool`` rows, drawn by hash of the id); scoring
-sees all documents and whole texts. Documents with a score below ``Settings.reject_below`` are rejected, which is low
+Fitting uses a bounded sample: ``Settings.labelled`` labelled rows, and ``Settings.pool_per_label`` unlabelled ones for
+each of them, drawn by hash of the id, one row an id. Scoring sees all documents and whole texts, very long ones too. Documents with a score below ``Settings.reject_below`` are rejected, which is low
 so that clean documents stay.
 
 Null texts are empty; missing or null languages, sources and lengths are a value of their own or follow from the
-text. Labels that are null or of unknown documents play no part; a repeated label counts again. If one of the two
+text. Labels that are null or of unknown documents play no part; a repeated label counts again. Of an id's rows the one with the smallest hash is sampled. If one of the two
 classes has no label, nothing can be learned: all scores are 1 and nothing is rejected. All columns of the documents
 are kept; a column that has the name of the report is replaced; an empty table stays empty.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -45,8 +46,9 @@ REPORT = StructType(
 
 @dataclass(frozen=True)
 class Settings:
+    # Labelled rows to fit on, and rows without a label that may get a pseudo-label, for each of them.
     labelled: int = 6000
-    pool: int = 6000
+    pool_per_label: float = 1.0
     rounds: int = 4
     # Share of the pool that each view hands over in a round, and how sure it must be.
     handed: float = 0.05
@@ -198,9 +200,12 @@ def co_train(
 
 
 def _sampled_features(docs: DataFrame, ids: DataFrame, doc: str, text: str) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Ids and features of the documents in ``ids``, a sample of bounded size."""
-    columns = [doc, text, *[c for c in ("lang", "source", "n_chars") if c in docs.columns]]
-    rows = docs.select(*columns).join(F.broadcast(ids), doc)
+    """Ids and features of the documents in ``ids``, a sample of bounded size: one row an id, whichever has the
+    smallest hash, however many rows share the id; the choice is combined before the shuffle."""
+    others = [text, *[c for c in ("lang", "source", "n_chars") if c in docs.columns]]
+    rows = docs.select(F.col(doc).cast("long").alias(doc), *others).join(F.broadcast(ids), doc)
+    row = F.struct(*others)
+    rows = rows.groupBy(doc).agg(F.min_by(row, F.xxhash64(*others)).alias("row")).select(doc, "row.*")
     blob = pa.binary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +243,7 @@ def fit_model(
     chosen = known.orderBy(draw, "__label").limit(settings.labelled).toPandas()
     others = docs.select(F.col(doc).cast("long").alias(doc)).where(F.col(doc).isNotNull()).distinct()
     others = others.join(known.select(doc).distinct().hint("merge"), doc, "left_anti")
-    pool = others.orderBy(draw).limit(settings.pool).toPandas()
+    pool = others.orderBy(draw).limit(math.ceil(len(chosen) * settings.pool_per_label)).toPandas()
     ids = np.unique(np.concatenate([chosen[doc].to_numpy(np.int64), pool[doc].to_numpy(np.int64)]))
     if len(ids) == 0:
         return None

@@ -37,6 +37,18 @@ def test_odd_rows_and_labels(spark):
     assert all(0 <= r.quality.score <= 1 for r in rows)
 
 
+def test_one_id_on_very_many_rows_is_one_sampled_row(spark):
+    texts = [(100, f"fine words in a sentence number {n}.") for n in range(3000)] + [(100, None), (7, "BUY!! NOW!! " * 5)]
+    frame = docs(spark, texts)
+    ids = spark.createDataFrame([(7,), (100,), (8,)], "doc_id long")
+    found, views = ct._sampled_features(frame, ids, "doc_id", "text")
+    again, same = ct._sampled_features(frame.repartition(7), ids, "doc_id", "text")
+    assert found.tolist() == again.tolist() == [7, 100] and [len(v) for v in views] == [2, 2]
+    assert all((a == b).all() for a, b in zip(views, same))
+    model = ct.fit_model(frame, labels(spark, [(100, 1, "x"), (7, 0, "x")]))
+    assert ct.score_documents(frame, model).count() == len(texts)
+
+
 def test_nothing_to_learn_from(spark):
     frame = docs(spark, TEXTS)
     for given in ([], [(1, 1, "x"), (2, 1, "x")], [(999, 0, "x")]):
