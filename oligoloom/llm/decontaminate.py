@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from oligoloom.llm.bytesets import ALNUM, Slice, Words, slices, window_hashes, window_rows, word_hashes, words
-from oligoloom.llm.tables import stored
+from oligoloom.llm.tables import own_names, stored
 
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Bytes of window texts (and ids) that are broadcast at once.
@@ -156,23 +156,23 @@ def contamination(
     docs = docs.drop(report)
     if parts == 1:
         return _scan(docs, windows.collect(), text, report)
-    seen = [f"__{report}_{part}" for part in range(parts)]
+    hit_name, *seen = own_names(docs, "hit", *[f"{report}_{part}" for part in range(parts)])
     for part, column in enumerate(seen):
         some = windows.where(F.pmod(F.xxhash64("window"), F.lit(parts)) == part).collect()
         docs = stored(_scan(docs, some, text, column), "contamination")
     ranges = F.flatten(F.array(*[F.col(f"{c}.spans") for c in seen]))
     hit = F.array_sort(F.array_distinct(F.flatten(F.transform(ranges, lambda r: F.sequence(r.begin, r.end - 1)))))
-    docs = docs.withColumn("__hit", hit)
+    docs = docs.withColumn(hit_name, hit)
     # A hit word opens a span if the word before it isn't hit, and closes one if the word after isn't.
-    opens = F.expr("filter(__hit, (x, i) -> i = 0 or __hit[i - 1] < x - 1)")
-    closes = F.expr("filter(__hit, (x, i) -> i = size(__hit) - 1 or __hit[i + 1] > x + 1)")
+    opens = F.expr(f"filter({hit_name}, (x, i) -> i = 0 or {hit_name}[i - 1] < x - 1)")
+    closes = F.expr(f"filter({hit_name}, (x, i) -> i = size({hit_name}) - 1 or {hit_name}[i + 1] > x + 1)")
     merged = F.struct(
         F.col(f"{seen[0]}.n_words").alias("n_words"),
-        F.size("__hit").cast("long").alias("n_hit"),
+        F.size(hit_name).cast("long").alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{c}.items") for c in seen])))).alias("items"),
         F.zip_with(opens, closes, lambda a, b: F.struct(a.alias("begin"), (b + 1).alias("end"))).alias("spans"),
     )
-    return docs.withColumn(report, merged).drop("__hit", *seen)
+    return docs.withColumn(report, merged).drop(hit_name, *seen)
 
 
 def without_spans(reported: DataFrame, text: str = "text", report: str = "contamination") -> DataFrame:
@@ -202,5 +202,5 @@ def without_spans(reported: DataFrame, text: str = "text", report: str = "contam
 
 def clean_documents(docs: DataFrame, items: DataFrame, length: int = 10, text: str = "text") -> DataFrame:
     """The documents that hold no window of any item."""
-    report = "__contamination"
+    [report] = own_names(docs, "contamination")
     return contamination(docs, items, length, text, report).where(F.col(f"{report}.n_hit") == 0).drop(report)

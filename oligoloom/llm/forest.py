@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from oligoloom.llm.bytesets import ALNUM, Slice, Words, mix, slices, window_hashes, window_rows, word_hashes, words
-from oligoloom.llm.tables import stored
+from oligoloom.llm.tables import own_names, stored
 
 TREES, DEEPEST = 12, 6
 RECALL = 0.9995
@@ -425,31 +425,32 @@ def without_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     to it, of several such texts the one of the smallest digest, of rows with equal words the smallest text. Other rows
     of the same id are judged by their own groups. Rows without words all stay, equal ones of an id once; rows without
     an id all stay."""
+    leads_name, digest_name, row_name = own_names(docs, "leads", "digest", "row")
     grouped = _grouped(docs, doc, text, **options).select("doc_id", "class_id", "digest", "label")
     found = stored(grouped.where(F.col("doc_id").isNotNull()), "near-duplicates")
     counted = found.groupBy("doc_id").agg(
-        F.max(F.col("class_id") == F.col("doc_id")).alias("__leads"), F.count(F.lit(1)).alias("rows")
+        F.max(F.col("class_id") == F.col("doc_id")).alias(leads_name), F.count(F.lit(1)).alias("rows")
     )
     goes = stored(
-        counted.where("rows > 1 or not __leads").select(F.col("doc_id").alias(doc), "__leads"), "duplicates"
+        counted.where(f"rows > 1 or not {leads_name}").select(F.col("doc_id").alias(doc), leads_name), "duplicates"
     )
     listed = goes.select(doc)
     stays = docs.join(
         F.broadcast(listed) if goes.count() <= BROADCAST_DOCS else listed.hint("merge"), doc, "left_anti"
     )
-    mixed = goes.where("__leads").select(doc)
+    mixed = goes.where(leads_name).select(doc)
     if mixed.isEmpty():
         return stays
     # Ids of several rows, some of which lead a group: these rows are told apart by their words.
-    again = docs.join(mixed.hint("merge"), doc, "left_semi").withColumn("__digest", _digest_of(F.col(text).cast("string")))
+    again = docs.join(mixed.hint("merge"), doc, "left_semi").withColumn(digest_name, _digest_of(F.col(text).cast("string")))
     leads = (
         found.where("class_id = doc_id and digest is not null")
         .groupBy("label", F.col("doc_id").alias(doc))
-        .agg(F.min("digest").alias("__digest"))
+        .agg(F.min("digest").alias(digest_name))
         .drop("label")
     )
-    chosen = again.join(leads, [doc, "__digest"], "left_semi").select(*again.columns)
-    wordless = again.where("__digest is null")
+    chosen = again.join(leads, [doc, digest_name], "left_semi").select(*again.columns)
+    wordless = again.where(f"{digest_name} is null")
     row, order = F.struct(*docs.columns), F.coalesce(F.col(text), F.lit(""))
-    one = chosen.unionByName(wordless).groupBy(doc, "__digest", F.when(F.col("__digest").isNull(), F.col(text)))
-    return stays.unionByName(one.agg(F.min_by(row, order).alias("__row")).select("__row.*"))
+    one = chosen.unionByName(wordless).groupBy(doc, digest_name, F.when(F.col(digest_name).isNull(), F.col(text)))
+    return stays.unionByName(one.agg(F.min_by(row, order).alias(row_name)).select(f"{row_name}.*"))

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oligoloom.llm.tables import stored
+from oligoloom.llm.tables import own_names, stored
 
 ATTEMPTS = 24
 
@@ -291,34 +291,35 @@ def replace_entities(
 ) -> DataFrame:
     """The documents with every entity replaced, and the number of replacements in ``counter``."""
     docs = docs.drop(counter)
+    found_name, key, new_name, here = own_names(docs, "found", "key", "new", "entities_here")
     hinted = F.coalesce(F.col(text).rlike(_HINT), F.lit(False))
     found = F.regexp_extract_all(F.col(text), F.lit(ENTITY), F.lit(0))
     # The full pattern is only tried on hinted texts, once to sort them out and once more where it is found.
     has_entity = F.coalesce(F.when(hinted, F.exists(found, lambda x: kind_of(x).isNotNull())), F.lit(False))
     clean = docs.where(~has_entity).withColumn(counter, F.lit(0))
-    dirty = docs.where(has_entity).withColumn("__found", found).withColumn("__key", F.sha2(F.col(text), 256))
+    dirty = docs.where(has_entity).withColumn(found_name, found).withColumn(key, F.sha2(F.col(text), 256))
 
-    texts = dirty.groupBy("__key").agg(F.first("__found").alias("found"))
-    mentions = texts.select("__key", F.posexplode("found").alias("place", "value"))
+    texts = dirty.groupBy(key).agg(F.first(found_name).alias("found"))
+    mentions = texts.select(key, F.posexplode("found").alias("place", "value"))
     mentions = mentions.withColumn("title", _title(F.col("value"))).withColumn("kind", kind_of(F.col("value")))
     mentions = stored(mentions.withColumn("norm", normal_form(F.col("kind"), F.col("value"))), "mentions")
     real = mentions.where(F.col("kind").isNotNull())
     codes = surrogate_table(stored(real.select("kind", "norm").distinct(), "entities"), secret)
     new = real.join(codes, ["kind", "norm"]).select(
-        "__key", "place", render(F.col("kind"), F.col("value"), F.col("code")).alias("new"), F.lit(1).alias("is_entity")
+        key, "place", render(F.col("kind"), F.col("value"), F.col("code")).alias("new"), F.lit(1).alias("is_entity")
     )
     # What turned out to be no entity stays as it is.
-    same = mentions.where(F.col("kind").isNull()).select("__key", "place", F.col("value").alias("new"), F.lit(0).alias("is_entity"))
-    by_text = new.unionAll(same).groupBy("__key").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("place", "new"))), lambda x: x["new"]).alias("__new"),
-        F.sum("is_entity").cast("int").alias("__entities_here"),
+    same = mentions.where(F.col("kind").isNull()).select(key, "place", F.col("value").alias("new"), F.lit(0).alias("is_entity"))
+    by_text = new.unionAll(same).groupBy(key).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("place", "new"))), lambda x: x["new"]).alias(new_name),
+        F.sum("is_entity").cast("int").alias(here),
     )
     # Between and around n mentions there are n + 1 pieces of text.
-    pieces = F.zip_with(F.split(F.col(text), ENTITY, -1), F.col("__new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    pieces = F.zip_with(F.split(F.col(text), ENTITY, -1), F.col(new_name), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     rewritten = (
-        dirty.join(by_text, "__key")
+        dirty.join(by_text, key)
         .withColumn(text, F.array_join(pieces, ""))
-        .withColumn(counter, F.col("__entities_here"))
+        .withColumn(counter, F.col(here))
         .select(*docs.columns, counter)
     )
     return clean.unionByName(rewritten)

@@ -15,6 +15,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def own_names(rows: DataFrame, *names: str) -> list[str]:
+    """Names for columns of an operator's own, ``__name`` or with more underscores where the table has such columns."""
+    prefix = "__"
+    while any(column.lower().startswith(prefix) for column in rows.columns):
+        prefix += "_"
+    return [prefix + name for name in names]
+
+
 def stored(rows: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write the rows to shared storage and read them back: lineage is cut, lost executors cost nothing."""
     path = scratch_path(rows.sparkSession, label)
