@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from oligoloom.llm import cotrain, decontaminate, forest, packing, surrogates
 from oligoloom.llm.queries import SURROGATE_SECRET, table, tokenizer_path
-from oligoloom.llm.tables import stored
+from oligoloom.llm.tables import own_names, stored
 
 # The fitted classifier and the packing's local search have no SQL form.
 ORACLE_SQL = None
@@ -22,7 +22,8 @@ ORACLE_SQL = None
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the co-trained classifier rejects."""
     model = cotrain.fit_model(docs, table(spark, sf_dir, "labels"))
-    return cotrain.score_documents(docs, model, report="__quality").where("__quality.keep").drop("__quality")
+    [report] = own_names(docs, "quality")
+    return cotrain.score_documents(docs, model, report=report).where(f"{report}.keep").drop(report)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,11 +38,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put surrogates in the place of personal data; lengths follow the new texts."""
-    replaced = surrogates.replace_entities(docs, SURROGATE_SECRET, counter="__entities")
+    [counter] = own_names(docs, "entities")
+    replaced = surrogates.replace_entities(docs, SURROGATE_SECRET, counter=counter)
     if "n_chars" in docs.columns:
-        length = F.when(F.col("__entities") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        length = F.when(F.col(counter) > 0, F.length("text")).otherwise(F.col("n_chars"))
         replaced = replaced.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
-    return replaced.drop("__entities")
+    return replaced.drop(counter)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
