@@ -7,6 +7,8 @@ blocks) and gives the optimizer real file sizes to choose join strategies from.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,7 +25,7 @@ _local_dirs: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; only a local session may fall back to its own."""
+    """The shared folder the cluster names; only a local session may fall back to its own, which goes at exit."""
     configured = spark.conf.get(_DIR_KEY, None)
     if configured:
         return configured.rstrip("/")
@@ -31,7 +33,8 @@ def scratch_dir(spark: SparkSession) -> str:
     if not context.master.startswith("local"):
         raise RuntimeError(f"set {_DIR_KEY} to a folder that all executors share")
     if context.applicationId not in _local_dirs:
-        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="oligoloom-")
+        folder = _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="oligoloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return _local_dirs[context.applicationId]
 
 
