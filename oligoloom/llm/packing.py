@@ -3,19 +3,22 @@
 A document is its ids and an end id. Only longer ones than a sequence are cut: into full pieces behind a
 first one that takes the remainder. Pieces are dealt over groups of ``GROUP_PIECES``; a group is packed by
 one task: best fit by falling length, then a local search over the underfull sequences. The search takes
-the emptiest sequence and moves one of its pieces elsewhere, exchanges one piece for one shorter piece, or
-two for one, so that another sequence gets fuller; every step raises the sum of squared fills, and ends
-when the emptiest sequence is empty or no step is left. A group is done early when it has as few sequences
-as its tokens allow. Dealing over groups costs at most a fraction of one sequence each.
+the emptier sequences first and moves one or two of a sequence's pieces to another one, or exchanges them for
+one or two pieces that are shorter together, so that the other sequence gets fuller than this one was. Of all such
+steps of a sequence it takes the one that raises the sum of squared fills most. It ends when every underfull sequence has
+been tried against all others without a step, which comes by itself, as the sum rises with each step; or early, when
+a group has as few sequences as its tokens allow. What stands in the emptiest sequence of every group meets once more
+in groups of its own, until there is one, so that dealing over groups does not cost a sequence each.
 
-Null texts are empty (a lone end id); null, repeated document ids and repeated rows are packed like any
-other row; other columns play no part; no documents give no pieces.
+Null texts are empty (a lone end id); very long ones are cut; null, repeated document ids and repeated rows are packed
+like any other row; pieces of one length may change places with each other; other columns play no part; no documents
+give no pieces.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +31,9 @@ from oligoloom.llm.tables import stored
 from oligoloom.llm.tokens import ENCODE_BYTES, encoder, with_end
 
 GROUP_PIECES = 16_384
-# The emptiest sequences that the search tries in a row without success before it ends.
-PATIENCE = 32
-# Steps of one group's search at most; it usually ends long before, at the least possible number of sequences.
-MOST_STEPS = 5000
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_PACKED = f"{_PIECE}, sequence_id long, offset long"
 
 
 def cut_lengths(total: int, capacity: int) -> list[int]:
@@ -100,89 +100,125 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 class Search:
-    """Local search over the underfull sequences of a packing."""
+    """Local search over the underfull sequences of a packing.
+
+    A choice takes nothing, one piece or two pieces out of a sequence and has room for as much and the sequence's free
+    place. Choices of all underfull sequences stand in one array, in the order in which the sequences last changed, so
+    that a victim looks again only at those that changed since it last found no step.
+    """
 
     def __init__(self, lengths: list[int], bins: list[list[int]], capacity: int):
         self.lengths, self.bins, self.capacity = lengths, bins, capacity
         self.fill = [sum(lengths[p] for p in b) for b in bins]
         self.steps = 0
+        self.taken, self.owner = np.zeros(1024, np.int64), np.full(1024, -1, np.int64)
+        self.end = self.live = 0
+        self.place = [(0, 0)] * len(bins)
+        self.tried = np.zeros(len(bins), np.int64)
+        self.room = np.array([capacity - f for f in self.fill], np.int64)
 
     def run(self) -> list[list[int]]:
         least = -(-sum(self.fill) // self.capacity)
         alive = sum(1 for f in self.fill if f)
-        stuck: set[int] = set()
-        while alive > least and len(stuck) < PATIENCE and self.steps < MOST_STEPS:
-            open_bins = [b for b, f in enumerate(self.fill) if 0 < f < self.capacity and b not in stuck]
-            if len(open_bins) < 2:
-                break
-            victim = min(open_bins, key=lambda b: (self.fill[b], b))
+        if alive > least:
+            for b in range(len(self.bins)):
+                self._list(b)
+        before = -1
+        while alive > least and before < self.steps:
             before = self.steps
-            alive -= self._empty(victim)
-            if self.steps > before:
-                stuck.clear()  # what was stuck may have room to go to now
-            else:
-                stuck.add(victim)
+            for victim in sorted(range(len(self.bins)), key=lambda b: (self.fill[b], b)):
+                if 0 < self.fill[victim] < self.capacity:
+                    alive -= self._empty(victim)
+                    if alive == least:
+                        break
         return [b for b in self.bins if b]
 
+    def _sums(self, b: int) -> np.ndarray:
+        """Different lengths of one piece and of two pieces of a sequence; it has few different lengths, because
+        their sum is bounded by its capacity."""
+        sizes, count = np.unique([self.lengths[p] for p in self.bins[b]], return_counts=True)
+        first, second = np.triu_indices(len(sizes), 1)
+        return np.unique(np.concatenate([sizes, sizes[first] + sizes[second], 2 * sizes[count > 1]]))
+
+    def _list(self, b: int) -> None:
+        """Put the choices of a sequence that changed behind all others."""
+        begin, end = self.place[b]
+        self.owner[begin:end] = -1
+        self.live -= end - begin
+        self.tried[b] = 0
+        if not 0 < self.fill[b] < self.capacity:
+            self.place[b] = (0, 0)
+            return
+        found = np.append(0, self._sums(b))
+        if self.end + len(found) > len(self.taken):
+            self._compact(len(found))
+        self.place[b] = (self.end, self.end + len(found))
+        self.taken[self.end : self.end + len(found)] = found
+        self.owner[self.end : self.end + len(found)] = b
+        self.end += len(found)
+        self.live += len(found)
+
+    def _compact(self, more: int) -> None:
+        used = self.owner[: self.end] >= 0
+        before = np.append(0, np.cumsum(used))
+        size = 2 * (self.live + more) + 1024
+        taken, owner = self.taken[: self.end][used], self.owner[: self.end][used]
+        self.taken, self.owner = np.zeros(size, np.int64), np.full(size, -1, np.int64)
+        self.taken[: len(taken)], self.owner[: len(owner)] = taken, owner
+        self.place = [(int(before[i]), int(before[j])) for i, j in self.place]
+        self.tried, self.end = before[self.tried], len(taken)
+
     def _empty(self, victim: int) -> bool:
         """Take pieces out of ``victim`` while some step allows it."""
-        others = [b for b, f in enumerate(self.fill) if 0 < f < self.capacity and b != victim]
-        owner = np.array([b for b in others for _ in self.bins[b]], dtype=np.int64)
-        member = np.array([p for b in others for p in self.bins[b]], dtype=np.int64)
-        size = np.array([self.lengths[p] for p in member], dtype=np.int64)
-        room = np.array([self.capacity - self.fill[b] for b in others], dtype=np.int64)
-        where = {b: i for i, b in enumerate(others)}
-        owner_at = np.array([where[b] for b in owner], dtype=np.int64)
         while self.bins[victim]:
-            mine = sorted(self.bins[victim], key=lambda p: -self.lengths[p])
-            singles = [((p,), self.lengths[p]) for p in mine]
-            doubles = [
-                ((p, q), self.lengths[p] + self.lengths[q]) for i, p in enumerate(mine) for q in mine[i + 1 : i + 9]
-            ]
-            # A step raises the sum of squares when the other sequence ends up fuller than this one was.
-            spare = self.capacity - self.fill[victim]
-            step = self._move(singles, room, spare) or self._exchange(singles + doubles, size, room[owner_at], spare)
+            step = self._step(victim)
             if step is None:
+                self.tried[victim] = self.end
                 return False
             self.steps += 1
-            leaving, target, returned = step
-            if returned is None:
-                b = others[target]
-            else:
-                b = int(owner[returned])
-                self.bins[b].remove(int(member[returned]))
-                self.bins[victim].append(int(member[returned]))
-                size[returned] = self.capacity + 1  # no longer there to be exchanged
-            for p in leaving:
-                self.bins[victim].remove(p)
-                self.bins[b].append(p)
-            gain = sum(self.lengths[p] for p in leaving)
-            gain -= 0 if returned is None else self.lengths[int(member[returned])]
-            self.fill[b] += gain
-            self.fill[victim] -= gain
-            room[where[b]] -= gain
+            other, given, taken = step
+            for source, target, total in ((victim, other, given), (other, victim, taken)):
+                for p in self._pieces(source, total):
+                    self.bins[source].remove(p)
+                    self.bins[target].append(p)
+            for b, gain in ((other, given - taken), (victim, taken - given)):
+                self.fill[b] += gain
+                self.room[b] -= gain
+            self._list(other)
+            self._list(victim)
         return True
 
-    @staticmethod
-    def _move(singles, room, spare):
-        for leaving, total in singles:
-            fits = np.flatnonzero((room >= total) & (room - total < spare))
-            if len(fits):
-                return leaving, int(fits[np.argmin(room[fits])]), None
-        return None
-
-    @staticmethod
-    def _exchange(choices, size, room, spare):
-        """The exchange that puts most tokens into another sequence; the fullest fit among equals."""
-        best = None
-        for leaving, total in choices:
-            gain = total - size
-            usable = np.flatnonzero((gain > 0) & (gain <= room) & (room - gain < spare))
-            if len(usable):
-                at = usable[np.lexsort((room[usable] - gain[usable], -gain[usable]))[0]]
-                if best is None or gain[at] > best[0]:
-                    best = (int(gain[at]), leaving, int(at))
-        return None if best is None else (best[1], -1, best[2])
+    def _step(self, victim: int) -> tuple[int, int, int] | None:
+        """The step that raises the sum of squared fills most: (other sequence, length given, length taken)."""
+        begin = int(self.tried[victim])
+        owner, taken = self.owner[begin : self.end], self.taken[begin : self.end]
+        sums = np.append(0, self._sums(victim))
+        largest = sums[np.searchsorted(sums, np.arange(self.capacity + 1), "right") - 1]
+        room = self.room[owner]
+        # More is always better, so the largest length that fits is the only one to look at.
+        gain = np.where(owner >= 0, largest[np.where(owner >= 0, taken + room, 0)] - taken, 0)
+        # The other one ends up fuller than this one was, which raises the sum.
+        rise = gain + self.capacity - room - self.fill[victim]
+        usable = np.flatnonzero((gain > 0) & (rise > 0) & (owner != victim))
+        if not len(usable):
+            return None
+        at = usable[np.argmax(gain[usable] * rise[usable])]
+        return int(owner[at]), int(gain[at] + taken[at]), int(taken[at])
+
+    def _pieces(self, b: int, total: int) -> list[int]:
+        """No piece, one or two of a sequence that are ``total`` long together."""
+        if total == 0:
+            return []
+        seen: dict[int, int] = {}
+        pair: list[int] = []
+        for p in self.bins[b]:
+            size = self.lengths[p]
+            if size == total:
+                return [p]
+            if not pair and total - size in seen:
+                pair = [seen[total - size], p]
+            seen.setdefault(size, p)
+        return pair
 
 
 def pack_group(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -199,23 +235,47 @@ def pack(
 ) -> DataFrame:
     """Every piece with its ``sequence_id`` and its ``offset`` there."""
 
+    cut = stored(pieces(docs, tokenizer, end_id, capacity, doc, text), "pieces")
+    packed, left, level = [], cut, 0
+    while True:
+        # A sequence holds at most ``capacity`` pieces, so at most a quarter of a level's groups is left for the next.
+        groups = max(1, -(-left.count() // max(GROUP_PIECES, 4 * capacity)))
+        found = left.repartition(groups).mapInArrow(_group_packer(capacity, level), f"{_PACKED}, leftover boolean")
+        if groups == 1:
+            break
+        found = stored(found, "packed")
+        packed.append(found.where("not leftover").drop("leftover"))
+        left, level = found.where("leftover").select(cut.columns), level + 1
+    found = found.drop("leftover")
+    for part in packed:
+        found = found.unionByName(part)
+    return found
+
+
+def _group_packer(capacity: int, level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Packs what a task holds; the pieces of its emptiest sequence are marked as left over."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [batch for batch in batches if batch.num_rows]
         if not held:
             return
         table = pa.Table.from_batches(held).combine_chunks()
         lengths = table.column("length").to_pylist()
-        sequence, offset = [0] * len(lengths), [0] * len(lengths)
-        first = TaskContext.get().partitionId() << 32
-        for number, members in enumerate(pack_group(lengths, capacity)):
+        sequence, offset, leftover = [0] * len(lengths), [0] * len(lengths), [False] * len(lengths)
+        first = level << 56 | TaskContext.get().partitionId() << 24
+        sequences = pack_group(lengths, capacity)
+        emptiest = min(range(len(sequences)), key=lambda n: sum(lengths[p] for p in sequences[n]))
+        for number, members in enumerate(sequences):
             at = 0
             for p in sorted(members):
-                sequence[p], offset[p] = first + number, at
+                sequence[p], offset[p], leftover[p] = first + number, at, number == emptiest
                 at += lengths[p]
-        for name, values in (("sequence_id", sequence), ("offset", offset)):
-            table = table.append_column(name, pa.array(values, pa.int64()))
+        for name, values, kind in (
+            ("sequence_id", sequence, pa.int64()),
+            ("offset", offset, pa.int64()),
+            ("leftover", leftover, pa.bool_()),
+        ):
+            table = table.append_column(name, pa.array(values, kind))
         yield from table.to_batches()
 
-    cut = stored(pieces(docs, tokenizer, end_id, capacity, doc, text), "pieces")
-    groups = max(1, -(-cut.count() // GROUP_PIECES))
-    return cut.repartition(groups).mapInArrow(run, f"{_PIECE}, sequence_id long, offset long")
+    return run

@@ -1,5 +1,6 @@
 import random
 import zlib
+from itertools import combinations, permutations
 
 import numpy as np
 import public_tokenizers
@@ -148,3 +149,55 @@ def test_search_empties_sequences_that_best_fit_leaves():
         assert len(bins) <= len(first) and sum(f * f for f in search.fill) >= fills
     # Best fit needs three sequences of 10 here, exchanges two.
     assert len(packing.Search([5, 4, 4, 3, 2, 2], [[0, 1], [2, 3, 4], [5]], 10).run()) == 2
+
+
+def test_search_comes_near_the_optimum_of_planted_triples():
+    """Sequences of exactly three pieces, which best fit does not find; every underfull one is tried."""
+    rnd = random.Random(1)
+    lengths = []
+    for _ in range(700):
+        longest = rnd.randint(778, 1023)
+        middle = rnd.randint(512, 2048 - longest - 512)
+        lengths += [longest, middle, 2048 - longest - middle]
+    rnd.shuffle(lengths)
+    first = packing.best_fit(lengths, 2048)
+    search = packing.Search(lengths, [list(b) for b in first], 2048)
+    bins = search.run()
+    assert sorted(p for b in bins for p in b) == list(range(2100))
+    assert all(sum(lengths[p] for p in b) <= 2048 for b in bins)
+    assert len(first) > 800 and len(bins) <= 1.015 * 700
+    fills = [sum(lengths[p] for p in b) for b in bins]
+    assert fills == [f for f in search.fill if f]
+
+
+def test_search_ends_only_where_no_step_is_left():
+    """Brute force over all moves and exchanges of one or two pieces finds none that raises the squared fill."""
+    rnd = random.Random(8)
+    for _ in range(20):
+        lengths = [rnd.randint(26, 49) for _ in range(18)]
+        bins = packing.Search(lengths, packing.best_fit(lengths, 100), 100).run()
+        if len(bins) == -(-sum(lengths) // 100):
+            continue
+        sums = [
+            {0} | {lengths[p] for p in b} | {lengths[p] + lengths[q] for p, q in combinations(b, 2)} for b in bins
+        ]
+        fills = [sum(lengths[p] for p in b) for b in bins]
+        for v, o in permutations(range(len(bins)), 2):
+            for given in sums[v] - {0}:
+                for taken in sums[o]:
+                    gain = given - taken
+                    assert not (gain > 0 and fills[o] + gain <= 100 and fills[o] + gain > fills[v])
+
+
+def test_leftovers_of_all_groups_meet(spark, monkeypatch, library):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 80)
+    texts = [(n, "word " * (n % 13)) for n in range(400)]
+    rows = packing.pack(docs(spark, texts), PATH, end_id=0, capacity=20).collect()
+    total = sum(len(library(t)) + 1 for _, t in texts)
+    assert sorted(r.doc_id for r in rows) == list(range(400)) and sum(r.length for r in rows) == total
+    fill = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == fill.get(r.sequence_id, 0)
+        fill[r.sequence_id] = r.offset + r.length
+    assert max(fill.values()) <= 20 and len(fill) <= -(-total // 20) + 1
+    assert len({s >> 56 for s in fill}) == 2  # few leftovers make one more level
