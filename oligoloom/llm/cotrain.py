@@ -1,18 +1,18 @@
 """Quality classifier by co-training of two views.
 
-The text view sees the content: byte frequencies and how often words repeat. The page view sees what is known about
-a text: language, source, length and line layout. Each view has a logistic model. In every round both are fitted to
+The text view sees the content: byte shares, how often words repeat, and line layout. The page view sees only what is known about a text without reading it: language, source, the given length, and
+the host where there is a url. Each view has a logistic model. In every round both are fitted to
 their training rows, label the rows of an unlabelled pool, and each hands the rows that it is surest about to the
 training set of the other. At the end both are calibrated on labelled rows kept aside (Platt scaling), their
 calibrated log-odds are combined by a third fit, and every document of the table is scored.
 
 Fitting uses a bounded sample: ``Settings.labelled`` labelled rows, and ``Settings.pool_per_label`` unlabelled ones for
-each of them, drawn by hash of the id, one row an id. Scoring sees all documents and whole texts, very long ones too. Documents with a score below ``Settings.reject_below`` are rejected, which is low
-so that clean documents stay.
+each of them, drawn by hash of the id, one row an id. Scoring sees all documents and whole texts, very long ones too.
+Documents with a score below ``Settings.reject_below`` are rejected, which is low so that clean documents stay.
 
-Null texts are empty; missing or null languages, sources and lengths are a value of their own or follow from the
-text. Labels that are null or of unknown documents play no part; a repeated label counts again. Of an id's rows the one with the smallest hash is sampled. If one of the two
-classes has no label, nothing can be learned: all scores are 1 and nothing is rejected. All columns of the documents
+Null texts are empty; missing or null languages, sources, lengths and urls are a value of their own. Labels that are null
+or of unknown documents play no part; a repeated label counts again. Of an id's rows the one with the smallest hash is
+sampled; of pool rows that are equally sure the one with the smaller id goes first. If one of the two classes has no label, nothing can be learned: all scores are 1 and nothing is rejected. All columns of the documents
 are kept; a column that has the name of the report is replaced; an empty table stays empty.
 """
 
@@ -31,7 +31,10 @@ from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from oligoloom.llm.bytesets import NOT_SPACE, Slice, mix, slices, word_hashes, words
 
-LANGUAGES, SOURCES = 8, 16
+LANGUAGES, SOURCES, HOSTS = 8, 32, 32
+TEXT_WIDTH, PAGE_WIDTH = 256 + 5, 2 + LANGUAGES + SOURCES + HOSTS
+# What is known about a text without reading it; a missing column counts as null.
+_METADATA = ("lang", "source", "n_chars", "url")
 _TEXT, _PAGE = 0, 1
 
 REPORT = StructType(
@@ -60,7 +63,7 @@ class Settings:
 
 
 def text_features(part: Slice) -> np.ndarray:
-    """(rows, 259) of a slice: roots of byte shares, and shares of new, repeated and exclaimed words."""
+    """(rows, TEXT_WIDTH) of a slice: roots of byte shares, shares of new and repeated words, and line layout."""
     rows, size = len(part), np.diff(part.starts)
     row_of_byte = np.repeat(np.arange(rows), size)
     counts = np.bincount(row_of_byte * 256 + part.data, minlength=rows * 256).reshape(rows, 256)
@@ -71,31 +74,28 @@ def text_features(part: Slice) -> np.ndarray:
     _, first = np.unique(hashes ^ mix(row.astype(np.uint64) + np.uint64(1)), return_index=True)
     again = np.flatnonzero((hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1])) + 1
     share = np.maximum(n, 1)
+    lines = np.diff(np.searchsorted(np.flatnonzero(part.data == 0x0A), part.starts)) + 1
     extra = [
         np.bincount(row[first], minlength=rows) / share,
         np.bincount(row[again], minlength=rows) / share,
         np.log1p(n) / 10,
+        np.log1p(n / lines),
+        size / share,
     ]
     return np.hstack([np.sqrt(counts / np.maximum(size, 1)[:, None]), np.stack(extra, axis=1)])
 
 
-def page_features(part: Slice, langs: list, sources: list, lengths: list) -> np.ndarray:
-    """(rows, 6 + LANGUAGES + SOURCES) of a slice: layout and hashed language and source."""
-    rows, size = len(part), np.diff(part.starts)
-    found = words(part, NOT_SPACE)
-    n = found.counts()
-    lines = np.diff(np.searchsorted(np.flatnonzero(part.data == 0x0A), part.starts)) + 1
-    word_bytes = np.diff(np.concatenate([[0], np.cumsum(found.end - found.begin)])[found.offsets])
-    out = np.zeros((rows, 6 + LANGUAGES + SOURCES))
-    out[:, 0] = np.log1p([s if x is None else x for x, s in zip(lengths, size.tolist())])
-    out[:, 1] = np.log1p(lines)
-    out[:, 2] = np.log1p(size / lines)
-    out[:, 3] = np.log1p(n / lines)
-    out[:, 4] = word_bytes / np.maximum(n, 1)
-    out[:, 5] = word_bytes / np.maximum(size, 1)
-    for at, (lang, source) in enumerate(zip(langs, sources)):
-        out[at, 6 + zlib.crc32(str(lang).encode()) % LANGUAGES] = 1
-        out[at, 6 + LANGUAGES + zlib.crc32(str(source).encode()) % SOURCES] = 1
+def page_features(langs: list, sources: list, lengths: list, urls: list) -> np.ndarray:
+    """(rows, PAGE_WIDTH): length if there is one, hashed language, source and host; nothing of the text."""
+    out = np.zeros((len(langs), PAGE_WIDTH))
+    out[:, 0] = [0 if x is None else math.log1p(max(0, x)) for x in lengths]
+    out[:, 1] = [x is None for x in lengths]
+    hosts = [None if u is None else str(u).partition("://")[2].partition("/")[0].lower() for u in urls]
+    first = 2
+    for values, buckets in ((langs, LANGUAGES), (sources, SOURCES), (hosts, HOSTS)):
+        for at, value in enumerate(values):
+            out[at, first + zlib.crc32(str(value).encode()) % buckets] = 1
+        first += buckets
     return out
 
 
@@ -108,8 +108,8 @@ def _views(batch: pa.RecordBatch, text: str) -> Iterator[tuple[Slice, list[np.nd
         return batch.column(names.index(name)).slice(part.first, len(part)).to_pylist()
 
     for part in slices(batch.column(names.index(text))):
-        meta = [column(c, part) for c in ("lang", "source", "n_chars")]
-        yield part, [text_features(part), page_features(part, *meta)]
+        meta = [column(c, part) for c in _METADATA]
+        yield part, [text_features(part), page_features(*meta)]
 
 
 @dataclass
@@ -202,7 +202,7 @@ def co_train(
 def _sampled_features(docs: DataFrame, ids: DataFrame, doc: str, text: str) -> tuple[np.ndarray, list[np.ndarray]]:
     """Ids and features of the documents in ``ids``, a sample of bounded size: one row an id, whichever has the
     smallest hash, however many rows share the id; the choice is combined before the shuffle."""
-    others = [text, *[c for c in ("lang", "source", "n_chars") if c in docs.columns]]
+    others = [text, *[c for c in _METADATA if c in docs.columns]]
     rows = docs.select(F.col(doc).cast("long").alias(doc), *others).join(F.broadcast(ids), doc)
     row = F.struct(*others)
     rows = rows.groupBy(doc).agg(F.min_by(row, F.xxhash64(*others)).alias("row")).select(doc, "row.*")
@@ -220,7 +220,7 @@ def _sampled_features(docs: DataFrame, ids: DataFrame, doc: str, text: str) -> t
                 )
 
     found = rows.mapInArrow(run, "id long, a binary, b binary").toArrow().sort_by("id")
-    width = (259, 6 + LANGUAGES + SOURCES)
+    width = (TEXT_WIDTH, PAGE_WIDTH)
     views = [
         np.frombuffer(b"".join(found.column(1 + v).to_pylist()), "<f4").reshape(-1, width[v]).astype(np.float64)
         for v in (_TEXT, _PAGE)

@@ -71,3 +71,14 @@ def test_pseudo_labels_help_the_weak_view():
     before = ((alone.odds(weak) > 0) == (truth > 0.5)).mean()
     after = ((model.views[1].odds(weak) > 0) == (truth > 0.5)).mean()
     assert after > before
+
+
+def test_the_page_view_does_not_read_the_text(spark):
+    """Rows of one language, source, length and host have one page view, whatever their texts are."""
+    rows = [(1, "a b c", "en", "s", 5, "http://A.example/x"), (2, "BUY!! NOW!!\n" * 50, "en", "s", 5, "http://a.example/y?z")]
+    rows += [(3, "a b c", None, None, None, None), (4, None, None, None, None, None), (5, "a b c", "de", "s", 5, "http://a.example/")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, url string")
+    found, (text, page) = ct._sampled_features(frame, frame.select("doc_id"), "doc_id", "text")
+    assert found.tolist() == [1, 2, 3, 4, 5] and page.shape == (5, ct.PAGE_WIDTH) and text.shape == (5, ct.TEXT_WIDTH)
+    assert (page[0] == page[1]).all() and (page[2] == page[3]).all() and (page[0] != page[4]).any()
+    assert (text[0] == text[2]).all() and (text[0] != text[1]).any()
