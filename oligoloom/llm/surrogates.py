@@ -7,7 +7,8 @@ An entity is its kind and normal form: lower case without the title's spelling,
 digits alone, so that differently written mentions are one entity. Its surrogate comes from a keyed hash: digits
 stay digits, letters stay letters of their script and case, octets keep their number of digits, hexadecimal stays
 hexadecimal, names keep the title and get a name of its gender and script; separators, the top-level domain and
-the first digit of phones and cards are kept.
+the first digit of phones and cards are kept, and a right check digit of a card is followed by a right one. Titles
+may follow titles (``Frau Dr.``); hyphenated names and names with particles are taken whole.
 
 The same entity gets the same surrogate in all texts, different entities get different ones, and no surrogate is an
 entity of the texts: candidates are checked against all entities and against each other in a table of different
@@ -41,6 +42,9 @@ SYLLABLES = {
     "latin": "bal cor den fal gor han kel lan mer nor pel ran sel tor vel win".split(),
     "cyrillic": "бал вар гор дол жар зен кал лес мар нов пол рад сел тор фед шан".split(),
 }
+# Titles that may follow a title, and particles that belong to a name.
+FOLLOWING_TITLES = ("Dr", "Prof", "Dipl", "Ing")
+PARTICLES = ("von", "van", "der", "den", "de", "del", "della", "di", "da", "dos", "du", "la", "le", "zu")
 _ACCENTED = "àáâäçèéêëìíîïñòóôöùúûüß"
 
 _WORDY = r"\p{L}\p{N}"
@@ -92,22 +96,32 @@ _ISSUED = (
 )
 _MIXED = r"(?=[A-Za-z+/_-]{0,80}\d)(?=[0-9A-Z+/_-]{0,80}[a-z])(?=[0-9a-z+/_-]{0,80}[A-Z])[A-Za-z0-9+/_-]{24,}+={0,2}"
 KEY = rf"(?<![\w+/=.:@-])(?:{_ISSUED}|{_MIXED})(?![{_WORDY}@])"
-NAME = rf"(?<![{_WORDY}])(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?"
+_TITLE = rf"(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.? "
+_ANY_TITLE = f"(?:{'|'.join(MALE_TITLES + FEMALE_TITLES + FOLLOWING_TITLES)})"
+_TITLES = rf"{_TITLE}(?:{_ANY_TITLE}\.? ){{0,3}}"
+# A part of a name is no title, so that titles without a name behind them are none.
+_PART = rf"(?:(?:{'|'.join(PARTICLES)}) ){{0,3}}\p{{Lu}}\p{{L}}+(?:-\p{{Lu}}\p{{L}}+){{0,2}}"
+NAME = rf"(?<![{_WORDY}]){_TITLES}(?!{_ANY_TITLE}(?![{_WORDY}])){_PART}(?: {_PART})?"
 ENTITY = "|".join([ASSIGNED, EMAIL, ADDRESS6, SECRET, KEY, CARD, PHONE, ADDRESS, NAME])
 # What every entity holds, to turn most texts away quickly.
-_HINT = rf"[0-9@]|{_KEYWORD}|(?<![{_WORDY}])(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.? \p{{Lu}}"
+_HINT = rf"[0-9@]|{_KEYWORD}|(?<![{_WORDY}]){_TITLE}(?:\p{{Lu}}|(?:{'|'.join(PARTICLES)}) )"
 # Bits a character from which a run of mixed characters counts as a secret.
 LEAST_ENTROPY = 3.9
 
 _DIGITS = ("phone", "card")
 
 
-def _luhn(value: Column) -> Column:
+def _check_sum(value: Column) -> Column:
+    """The sum that the check digit of a card makes a multiple of ten."""
     digits = F.transform(
         F.split(F.reverse(F.regexp_replace(value, r"\D", "")), ""),
         lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(c.cast("int") * 2 - F.when(c.cast("int") > 4, 9).otherwise(0)),
     )
-    return F.aggregate(digits, F.lit(0), lambda a, x: a + x) % 10 == 0
+    return F.aggregate(digits, F.lit(0), lambda a, x: a + x) % 10
+
+
+def _luhn(value: Column) -> Column:
+    return _check_sum(value) == 0
 
 
 def _entropy(value: Column) -> Column:
@@ -140,12 +154,11 @@ def kind_of(value: Column) -> Column:
 
 def _title(value: Column) -> Column:
     """What stays in front of an entity: the title of a name, or the key that announces a secret."""
-    titles = "|".join(MALE_TITLES + FEMALE_TITLES)
-    return F.regexp_extract(value, rf"^(?:(?:{titles})\.? |{_ASSIGN}(?={_VALUE}{{6}}))", 0)
+    return F.regexp_extract(value, rf"^(?:{_TITLES}|{_ASSIGN}(?={_VALUE}{{6}}))", 0)
 
 
 def normal_form(kind: Column, value: Column) -> Column:
-    male = _title(value).rlike(rf"^(?:{'|'.join(MALE_TITLES)})\.? $")
+    male = _title(value).rlike(rf"^(?:{'|'.join(MALE_TITLES)})\.? ")
     bare = F.expr("substring(value, length(title) + 1)")
     name = F.concat(F.when(male, "m").otherwise("f"), F.lit(":"), F.lower(bare))
     return (
@@ -231,7 +244,12 @@ def _candidates(entities: DataFrame, secret: str, attempt: int) -> DataFrame:
     hashed = F.sha2(F.concat_ws("|", F.lit(secret), "kind", "norm", F.lit(str(attempt))), 512)
     rows = entities.withColumn("h", hashed).withColumn("mapped", _by_character())
     rows = rows.withColumn("hexed", F.when(F.col("kind") == "secret", _by_character(hexadecimal=True)))
-    return rows.withColumn("code", surrogate_code(secret, attempt)).select("kind", "norm", "code")
+    rows = rows.withColumn("code", surrogate_code(secret, attempt))
+    # A card whose check digit is right gets a surrogate whose check digit is right.
+    body = F.expr("substring(code, 1, length(code) - 1)")
+    checked = F.concat(body, ((10 - _check_sum(F.concat(body, F.lit("0")))) % 10).cast("int").cast("string"))
+    code = F.when((F.col("kind") == "card") & _luhn(F.col("norm")), checked).otherwise(F.col("code"))
+    return rows.select("kind", "norm", code.alias("code"))
 
 
 def surrogate_table(entities: DataFrame, secret: str) -> DataFrame:

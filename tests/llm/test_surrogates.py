@@ -110,3 +110,36 @@ def test_used_up_formats_become_tags(spark, monkeypatch):
     rows = [("address", f"{a}.{b}.{c}.{d}") for a in range(1, 10) for b in range(1, 10) for c in range(1, 10) for d in range(1, 10)]
     found = su.surrogate_table(spark.createDataFrame(rows, "kind string, norm string"), "k").collect()
     assert len(found) == 9**4 == len({r.code for r in found}) and all(r.code.startswith("<address-") for r in found)
+
+
+def right_check_digit(number):
+    digits = [int(c) for c in reversed(re.sub(r"\D", "", number))]
+    return sum(d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
+
+
+def test_cards_keep_a_right_check_digit(spark):
+    right = [c for c in FORMS["card"] + ["4111111111111111", "5500 0000 0000 0004"] if right_check_digit(c)]
+    texts = list(enumerate(right)) + [(50, "4111 1111 1111 1112")]
+    rows = {r.doc_id: r.text for r in rewritten(spark, texts).collect()}
+    assert len(right) >= 6
+    assert all(right_check_digit(rows[n]) and rows[n] != c and len(rows[n]) == len(c) for n, c in enumerate(right))
+    assert rows[50] != "4111 1111 1111 1112" and re.fullmatch(r"4\d{3}( \d{4}){3}", rows[50])
+
+
+def test_titles_hyphens_and_particles(spark):
+    texts = [
+        (1, "Frau Dr. Anna Muster kam."),
+        (2, "Frau Anna Muster kam."),
+        (3, "Herr Müller-Lüdenscheidt ging."),
+        (4, "Herr Prof. Dr. Wernher von Braun flog."),
+        (5, "Mr van Dyke drove, Mrs Ana-Maria de la Cruz slept."),
+        (6, "Frau Dr. und Herr von und zu."),
+    ]
+    rows = {r.doc_id: r for r in rewritten(spark, texts).collect()}
+    first = re.fullmatch(r"Frau Dr\. (\w+ \w+) kam\.", rows[1].text)
+    assert first and rows[2].text == f"Frau {first[1]} kam." and "Muster" not in rows[1].text
+    assert re.fullmatch(r"Herr \w+ ging\.", rows[3].text)
+    assert re.fullmatch(r"Herr Prof\. Dr\. \w+ \w+ flog\.", rows[4].text) and "Braun" not in rows[4].text
+    assert re.fullmatch(r"Mr \w+ \w+ drove, Mrs \w+ \w+ slept\.", rows[5].text)
+    assert not re.search("Dyke|Cruz|Maria", rows[5].text)
+    assert [rows[n].n_entities for n in range(1, 7)] == [1, 1, 1, 1, 2, 0] and rows[6].text == texts[5][1]
