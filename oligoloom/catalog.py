@@ -401,6 +401,14 @@ def candidate_pairs_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("left_index", "right_index")
 
 
+def _by_scope(counts: DataFrame, name: str, value: int) -> DataFrame:
+    scopes = [
+        F.struct(F.lit(value).alias(name), F.lit(scope).alias("scope"), F.col(column).alias("pairs"))
+        for scope, column in (("all", "pairs"), ("with_new", "new_pairs"))
+    ]
+    return counts.select(F.inline(F.array(*scopes)))
+
+
 @query
 def candidate_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool, half = accepted(spark, sf_dir), _half(spark, sf_dir)
@@ -422,11 +430,8 @@ def candidate_pair_counts_windows(spark: SparkSession, sf_dir: str) -> DataFrame
     """How many pairs share a 6-mer that ends in the last 3, 8 and 20 positions."""
     pool, half = accepted(spark, sf_dir), _half(spark, sf_dir)
     parts = [
-        pc.candidate_pair_count(pool, 6, replace(RULES, window=window), first_new=first_new).select(
-            F.lit(window).alias("window"), F.lit(scope).alias("scope"), "pairs"
-        )
+        _by_scope(pc.candidate_pair_counts(pool, 6, replace(RULES, window=window), first_new=half), "window", window)
         for window in (3, 8, 20)
-        for scope, first_new in (("all", None), ("with_new", half))
     ]
     return reduce(DataFrame.unionAll, parts)
 

@@ -193,3 +193,18 @@ def test_minimum_run_has_to_be_positive():
     with pytest.raises(ValueError):
         PairRules(20, min_run=0)
     assert PairRules(20, chemistry=Chemistry()).anywhere(30.0, 7).window == 20
+
+
+@pytest.mark.parametrize("k,window", [(4, 9), (8, 9), (33, 40)])
+def test_cells_get_bases_not_words(spark, monkeypatch, tmp_path, k, window):
+    """Both scopes in one pass, short, long and unpackable words; an oligo takes no more than its bases on the way."""
+    monkeypatch.setattr(pair_counts, "BLOCK_OLIGOS", 16)
+    monkeypatch.setattr(pair_counts, "STRIPES", 2)
+    length = 20 if k < 20 else 48
+    texts = [t if n % 5 else rc(related_pool(60, length, 4)[n // 2]) for n, t in enumerate(related_pool(60, length, 4))]
+    rules, pool = PairRules(length, window=window), pool_frame(spark, texts)
+    want = [(i, j) for j, b in enumerate(texts) for i, a in enumerate(texts[:j]) if best_run(a, rc(b), window)[0] >= k]
+    counts = pair_counts.candidate_pair_counts(pool, k, rules, first_new=41)
+    assert tuple(counts.first()) == (len(want), sum(j >= 41 for _, j in want)) and want
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(words" not in plan and "bases" in plan
