@@ -412,17 +412,8 @@ def _by_scope(counts: DataFrame, name: str, value: int) -> DataFrame:
 @query
 def candidate_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool, half = accepted(spark, sf_dir), _half(spark, sf_dir)
-    parts = [
-        pc.candidate_pair_count(pool, k, RULES, first_new=first_new).select(
-            F.lit(k).alias("k"), F.lit(scope).alias("scope"), "pairs"
-        )
-        for k in (4, 8)
-        for scope, first_new in (("all", None), ("with_new", half))
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionAll(part)
-    return out
+    parts = [_by_scope(pc.candidate_pair_counts(pool, k, RULES, first_new=half), "k", k) for k in (4, 8)]
+    return reduce(DataFrame.unionAll, parts)
 
 
 @query
