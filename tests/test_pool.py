@@ -366,3 +366,26 @@ def test_search_size():
     assert (size - 1) * cal.retained_share(0.01 * (size - 2)) < 20
     assert cal.search_size(100, 0.01) == math.inf
     assert cal.gc_space(4, 0.5, 0.5) == 6 * 16
+
+
+@pytest.mark.parametrize("head_size", [1, 5])
+def test_pruning_keeps_only_the_last_table_of_numbers(spark, monkeypatch, tmp_path, head_size):
+    """What is left of the conflicts is stored as two numbers, and the tables before it go."""
+    monkeypatch.setattr("oligoloom.storage.scratch_dir", lambda _: str(tmp_path))
+    rng, texts = random.Random(5), random_pool(40, 6, 5)
+    edges = [(i, j) for j in range(40) for i in range(j) if rng.random() < 0.3]
+    removed = {r.idx for r in greedy_removals(edge_frame(spark, texts, edges), head_size).collect()}
+    assert removed == set(range(40)) - greedy_set(texts, edges)
+    tables = [p for kind in ("conflicts", "settled") for p in tmp_path.glob(f"{kind}-*")]
+    assert len(tables) <= 1
+    assert all(spark.read.parquet(str(p)).dtypes == [("node", "bigint"), ("other", "bigint")] for p in tables)
+
+
+def test_a_head_with_too_many_conflicts_is_taken_smaller(spark, monkeypatch):
+    monkeypatch.setattr("oligoloom.operators.prune.SAFE_HEAD_SIZE", 4)
+    monkeypatch.setattr("oligoloom.operators.prune.HEAD_CONFLICTS", 10)
+    texts = random_pool(12, 6, 3)
+    edges = [(i, j) for j in range(12) for i in range(j)]
+    frame = edge_frame(spark, texts, edges)
+    assert head_victims(both_directions(frame), 11).count() <= 4
+    assert {r.idx for r in greedy_removals(frame, 11).collect()} == set(range(12)) - greedy_set(texts, edges)
