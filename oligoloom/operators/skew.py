@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from oligoloom.storage import materialize
 
 # A key is heavy when its matches exceed this many; each grid cell then holds at most about that many.
 CELL_MATCHES = 4_000_000
+# Matches that one task of the join should get, and the most tasks it is cut into.
+MATCHES_PER_TASK, MOST_TASKS = 4_000_000, 20_000
 # Heavy keys are sent to every task up to this many; a longer list is joined like any other table.
 BROADCAST_KEYS = 100_000
 
@@ -29,14 +31,23 @@ def spread(rows: DataFrame, key: str, count: int) -> DataFrame:
 
 def heavy_keys(left: DataFrame, right: DataFrame, key: str, cell_matches: int) -> DataFrame:
     """(key, left parts, right parts) of all keys with more matches than a cell, from map-side combined counts."""
+    return _heavy(_key_counts(left, right, key), key, cell_matches)
+
+
+def _key_counts(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
-    side = math.sqrt(cell_matches)
     return (
         left.select(key, one.alias("l"), zero.alias("r"))
         .unionAll(right.select(key, zero.alias("l"), one.alias("r")))
         .groupBy(key)
         .agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-        .where(F.col("l").cast("double") * F.col("r") > cell_matches)
+    )
+
+
+def _heavy(counts: DataFrame, key: str, cell_matches: int) -> DataFrame:
+    side = math.sqrt(cell_matches)
+    return (
+        counts.where(F.col("l").cast("double") * F.col("r") > cell_matches)
         .select(
             key, F.ceil(F.col("l") / side).cast("int").alias("__lp"), F.ceil(F.col("r") / side).cast("int").alias("__rp")
         )
@@ -54,10 +65,13 @@ def grid_join(
 ) -> DataFrame:
     """Inner join on ``key``. A heavy key becomes a grid: left rows pick a grid row by hash of
     their id and are copied along it, right rows do the same by column, so every pair still
-    meets exactly once but no task sees more than one cell. Both sides are stored first, so keys
+    meets exactly once but no cell has more matches than one task should get. Both sides are stored first, so keys
     are worked out once for counting and joining."""
     left, right = materialize(left, "left-keys"), materialize(right, "right-keys")
-    heavy = materialize(heavy_keys(left, right, key, cell_matches), "heavy-keys")
+    seen = Observation()
+    counts = _key_counts(left, right, key).observe(seen, F.sum(F.col("l").cast("double") * F.col("r")).alias("matches"))
+    heavy = materialize(_heavy(counts, key, cell_matches), "heavy-keys")
+    tasks = min(math.ceil((seen.get["matches"] or 0) / MATCHES_PER_TASK), MOST_TASKS)
     grid = F.broadcast(heavy) if heavy.count() <= BROADCAST_KEYS else heavy.hint("merge")
 
     def cell(row_id: str, parts: str) -> Column:
@@ -78,6 +92,9 @@ def grid_join(
         .withColumn("__i", copies("__lp"))
         .drop("__lp", "__rp")
     )
+    # Matches grow with the square of the rows, and so do the tasks beyond the usual number.
+    if tasks > int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        left_cells, right_cells = (side.repartition(tasks, key, "__i", "__j") for side in (left_cells, right_cells))
     # Sizes after an explode are underestimated; neither side is ever broadcast.
     joined = left_cells.join(right_cells.hint("merge"), [key, "__i", "__j"]).drop("__i", "__j")
     return joined if condition is None else joined.where(condition)

@@ -208,3 +208,14 @@ def test_cells_get_bases_not_words(spark, monkeypatch, tmp_path, k, window):
     assert tuple(counts.first()) == (len(want), sum(j >= 41 for _, j in want)) and want
     plan = counts._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate explode(words" not in plan and "bases" in plan
+
+
+def test_tasks_of_a_join_follow_its_matches(spark, monkeypatch):
+    """Few rows, many matches: more tasks than the usual number, each with its share."""
+    monkeypatch.setattr("oligoloom.operators.skew.MATCHES_PER_TASK", 1000)
+    left = spark.range(2000).select(F.col("id").alias("a"), (F.col("id") % 50).alias("key"))
+    right = spark.range(2000).select(F.col("id").alias("b"), (F.col("id") % 50).alias("key"))
+    joined = grid_join(left, right, "key", "a", "b", cell_matches=500)
+    assert joined.rdd.getNumPartitions() == 80
+    shares = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(shares) == 80_000 and max(shares) < 8_000
