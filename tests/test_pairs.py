@@ -17,6 +17,7 @@ from oligoloom.operators.conflicts import (
 )
 from oligoloom.operators import pair_counts
 from oligoloom.operators.pair_counts import candidate_pair_count, pair_accounting, pair_slots
+from oligoloom.functions.runs import best_meetings
 from oligoloom.operators.skew import grid_join, heavy_keys
 
 
@@ -219,3 +220,20 @@ def test_tasks_of_a_join_follow_its_matches(spark, monkeypatch):
     assert joined.rdd.getNumPartitions() == 80
     shares = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(shares) == 80_000 and max(shares) < 8_000
+
+
+@pytest.mark.parametrize("window", [3, 12])
+def test_best_meetings(spark, window):
+    """A meeting stays, with the length of its run, if no admissible run of the pair is longer."""
+    texts = related_pool(24, 12, 4)
+    ends = [
+        (a, b, i, j) for a in texts for b in texts[:8] for i in range(12 - window, 12) for j in range(12) if a[i] == b[j]
+    ]
+    met = spark.createDataFrame(ends, "a string, b string, i int, j int")
+    want = set()
+    for a, b, i, j in ends:
+        run = next((n for n in range(min(i, j) + 1) if a[i - n] != b[j - n]), min(i, j) + 1)
+        if run == best_run(a, b, window)[0]:
+            want.add((a, b, i, j, run))
+    got = best_meetings(met, "a", "b", "i", "j", 12, window, "run")
+    assert {tuple(r) for r in got.select("a", "b", "i", "j", "run").collect()} == want
