@@ -4,7 +4,7 @@ import pytest
 from plain import best_run, conflicts, random_pool, rc, tm
 from pyspark.sql import functions as F
 
-from oligoloom.functions.melting import Chemistry
+from oligoloom.functions.melting import Chemistry, with_tm
 from oligoloom.functions.runs import with_best_run
 from oligoloom.operators.conflicts import (
     PairRules,
@@ -53,6 +53,39 @@ def test_score_records(spark):
     assert (gated.run_length, gated.run_tm_c, gated.run_shortcircuited, gated.run_evaluated) == (8, -math.inf, True, False)
 
 
+def vector_steps(rows):
+    return rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+
+
+def test_given_pairs_are_scored_a_block_at_a_time(spark):
+    """No search in the row: one vector step finds the run and its temperature, for every window and length."""
+    for length, window in ((20, 3), (20, 20), (300, 40)):
+        texts = random_pool(12, length, length)
+        pairs = [(a, b) for a in texts[:4] for b in texts] + [(texts[0], rc(texts[0]))]
+        rows = score_pairs(pair_frame(spark, pairs), PairRules(length, window=window, gate=5))
+        assert vector_steps(rows) == 1
+        for row in rows.collect():
+            size, start, offset = best_run(row.left_sequence, row.partner, window)
+            assert (row.run_length, row.run_start, row.run_offset) == (size, start, offset)
+            text = row.left_sequence[start : start + size]
+            assert row.run_sequence == text and row.run_evaluated == (size >= 5)
+            assert math.isclose(row.run_tm_c, tm(text) if size >= 5 else -math.inf, rel_tol=1e-12)
+
+
+def test_pairs_without_a_text_have_no_run(spark):
+    rows = spark.createDataFrame([("ACGTACGT", None), (None, "ACGTACGT"), (None, None)], "left_sequence string, partner string")
+    for row in score_pairs(rows, PairRules(8)).collect():
+        assert (row.run_length, row.run_start, row.run_offset, row.run_tm_c) == (0, 0, None, -math.inf)
+        assert row.run_below_min and not row.run_evaluated
+
+
+def test_temperatures_of_runs_are_those_of_the_column_expression(spark):
+    texts = random_pool(40, 20, 77)
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts], "left_sequence string, partner string")
+    rows = with_tm(score_pairs(pairs, PairRules(20, window=20)), "run_sequence", "want", 20, Chemistry())
+    assert rows.where("run_evaluated").count() > 500 and rows.where("run_evaluated and run_tm_c <> want").isEmpty()
+
+
 def test_sense_scores(spark):
     rows = spark.createDataFrame([("CCCCGGGG", "GGGGTTTT")], "left_sequence string, right_sequence string")
     row = sense_pair_scores(rows, PairRules(8)).first()
