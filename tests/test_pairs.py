@@ -93,6 +93,17 @@ def test_sense_scores(spark):
     assert row.pair_tm_c == max(row.fwd_tm_c, row.rev_tm_c)
 
 
+def test_both_sense_directions_come_from_one_step(spark):
+    texts = random_pool(12, 20, 3)
+    rows = spark.createDataFrame([(a, b) for a in texts for b in texts], "left_sequence string, right_sequence string")
+    scored = sense_pair_scores(rows, PairRules(20))
+    assert vector_steps(scored) == 1
+    for row in scored.collect():
+        a, b = row.left_sequence, row.right_sequence
+        assert (row.fwd_length, row.fwd_start, row.fwd_offset) == best_run(a, b, 20)
+        assert (row.rev_length, row.rev_start, row.rev_offset) == best_run(b, a, 20)
+
+
 CASES = [
     (20, 3, 4, 0, 20.0),
     (20, 3, 4, 8, 20.0),
