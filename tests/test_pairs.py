@@ -11,6 +11,7 @@ from oligoloom.operators.conflicts import (
     candidate_pairs,
     conflict_degrees,
     conflict_edges,
+    conflict_pairs,
     score_pairs,
     sense_conflicts,
     sense_pair_scores,
@@ -138,6 +139,16 @@ def test_conflict_edges_against_all_pairs(spark, length, window, min_run, gate,
     assert want, "the case should have conflicts"
 
 
+@pytest.mark.parametrize("length,window,min_run,gate,limit", CASES)
+def test_conflict_pairs_are_those_of_the_edges(spark, length, window, min_run, gate, limit):
+    texts = related_pool(60, length, length + window)
+    want = conflicts(texts, window, min_run, gate, limit)
+    for cell in (4_000_000, 1):
+        rows = conflict_pairs(pool_frame(spark, texts), PairRules(length, limit, window, min_run, gate), cell_matches=cell)
+        assert rows.columns == ["left_index", "right_index"]
+        assert sorted(tuple(r) for r in rows.collect()) == sorted(want)
+
+
 def test_conflicts_depend_on_direction(spark):
     texts = related_pool(80, 20, 5)
     rules = PairRules(20, 20.0)

@@ -185,6 +185,26 @@ def edge_frame(spark, texts, edges):
     return spark.createDataFrame(rows, "left_index long, right_index long, left_sequence string, right_sequence string")
 
 
+@pytest.mark.parametrize("strongest", [1, 3, 12, 1000])
+def test_round_victims_by_the_strongest_first(spark, strongest):
+    """Few or many oligos told to every task: the same victims as by definition, also where strengths are equal."""
+    rng = random.Random(strongest)
+    texts = random_pool(30, 20, 5)
+    texts[7], texts[8], texts[20] = texts[3], texts[3], texts[21]
+    edges = [(i, j) for i in range(30) for j in range(i + 1, 30) if rng.random() < 0.12]
+    edges += [(3, 8)] * ((3, 8) not in edges)
+    near = {i: [j for e in edges if i in e for j in e if j != i] for i in range(30)}
+    power = {i: (len(near[i]), texts[i]) for i in near}
+    # Of equal ends the left one counts as beaten.
+    beats = {i: all(power[i] > power[j] or (power[i] == power[j] and i > j) for j in near[i]) for i in near}
+    want = {(i, len(near[i]), texts[i]) for i in near if near[i] and beats[i]}
+    pool = spark.createDataFrame(list(enumerate(texts)), "idx long, sequence string")
+    rows = edge_frame(spark, texts, edges)
+    plain = rows.select("left_index", "right_index")
+    for got in (round_victims(rows, strongest=strongest), round_victims(plain, pool, strongest=strongest)):
+        assert {tuple(r) for r in got.select("idx", "degree", "sequence").collect()} == want
+
+
 def test_path_keeps_its_ends(spark):
     texts = ["AAA", "CCC", "GGG"]
     edges = edge_frame(spark, texts, [(0, 1), (1, 2)])
