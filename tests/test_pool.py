@@ -6,6 +6,8 @@ from plain import best_run, greedy_set, pair_in_turn, random_pool, rc, tm
 from pyspark.sql import functions as F
 
 from oligoloom.functions.melting import Chemistry
+from oligoloom import storage
+from oligoloom.operators import accept
 from oligoloom.operators import calibrate as cal
 from oligoloom.operators.accept import accept_first, first_rows, nth_smallest, with_position
 from oligoloom.operators.conflicts import PairRules
@@ -205,6 +207,17 @@ def test_round_victims_by_the_strongest_first(spark, strongest):
         assert {tuple(r) for r in got.select("idx", "degree", "sequence").collect()} == want
 
 
+def test_a_stored_table_is_numbered_without_another_copy(spark, monkeypatch):
+    labels = []
+    keep = accept.materialize
+    monkeypatch.setattr(accept, "materialize", lambda rows, label: labels.append(label) or keep(rows, label))
+    pairs = [(5, 2), (1, 9), (5, 1), (1, 3)]
+    rows = storage.materialize(spark.createDataFrame(pairs, "a long, b long"), "pairs")
+    placed = {(r.a, r.b): r.place for r in accept.with_position(rows, ("a", "b"), "place").collect()}
+    assert placed == {pair: place for place, pair in enumerate(sorted(pairs))}
+    assert labels == ["numbered"]
+
+
 def test_path_keeps_its_ends(spark):
     texts = ["AAA", "CCC", "GGG"]
     edges = edge_frame(spark, texts, [(0, 1), (1, 2)])
