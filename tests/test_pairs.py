@@ -19,6 +19,7 @@ from oligoloom.operators.conflicts import (
 from oligoloom.operators import pair_counts
 from oligoloom.operators.pair_counts import candidate_pair_count, pair_accounting, pair_slots
 from oligoloom.functions.runs import best_meetings
+from oligoloom.operators.pairing import propose_pairs, score_proposals
 from oligoloom.operators.skew import grid_join, heavy_keys
 
 
@@ -87,6 +88,23 @@ def test_temperatures_of_runs_are_those_of_the_column_expression(spark):
     assert rows.where("run_evaluated").count() > 500 and rows.where("run_evaluated and run_tm_c <> want").isEmpty()
 
 
+def test_draws_are_scored_in_one_step(spark):
+    """Rounds of pairing score what they draw by the search over batches, both directions at once."""
+    texts = random_pool(40, 20, 13)
+    rules = PairRules(20).anywhere(limit_c=-30.0)
+    drawn = propose_pairs(pool_frame(spark, texts), 40, 1, 1)
+    assert vector_steps(score_proposals(drawn, rules)) == 1
+    rows = score_proposals(drawn, rules).collect()
+    assert len(rows) == 20
+    for row in rows:
+        for a, b, got in (
+            (row.left_sequence, row.right_sequence, row.left_vs_right_sense_tm_c),
+            (row.right_sequence, row.left_sequence, row.right_vs_left_sense_tm_c),
+        ):
+            size, start, _ = best_run(a, b, 20)
+            assert math.isclose(got, tm(a[start : start + size]) if size >= 4 else -math.inf, rel_tol=1e-12)
+
+
 def test_sense_scores(spark):
     rows = spark.createDataFrame([("CCCCGGGG", "GGGGTTTT")], "left_sequence string, right_sequence string")
     row = sense_pair_scores(rows, PairRules(8)).first()
