@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+DIGEST_BITS = 60
+
 
 def digest_number(*parts: Column | int) -> Column:
     """A 60-bit number from the MD5 digest of the parts, joined by hyphens."""

@@ -9,6 +9,7 @@ from oligoloom.functions.melting import Chemistry
 from oligoloom import storage
 from oligoloom.operators import accept
 from oligoloom.operators import calibrate as cal
+from oligoloom.operators import pairing
 from oligoloom.operators.accept import accept_first, first_rows, nth_smallest, with_position
 from oligoloom.operators.conflicts import PairRules
 from oligoloom.operators.funnel import (
@@ -422,3 +423,66 @@ def test_a_head_with_too_many_conflicts_is_taken_smaller(spark, monkeypatch):
     frame = edge_frame(spark, texts, edges)
     assert head_victims(both_directions(frame), 11).count() <= 4
     assert {r.idx for r in greedy_removals(frame, 11).collect()} == set(range(12)) - greedy_set(texts, edges)
+
+
+def test_pairing_scores_what_can_still_be_made(spark, monkeypatch):
+    """Draws of oligos that an earlier layer took, and swaps of couples that are settled, are not scored; the pairs are those
+    of drawing in turn, with stretches of a few swaps, ranges of a few hashes and joins of either kind."""
+    for name, value in dict(LEAST_SWAPS=6, SWAPS_PER_COUPLE=1, RANKED_ROWS=4).items():
+        monkeypatch.setattr(pairing, name, value, raising=False)
+    rng = random.Random(11)
+    texts = ["GCGCGGCC" + "".join(rng.choice("ACGT") for _ in range(4)) for _ in range(40)]
+    texts = sorted(set(texts + random_pool(60, 12, 10)))
+    limit = -20.0
+
+    def score(a, b):
+        size, start, _ = best_run(a, b, len(a))
+        return tm(a[start : start + size]) if size >= 4 else -math.inf
+
+    fits = lambda a, b: max(score(a, b), score(b, a)) <= limit
+    rules = PairRules(12, limit).anywhere()
+    pool = spark.createDataFrame([(t,) for t in texts], "sequence string")
+    for keys, target in ((0, len(texts) // 2), (100, 44)):
+        monkeypatch.setattr(pairing, "BROADCAST_KEYS", keys, raising=False)
+        scored = []
+
+        def spy(rows, *rest, score=pairing.sense_pair_scores):
+            out = score(rows, *rest)
+            scored.append(out.where("left_sequence is not null").count())
+            return out
+
+        with monkeypatch.context() as during:
+            during.setattr(pairing, "sense_pair_scores", spy)
+            out = pair_oligos(pool, rules, PairingOptions(target, seed=5, stagnation_attempts=20, requeue_scale=0.0))
+        pairs, free, attempts, _, _ = pair_in_turn(texts, fits, seed=5, target=target, stagnation=20, multiplier=50, scale=0.0)
+        assert {(r.left_sequence, r.right_sequence) for r in out.pairs.collect()} == pairs
+        assert out.attempts == attempts and out.free.count() == len(free)
+        assert scored[0] == len(texts) // 2 and sum(scored[:4]) < len(texts)
+
+        out = pair_oligos(pool, rules, PairingOptions(target, seed=5, stagnation_attempts=20))
+        pairs, free, *counts = pair_in_turn(texts, fits, seed=5, target=target, stagnation=20, multiplier=50, scale=1.0)
+        assert {(r.left_sequence, r.right_sequence) for r in out.pairs.collect()} == pairs
+        assert {r.sequence for r in out.free.collect()} == free
+        assert [out.attempts, out.rejected, out.recycled] == counts
+
+
+def test_swaps_are_scored_in_one_step(spark):
+    texts = random_pool(24, 12, 3)
+    rules = PairRules(12, -20.0, min_run=3, gate=5).anywhere()
+    rows = [(i, i, i, *texts[4 * i : 4 * i + 4]) for i in range(6)]
+    tries = spark.createDataFrame(rows, "order long, couple long, pair long, u string, v string, a string, b string")
+    got = {r.order: r for r in pairing.score_swaps(tries, rules).collect()}
+
+    def scores(x, y):
+        size = [best_run(a, b, 12)[:2] for a, b in ((x, y), (y, x))]
+        temps = [tm(a[start : start + n]) if n >= 5 else -math.inf for (n, start), a in zip(size, (x, y))]
+        return temps, sum(3 <= n < 5 for n, _ in size)
+
+    for order, _, _, u, v, a, b in rows:
+        sides = {side: scores(*side) for side in ((u, a), (v, b), (u, b), (v, a))}
+        ways = [w for w in (((u, a), (v, b)), ((u, b), (v, a))) if all(max(sides[x][0]) <= -20.0 for x in w)]
+        want = [(*x, *sides[x][0], max(sides[x][0])) for x in ways[0]] if ways else None
+        found = got[order].pairs
+        assert got[order].fits == bool(ways) and got[order].shortcircuited == sum(n for _, n in sides.values())
+        assert (found and [(p.left_sequence, p.right_sequence) for p in found]) == (want and [w[:2] for w in want])
+        assert not want or all(tuple(p)[2:] == pytest.approx(w[2:]) for p, w in zip(found, want))
