@@ -9,7 +9,7 @@ from oligoloom.functions.melting import Chemistry
 from oligoloom import storage
 from oligoloom.operators import accept
 from oligoloom.operators import calibrate as cal
-from oligoloom.operators import pairing
+from oligoloom.operators import pairing, prune
 from oligoloom.operators.accept import accept_first, first_rows, nth_smallest, with_position
 from oligoloom.operators.conflicts import PairRules
 from oligoloom.operators.funnel import (
@@ -415,6 +415,57 @@ def test_pruning_keeps_only_the_last_table_of_numbers(spark, monkeypatch, tmp_pa
     assert all(spark.read.parquet(str(p)).dtypes == [("node", "bigint"), ("other", "bigint")] for p in tables)
 
 
+def tables_of(monkeypatch, module=prune):
+    labels, keep = [], module.materialize
+    monkeypatch.setattr(module, "materialize", lambda rows, label: labels.append(label) or keep(rows, label))
+    return labels
+
+
+@pytest.mark.parametrize("limit", [30, 150])
+def test_steps_are_bounded_by_conflicts_and_take_pairs_of_indexes(spark, monkeypatch, limit):
+    """No sequences travel with the conflicts, and a step never has more of these than its bound; equal sequences too."""
+    monkeypatch.setattr(prune, "SAFE_HEAD_SIZE", 3)
+    monkeypatch.setattr(prune, "HEAD_CONFLICTS", limit)
+    rng, texts = random.Random(limit), random_pool(60, 6, 8)
+    texts[7], texts[20] = texts[3], texts[30]
+    edges = [(i, j) for j in range(60) for i in range(j) if rng.random() < 0.25]
+    # In order of sequences, then indexes, equal ones differ.
+    want = set(range(60)) - greedy_set([f"{t}{i:02d}" for i, t in enumerate(texts)], edges)
+    pool = spark.createDataFrame(list(enumerate(texts)), "idx long, sequence string")
+    pairs = storage.materialize(spark.createDataFrame(edges, "left_index long, right_index long"), "pairs")
+    inside, keep = [], prune._turn_victims
+    monkeypatch.setattr(prune, "_turn_victims", lambda *a: inside.append(a[2].count()) or keep(*a))
+    removed = [r.idx for r in greedy_removals(pairs, rounds=0, pool=pool).collect()]
+    assert len(removed) == len(set(removed)) and set(removed) == want
+    assert len(inside) > 2 and max(inside) <= limit
+    assert pairs.count() == len(edges)
+
+
+def test_rounds_that_wait_for_each_other_take_few_tables(spark, monkeypatch):
+    """A star at every place of a path, one leaf more than the star before it: one oligo falls after the other."""
+    labels = tables_of(monkeypatch)
+    edges, leaf = [(i, i + 1) for i in range(19)], 20
+    for centre in range(20):
+        edges += [(centre, leaf + n) for n in range(centre)]
+        leaf += centre
+    texts = random_pool(leaf, 8, 4)
+    want = set(range(leaf)) - greedy_set(texts, edges)
+    assert {r.idx for r in greedy_removals(edge_frame(spark, texts, edges), 1).collect()} == want
+    assert len(labels) < 8 and "settled" not in labels
+
+
+@pytest.mark.parametrize("rows,conflicts", [(40, 4_000_000), (100, 60)])
+def test_rounds_over_several_tasks(spark, monkeypatch, rows, conflicts):
+    """Every task decides what it can by the degrees that it was told."""
+    monkeypatch.setattr(prune, "ROUND_ROWS", rows)
+    monkeypatch.setattr(prune, "ROUND_CONFLICTS", conflicts)
+    monkeypatch.setattr(prune, "SAFE_HEAD_SIZE", 10)
+    rng, texts = random.Random(rows), random_pool(50, 6, rows)
+    edges = [(i, j) for j in range(50) for i in range(j) if rng.random() < 0.15]
+    removed = [r.idx for r in greedy_removals(edge_frame(spark, texts, edges), 1).collect()]
+    assert len(removed) == len(set(removed)) and set(removed) == set(range(50)) - greedy_set(texts, edges)
+
+
 def test_a_head_with_too_many_conflicts_is_taken_smaller(spark, monkeypatch):
     monkeypatch.setattr("oligoloom.operators.prune.SAFE_HEAD_SIZE", 4)
     monkeypatch.setattr("oligoloom.operators.prune.HEAD_CONFLICTS", 10)
