@@ -581,8 +581,9 @@ def mis_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def mis_survivors_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same survivors by rounds alone, without working off the strongest in turn."""
-    removed = pr.greedy_removals(dense_edges(spark, sf_dir), head_size=1)
-    return accepted(spark, sf_dir).join(removed, "idx", "left_anti").select("idx", "sequence")
+    pool = accepted(spark, sf_dir)
+    removed = pr.greedy_removals(dense_pairs(spark, sf_dir), head_size=1, pool=pool)
+    return pool.join(removed, "idx", "left_anti").select("idx", "sequence")
 
 
 @query
