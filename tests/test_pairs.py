@@ -20,6 +20,7 @@ from oligoloom.operators import pair_counts
 from oligoloom.operators.pair_counts import candidate_pair_count, pair_accounting, pair_slots
 from oligoloom.functions.runs import best_meetings
 from oligoloom.operators.pairing import propose_pairs, score_proposals
+from oligoloom.operators import skew
 from oligoloom.operators.skew import grid_join, heavy_keys
 
 
@@ -295,6 +296,18 @@ def test_tasks_of_a_join_follow_its_matches(spark, monkeypatch):
     assert sum(shares) == 80_000 and max(shares) < 8_000
 
 
+def test_cells_are_no_smaller_than_a_share_of_the_matches(spark, monkeypatch):
+    """Rows of a heavy key are copied along its grid, and no more often than there are tasks that can use it."""
+    sides, keep = [], skew._heavy
+    monkeypatch.setattr(skew, "_heavy", lambda *a: sides.append(keep(*a)) or sides[-1])
+    left = spark.range(2000).select(F.col("id").alias("a"), (F.col("id") % 2).alias("key"))
+    right = left.withColumnRenamed("a", "b")
+    joined = grid_join(left, right, "key", "a", "b", cell_matches=100)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert all(r["__lp"] * r["__rp"] <= 2 * tasks for r in sides[-1].collect()) and sides[-1].count() == 2
+    assert joined.count() == joined.select("a", "b").distinct().count() == 2_000_000
+
+
 @pytest.mark.parametrize("window", [3, 12])
 def test_best_meetings(spark, window):
     """A meeting stays, with the length of its run, if no admissible run of the pair is longer."""
