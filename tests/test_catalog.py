@@ -10,7 +10,10 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as contract  # noqa: E402
+from oligoloom import catalog  # noqa: E402
 from oligoloom.catalog import QUERIES  # noqa: E402
+from oligoloom.operators.prune import independent_set  # noqa: E402
+from oligoloom.storage import materialize  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = (
@@ -50,6 +53,19 @@ def test_query(spark, duck, name):
     assert sorted_rows(frame.columns, rows) == sorted_rows(columns, result.fetchall())
 
 
+@pytest.mark.parametrize("name", ["final_oligos", "mis_survivors", "mis_survivors_rounds", "trimmed_oligos", "delivery_order"])
+def test_pruning_reads_pairs_of_indexes(spark, monkeypatch, tmp_path, name):
+    """No wide table of conflicts is written for a query that only prunes."""
+    spark.range(1200).withColumnRenamed("id", "o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    folder = str(tmp_path)
+    rules = catalog.RULES if name == "final_oligos" else catalog.DENSE_RULES
+    pool = catalog.accepted(spark, folder)
+    wide = independent_set(pool, materialize(catalog.co.conflict_edges(pool, rules), "wide"))
+    want = {r.sequence for r in wide.collect()}
+    monkeypatch.setattr(catalog.co, "conflict_edges", None)
+    assert {r.sequence for r in QUERIES[name](spark, folder).collect()} == want and len(want) < 500
+
+
 def test_entry(spark):
     frame = contract.entry(spark)
     assert frame.columns == ["sequence", "reverse_complement", "gc_fraction", "intrinsic_tm_c"]
